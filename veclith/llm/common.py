@@ -36,6 +36,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_schema(ddl: str):
+    """pyarrow's schema for a DDL string; needs a session, so it is called on the driver."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def file_system(uri: str):
     """pyarrow's file system and path for a URI of the shared folder."""
     from pyarrow import fs

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, token_records, warc
 
 
 def queries() -> dict:
     return {
+        "op1_token_records": token_records.query,
         "op5_exact_dedup": exact_dedup.query,
+        "op9_warc": warc.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_dedup": exact_dedup.SQL,
+        "op9_warc": warc.SQL,
     }
