@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, token_records, warc
+from . import decontaminate, exact_dedup, token_records, warc
 
 
 def queries() -> dict:
     return {
         "op1_token_records": token_records.query,
+        "op4_decontaminate": decontaminate.query,
         "op5_exact_dedup": exact_dedup.query,
         "op9_warc": warc.query,
     }
@@ -15,6 +16,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_decontaminate": decontaminate.SQL,
         "op5_exact_dedup": exact_dedup.SQL,
         "op9_warc": warc.SQL,
     }
