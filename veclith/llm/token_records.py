@@ -4,8 +4,9 @@ A record file is a run of frames; a frame is
 
     length       unsigned 64-bit, little-endian: bytes of data
     length check unsigned 32-bit: masked CRC-32 of the eight length bytes
-    data         document id (signed 64-bit), flags (unsigned 32-bit, 1: the id is null),
-                 then the ids as unsigned 32-bit integers, all little-endian
+    data         document id (signed 64-bit), flags (unsigned 32-bit, 1: the id is null,
+                 2: ids take 16 bits), then the ids as unsigned 32-bit integers or, where the
+                 vocabulary allows, 16-bit ones, all little-endian
     data check   unsigned 32-bit: masked CRC-32 of data
 
 A masked checksum is the CRC-32 rotated right by 15 bits plus a constant, so that a check
@@ -30,6 +31,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,22 +93,24 @@ class WordEncoder:
         # the short way holds only for the chain it was written for
         self.plain = [x["type"] for x in (chain["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and not any(re.search("[a-z]", a["content"]) and re.fullmatch(_PLAIN, a["content"]) for a in chain["added_tokens"])
         self.model = self.tokenizer.model
-        self.end = b"" if end_id is None else struct.pack("<I", end_id)
+        #: Type of the ids: 16 bits where every id fits.
+        self.code = "H" if max(self.tokenizer.get_vocab_size() - 1, end_id or 0) < 1 << 16 else "I"
+        self.end = b"" if end_id is None else array(self.code, [end_id]).tobytes()
         self.pieces = _Words(self._piece, cache_words // 2)
         self.words = _Words(self._word, cache_words // 2)
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one piece that is already split off and in lower case."""
-        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))]).tobytes()
 
     def _word(self, word: str) -> bytes:
         if self.plain and (m := _PLAIN.fullmatch(word)):
             letters, marks = m.groups()
             return self.pieces[letters.lower()] + (self.pieces[marks] if marks else b"")
-        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text with the end id, as little-endian unsigned 32-bit integers."""
+        """Ids of each text with the end id, as little-endian integers of type ``code``."""
         get = self.words.__getitem__
         # str.split() also splits at four control characters that the tokenizer keeps
         return [b"".join([*map(get, _BLANKS.split(t) if _NOT_WHITE.search(t) else t.split()), self.end]) for t in texts]
@@ -122,14 +126,17 @@ def _encoder(*key) -> WordEncoder:
     return _encoders[key]
 
 
-def frame(doc_id: int | None, ids: bytes) -> bytes:
-    data = struct.pack("<qI", doc_id or 0, doc_id is None) + ids
+def frame(doc_id: int | None, ids: bytes, code: str = "I") -> bytes:
+    data = struct.pack("<qI", doc_id or 0, (doc_id is None) | (code == "H") << 1) + ids
     length = struct.pack("<Q", len(data))
     return b"".join((length, struct.pack("<I", masked(length)), data, struct.pack("<I", masked(data))))
 
 
-def unframe(stream) -> Iterator[tuple[int | None, bytes]]:
-    """(id, ids) of every frame of a stream; a wrong check or a cut frame raises ValueError."""
+def unframe(stream) -> Iterator[tuple[int | None, bytes, int]]:
+    """(id, ids as unsigned 32-bit integers, bytes of the frame) of every frame of a stream.
+
+    A wrong check or a cut frame raises ValueError.
+    """
     while head := stream.read(12):
         if len(head) < 12 or masked(head[:8]) != struct.unpack_from("<I", head, 8)[0]:
             raise ValueError("wrong length check")
@@ -137,8 +144,9 @@ def unframe(stream) -> Iterator[tuple[int | None, bytes]]:
         body = stream.read(size + 4)
         if len(body) < size + 4 or masked(body[:size]) != struct.unpack_from("<I", body, size)[0]:
             raise ValueError("wrong data check")
-        doc_id, null = struct.unpack_from("<qI", body)
-        yield (None if null else doc_id), body[12:size]
+        doc_id, flags = struct.unpack_from("<qI", body)
+        ids = np.frombuffer(body[12:size], "<u2").astype("<u4").tobytes() if flags & 2 else body[12:size]
+        yield (None if flags & 1 else doc_id), ids, size + 16
 
 
 def read_index(uri: str) -> list[int]:
@@ -155,11 +163,11 @@ def read_record(uri: str, offset: int) -> tuple[int | None, array]:
     files, path = common.file_system(uri)
     with files.open_input_file(path) as f:
         f.seek(offset)
-        doc_id, ids = next(unframe(f))
+        doc_id, ids, _ = next(unframe(f))
     return doc_id, array("I", ids)
 
 
-def _write_shards(rows: Iterable[tuple[int | None, bytes]], folder: str, part: int, attempt: str, shard_bytes: int):
+def _write_shards(rows: Iterable[tuple[int | None, bytes]], code: str, folder: str, part: int, attempt: str, shard_bytes: int):
     """Write the rows to files of about ``shard_bytes``; yields (name, records, tokens, bytes)."""
     rows = iter(rows)
     pending, number = next(rows, None), 0
@@ -169,10 +177,10 @@ def _write_shards(rows: Iterable[tuple[int | None, bytes]], folder: str, part: i
         def write(out):
             nonlocal pending, tokens, size
             while pending is not None and (size < shard_bytes or not offsets):
-                data = frame(*pending)
+                data = frame(*pending, code)
                 offsets.append(size)
                 out.write(data)
-                tokens += len(pending[1]) // 4
+                tokens += len(pending[1]) // array(code).itemsize
                 size += len(data)
                 pending = next(rows, None)
 
@@ -206,7 +214,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_
                     some = batch.slice(start, 256)
                     yield from zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True)
 
-        for name, *counts in _write_shards(records(), folder, task.partitionId(), str(task.taskAttemptId()), shard_bytes):
+        for name, *counts in _write_shards(records(), encoder.code, folder, task.partitionId(), str(task.taskAttemptId()), shard_bytes):
             yield pa.RecordBatch.from_pydict({"name": [name]} | {k: [v] for k, v in zip(("records", "tokens", "bytes"), counts, strict=True)})
 
     shards = [r.asDict() for r in rows.mapInArrow(encode, "name string, records long, tokens long, bytes long").collect()]
@@ -250,10 +258,10 @@ def _scan(spark: SparkSession, folder: str, columns: str, digest) -> DataFrame:
                 files, path = common.file_system(f"{folder}/{name}")
                 rows, offset, first, seen = [], 0, at, 0
                 with files.open_input_stream(path, buffer_size=1 << 20) as stream:
-                    for doc_id, ids in unframe(stream):
+                    for doc_id, ids, size in unframe(stream):
                         got = digest(ids)
                         rows.append((doc_id, name, offset, at, *(got if len(names) > 1 else (got,))))
-                        offset, at, seen = offset + 28 + len(ids), at + len(ids) // 4, seen + 1
+                        offset, at, seen = offset + size, at + len(ids) // 4, seen + 1
                         if len(rows) >= 2000:
                             yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in rows], arrow)
                             rows = []
