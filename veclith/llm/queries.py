@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, token_records, warc
+from . import decontaminate, exact_dedup, pii, token_records, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_decontaminate": decontaminate.query,
         "op5_exact_dedup": exact_dedup.query,
         "op9_warc": warc.query,
+        "op10_pii": pii.query,
     }
 
 
