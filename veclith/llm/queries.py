@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, pii, token_records, warc
+from . import decontaminate, exact_dedup, pii, substring_dedup, token_records, warc
 
 
 def queries() -> dict:
     return {
         "op1_token_records": token_records.query,
+        "op3_substring_dedup": substring_dedup.query,
         "op4_decontaminate": decontaminate.query,
         "op5_exact_dedup": exact_dedup.query,
         "op9_warc": warc.query,
