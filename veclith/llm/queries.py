@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, pii, substring_dedup, token_records, warc
+from . import decontaminate, exact_dedup, language_id, pii, substring_dedup, token_records, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op3_substring_dedup": substring_dedup.query,
         "op4_decontaminate": decontaminate.query,
         "op5_exact_dedup": exact_dedup.query,
+        "op6_language_id": language_id.query,
+        "op7_toxicity": toxicity.query,
         "op9_warc": warc.query,
         "op10_pii": pii.query,
     }
