@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, pii, substring_dedup, token_records, toxicity, warc
+from . import decontaminate, exact_dedup, language_id, near_dedup, pii, substring_dedup, token_records, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_exact_dedup": exact_dedup.query,
         "op6_language_id": language_id.query,
         "op7_toxicity": toxicity.query,
+        "op8_near_dedup": near_dedup.query,
         "op9_warc": warc.query,
         "op10_pii": pii.query,
     }
