@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, near_dedup, pii, substring_dedup, token_records, toxicity, warc
+from . import decontaminate, exact_dedup, language_id, near_dedup, pieces, pii, substring_dedup, token_records, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_token_records": token_records.query,
+        "op2_pieces": pieces.query,
         "op3_substring_dedup": substring_dedup.query,
         "op4_decontaminate": decontaminate.query,
         "op5_exact_dedup": exact_dedup.query,
