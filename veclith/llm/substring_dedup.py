@@ -103,9 +103,9 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
     table gives an empty result. Columns named like the two counts are replaced.
     """
     found = repeats(docs, id_col, text_col, run, min_words)
-    gone = found.groupBy("_id").agg(F.collect_set(F.struct("_first", "_last")).alias("__gone"), F.lit(True).alias("__any"))
+    gone = found.groupBy(F.col("_id").alias("__gone_id")).agg(F.collect_set(F.struct("_first", "_last")).alias("__gone"))
     base = docs.drop("n_sentences", "n_removed")
-    rows = base.join(gone, base[id_col].cast("long").eqNullSafe(gone["_id"]), "left").drop("_id", "__any")
+    rows = base.join(gone, base[id_col].cast("long").eqNullSafe(gone["__gone_id"]), "left")
     names = base.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), "n_sentences int", "n_removed int"])
     at = names.index(text_col)
