@@ -11,7 +11,7 @@ fragments:
   order a partial count, and summed for each pair.
 
 Groups of near copies would make all their pairs. Instead there are two rounds. In the first,
-every list links its nodes to one of them, the pivot; pairs that are similar are links, and
+every list links its nodes to one of them, the pivot, which has the fewest shingles of its own; pairs that are similar are links, and
 connected nodes a component. The second takes, of every list, all pairs of nodes in
 *different* components: a pair inside one can't change any component. Both rounds verify with
 exact overlaps, and together they consider every pair that could join two components.
@@ -35,8 +35,8 @@ SIZE = 5
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 FRAGMENTS = 4
-#: Most frequent shingles in the order's table (16 bytes each), and shingles counted together.
-FREQUENT, COUNTED = 1 << 17, 1 << 22
+#: Most frequent shingles in the order's table (12 bytes each), and shingles counted together.
+FREQUENT, COUNTED = 1 << 19, 1 << 22
 #: Bits of the map of nodes with candidates, at most.
 MAP_BITS = 1 << 26
 
@@ -69,7 +69,7 @@ def _sets(docs: DataFrame, text_col: str, extra: list[str]):
 def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, ascending, and their ranks from 1 on by frequency.
 
-    Tasks count their shingles ``COUNTED`` at a time and pass on those that four sets have;
+    Tasks count their shingles ``COUNTED`` at a time and pass on those that three sets have;
     equal sets count once a task.
     """
 
@@ -80,7 +80,7 @@ def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
 
         def passed_on():
             values, times = np.unique(np.concatenate(held), return_counts=True)
-            many = times >= 4
+            many = times >= 3
             return pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(times[many].astype(np.int64))], names=["_s", "_n"])
 
         for batch in batches:
@@ -122,7 +122,11 @@ def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _heads(docs: DataFrame, text_col: str, frequent) -> DataFrame:
-    """(_s, _key, _n): the shingles in the head of each set; equal sets once a task, at least."""
+    """(_s, _key, _n, _w): the shingles in the head of each set; equal sets once a task, at least.
+
+    ``_w`` is the share of rare shingles in thousandths. Of near copies the one with fewest
+    changes of its own has the smallest, and is similar to most of them.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def head(batches):
@@ -130,32 +134,34 @@ def _heads(docs: DataFrame, text_col: str, frequent) -> DataFrame:
 
         seen: set[int] = set()
         for batch in batches:
-            parts, keys, sizes, lengths = [], [], [], []
+            parts, keys, sizes, lengths, weights = [], [], [], [], []
 
             def made():
                 each = np.array(lengths)
-                out = [np.concatenate(parts).view(np.int64), np.repeat(np.array(keys, np.int64), each), np.repeat(np.array(sizes, np.int32), each)]
-                return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["_s", "_key", "_n"])
+                out = [np.concatenate(parts).view(np.int64), np.repeat(np.array(keys, np.int64), each), np.repeat(np.array(sizes, np.int32), each), np.repeat(np.array(weights, np.int32), each)]
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["_s", "_key", "_n", "_w"])
 
             for _, found in shingles(batch.column(0)):
                 n, key = len(found), set_key(found)
                 if not n or key in seen:
                     continue
                 seen.add(key)
-                some = _order(found, shared.value)[0][: n - -(-n * PERCENT // 100) + 1]
+                ordered, rank = _order(found, shared.value)
+                some = ordered[: n - -(-n * PERCENT // 100) + 1]
+                weights.append(1000 * int((rank == 0).sum()) // n)
                 parts.append(some)
                 keys.append(key)
                 sizes.append(n)
                 lengths.append(len(some))
                 if len(parts) >= 1000:
                     yield made()
-                    parts, keys, sizes, lengths = [], [], [], []
+                    parts, keys, sizes, lengths, weights = [], [], [], [], []
             if parts:
                 yield made()
             if len(seen) > 1 << 20:
                 seen.clear()
 
-    return _sets(docs, text_col, []).mapInArrow(head, "_s long, _key long, _n int")
+    return _sets(docs, text_col, []).mapInArrow(head, "_s long, _key long, _n int, _w int")
 
 
 def _lists(heads: DataFrame) -> DataFrame:
@@ -197,7 +203,7 @@ def _lists(heads: DataFrame) -> DataFrame:
         if s is not None:
             yield edge()
 
-    ordered = heads.repartitionByRange("_s", "_key").sortWithinPartitions("_s", "_key")
+    ordered = heads.repartitionByRange("_s", "_w", "_key").sortWithinPartitions("_s", "_w", "_key")
     found = common.stored(ordered.mapInArrow(stream, "_s long, _key long, _n int, _pivot long, _m int"), "lists")
     edges = found.where("_key is null").select("_s", F.col("_pivot").alias("_key"), F.col("_m").alias("_n")).distinct()
     first = edges.groupBy("_s").agg(F.min_by("_key", "_key").alias("_pivot"), F.min_by("_n", "_key").alias("_m"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
