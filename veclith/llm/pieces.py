@@ -118,103 +118,127 @@ def _spine(tree: tuple, side: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def piece_table(spark, vocabulary: Vocabulary) -> DataFrame:
-    """_piece, _id, _score, _rank, _left, _right: a row for each piece that texts can have.
+def piece_table(spark, vocabulary: Vocabulary) -> tuple[DataFrame, list[str], list[str]]:
+    """(_piece, _id) for each piece that texts can have, and spines by id: left and right.
 
-    ``_right`` tells what stood at the piece's right end while it was merged, ``_left`` at
-    its left end: length, rank at which it came to be, rank at which it was merged away.
+    A spine tells what stood at that end of a piece while it was merged, the outermost
+    first: length, rank at which it came to be, rank at which it was merged away.
     """
-    import pandas as pd
-
-    rows = []
+    rows, left, right = [], ["-"] * len(vocabulary.pieces), ["-"] * len(vocabulary.pieces)
     for i in vocabulary.normal:
         piece = vocabulary.pieces[i]
-        left = right = []
         if vocabulary.kind == "bpe":
             tree = _merged(piece, vocabulary.ranks)
             if tree is None:
                 continue
-            left, right = _spine(tree, 2), _spine(tree, 3)
-        rows.append((piece, i, float(vocabulary.scores[i]), vocabulary.ranks[piece] if len(piece) > 1 else _EVER, left, right))
-    spine = "array<struct<len:int,born:int,gone:int>>"
-    frame = pd.DataFrame(rows, columns=["_piece", "_id", "_score", "_rank", "_left", "_right"])
-    for side in ("_left", "_right"):
-        frame[side] = [[dict(zip(("len", "born", "gone"), s, strict=True)) for s in x] for x in frame[side]]
-    return spark.createDataFrame(frame, f"_piece string, _id int, _score double, _rank int, _left {spine}, _right {spine}")
+            left[i], right[i] = (";".join(",".join(map(str, s)) for s in _spine(tree, side)) for side in (2, 3))
+        rows.append((piece, i))
+    import pandas as pd
+
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["_piece", "_id"]), "_piece string, _id int"), left, right
+
+
+#: An edge in one long: end, start (24 bits each), and the id plus one (0: a character without a piece).
+_ID_BITS, _PLACE_BITS = 16, 24
 
 
-def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(_unit, _ids) for each of the different, non-empty units in column ``_unit``.
+def lattice(units: DataFrame, vocabulary: Vocabulary, keep: str | None = None) -> DataFrame:
+    """(_unit, _ids) for each of the different, non-empty units in column ``_unit``, and column ``keep``.
 
-    ``units`` should be partitioned by ``_unit``: then nothing here is shuffled.
+    ``units`` should be partitioned by ``_unit``: then nothing here is shuffled. Edges are
+    numbers; what the fold needs to know of a piece is in constants by id.
     """
-    spark = units.sparkSession
-    table = piece_table(spark, vocabulary)
+    if len(vocabulary.pieces) >= 1 << _ID_BITS:
+        raise ValueError("more pieces than an edge can name")
+    table, left, right = piece_table(units.sparkSession, vocabulary)
     longest = vocabulary.longest
-    starts = units.select("_unit", F.length("_unit").alias("_size")).select("_unit", "_size", F.explode(F.sequence(F.lit(0), F.col("_size") - 1)).alias("_start"))
-    spans = starts.select("_unit", "_size", "_start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("_size") - F.col("_start")))).alias("_len"))
+    kept = [keep] if keep else []
+    starts = units.select("_unit", *kept, F.length("_unit").alias("_size")).select("_unit", *kept, "_size", F.explode(F.sequence(F.lit(0), F.col("_size") - 1)).alias("_start"))
+    spans = starts.select("_unit", *kept, "_start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("_size") - F.col("_start")))).alias("_len"))
     spans = spans.withColumn("_piece", F.substring("_unit", F.col("_start") + 1, F.col("_len")))
     # the piece table has as many rows as the model has pieces, whatever the corpus
     edges = spans.join(F.broadcast(table), "_piece", "left").where("_id is not null or _len = 1")
-    spine = "array<struct<len:int,born:int,gone:int>>"
-    alone = F.array(F.struct(F.lit(1).alias("len"), F.lit(_EVER).alias("born"), F.lit(_NEVER).alias("gone"))).cast(spine)
-    if vocabulary.bytes:
-        codes = F.split(F.lit(" ".join(str(vocabulary.bytes[b]) for b in range(256))), " ")
-        parts = F.regexp_extract_all(F.hex(F.col("_piece").cast("binary")), F.lit("(..)"), F.lit(1))
-        missing = F.transform(parts, lambda h: F.get(codes, F.conv(h, 16, 10).cast("int")).cast("int"))
-    else:
-        missing = F.array(F.lit(vocabulary.unknown))
-    edge = F.struct(
-        F.col("_start").alias("start"),
-        F.when(F.col("_id").isNull(), missing).otherwise(F.array("_id")).alias("ids"),
-        # as the library does, an unknown character costs ten more than the worst piece
-        F.coalesce("_score", F.lit(min(vocabulary.scores) - 10.0)).alias("score"),
-        F.coalesce("_rank", F.lit(_EVER)).alias("rank"),
-        F.coalesce("_left", alone).alias("left"),
-        F.coalesce("_right", alone).alias("right"),
-    )
-    by_end = edges.groupBy("_unit", (F.col("_start") + F.col("_len")).alias("_end")).agg(F.collect_list(edge).alias("_edges"))
-    by_unit = by_end.groupBy("_unit").agg(F.array_sort(F.collect_list(F.struct("_end", "_edges"))).alias("_ends"))
+    end = (F.col("_start") + F.col("_len")).cast("long")
+    packed = F.shiftleft(end, _PLACE_BITS + _ID_BITS).bitwiseOR(F.shiftleft(F.col("_start").cast("long"), _ID_BITS)).bitwiseOR(F.coalesce(F.col("_id") + 1, F.lit(0)).cast("long"))
+    # a unit's first character has an edge always; only that one brings the kept column along
+    brought = [F.when((F.col("_start") == 0) & (F.col("_len") == 1), F.col(c)).alias(c) for c in kept]
+    by_unit = edges.select("_unit", packed.alias("_edge"), *brought).groupBy("_unit").agg(F.collect_list("_edge").alias("_edges"), *(F.first(c, ignorenulls=True).alias(c) for c in kept))
+    of_end = F.transform(F.sequence(F.lit(1), F.length("_unit")), lambda e: F.filter("_edges", lambda x: F.shiftright(x, _PLACE_BITS + _ID_BITS) == e))
+    by_unit = by_unit.select("_unit", *kept, of_end.alias("_ends"))
+
+    def start_of(x: Column) -> Column:
+        return F.shiftright(x, _ID_BITS).bitwiseAND((1 << _PLACE_BITS) - 1).cast("int")
 
-    def at_end(e: Column) -> Column:
-        return F.get(F.col("_ends"), e - 1)["_edges"]
+    def id_of(x: Column) -> Column:
+        return x.bitwiseAND((1 << _ID_BITS) - 1).cast("int") - 1
+
+    # constants: one string each, which the optimizer splits once
+    lefts, rights = F.split(F.lit(" ".join(left)), " "), F.split(F.lit(" ".join(right)), " ")
+    ranked = set(vocabulary.normal)
+    numbers = F.split(F.lit(" ".join(str(vocabulary.ranks[p]) if i in ranked else "-1" for i, p in enumerate(vocabulary.pieces))), " ")
+    single = f"1,{_EVER},{_NEVER}"
+
+    def spine(table: Column, x: Column) -> Column:
+        # a character that is no piece of its own stands alone for ever
+        return F.split(F.when(id_of(x) < 0, single).otherwise(F.get(table, id_of(x))), ";")
+
+    def number(part: Column, k: int) -> Column:
+        return F.get(F.split(part, ","), F.lit(k)).cast("int")
 
     def free(chosen: Column, x: Column) -> Column:
         """No merge across the seam in front of edge ``x`` would have come first."""
-        seam = x["start"]
+        seam = start_of(x)
 
         def crosses(i: Column, j: Column) -> Column:
             # both stood beside the seam at one time; equal ranks merge from the left
-            met = (i["born"] <= j["gone"]) & (j["born"] < i["gone"])
-            return met & F.exists(at_end(seam + j["len"]), lambda y: (y["start"] == seam - i["len"]) & (y["rank"] < i["gone"]) & (y["rank"] <= j["gone"]))
+            met = (number(i, 1) <= number(j, 2)) & (number(j, 1) < number(i, 2))
+            over = F.get(F.col("_ends"), seam + number(j, 0) - 1)
+            return met & F.exists(over, lambda y: (start_of(y) == seam - number(i, 0)) & _first(F.get(numbers, id_of(y)).cast("int"), number(i, 2), number(j, 2)))
 
-        before = F.get(chosen, seam - 1)["right"]
-        return (seam == 0) | ~F.exists(before, lambda i: F.exists(x["left"], lambda j: crosses(i, j)))
+        before = spine(rights, F.get(chosen, seam - 1))
+        return (seam == 0) | ~F.exists(before, lambda i: F.exists(spine(lefts, x), lambda j: crosses(i, j)))
 
     def merged(chosen: Column, at: Column) -> Column:
-        fit = F.get(F.filter(at["_edges"], lambda x: free(chosen, x)), F.lit(0))
-        return F.array_append(chosen, F.struct(fit["start"].alias("start"), fit["ids"].alias("ids"), F.lit(0.0).alias("total"), fit["right"].alias("right")))
+        # one edge fits; if it is alone it needs no proof
+        fit = F.when(F.size(at) == 1, F.get(at, F.lit(0))).otherwise(F.get(F.filter(at, lambda x: free(chosen, x)), F.lit(0)))
+        return F.array_append(chosen, fit)
+
+    if vocabulary.kind == "bpe":
+        chosen = by_unit.select("_unit", *kept, F.aggregate("_ends", F.array().cast("array<long>"), merged).alias("_chosen"))
+    else:
+        # as the library does, an unknown character costs ten more than the worst piece
+        scores = F.split(F.lit(" ".join(map(repr, vocabulary.scores))), " ")
+        score = lambda x: F.when(id_of(x) < 0, min(vocabulary.scores) - 10.0).otherwise(F.get(scores, id_of(x)).cast("double"))
 
-    def viterbi(chosen: Column, at: Column) -> Column:
-        # of equal sums the longest last piece
-        sums = F.transform(at["_edges"], lambda x: F.struct((x["score"] + F.coalesce(F.get(chosen, x["start"] - 1)["total"], F.lit(0.0))).alias("total"), (-x["start"]).alias("order"), x["ids"].alias("ids")))
-        best = F.array_max(sums)
-        return F.array_append(chosen, F.struct((-best["order"]).alias("start"), best["ids"].alias("ids"), best["total"].alias("total"), alone.alias("right")))
+        def viterbi(state: Column, at: Column) -> Column:
+            # of equal sums the longest last piece
+            sums = F.transform(at, lambda x: F.struct((score(x) + F.coalesce(F.get(state, start_of(x) - 1)["total"], F.lit(0.0))).alias("total"), (-start_of(x)).alias("order"), x.alias("edge")))
+            return F.array_append(state, F.array_max(sums))
 
-    none = F.array().cast(f"array<struct<start:int,ids:array<int>,total:double,right:{spine}>>")
-    chosen = by_unit.select("_unit", F.aggregate("_ends", none, viterbi if vocabulary.kind == "unigram" else merged).alias("_chosen"))
+        state = F.aggregate("_ends", F.array().cast("array<struct<total:double,order:int,edge:bigint>>"), viterbi)
+        chosen = by_unit.select("_unit", *kept, F.transform(state, lambda s: s["edge"]).alias("_chosen"))
+    if vocabulary.bytes:
+        codes = F.split(F.lit(" ".join(str(vocabulary.bytes[b]) for b in range(256))), " ")
+        missing = lambda c: F.transform(F.regexp_extract_all(F.hex(c.cast("binary")), F.lit("(..)"), F.lit(1)), lambda h: F.get(codes, F.conv(h, 16, 10).cast("int")).cast("int"))
+    else:
+        missing = lambda c: F.array(F.lit(vocabulary.unknown))
     # back from the end: the step at a position that isn't a seam of the path is passed over
     path = F.aggregate(
         F.reverse("_chosen"),
         F.struct(F.size("_chosen").alias("at"), F.size("_chosen").alias("seam"), F.array().cast("array<array<int>>").alias("ids")),
-        lambda a, c: F.struct(
+        lambda a, x: F.struct(
             (a["at"] - 1).alias("at"),
-            F.when(a["at"] == a["seam"], c["start"]).otherwise(a["seam"]).alias("seam"),
-            F.when(a["at"] == a["seam"], F.array_append(a["ids"], c["ids"])).otherwise(a["ids"]).alias("ids"),
+            F.when(a["at"] == a["seam"], start_of(x)).otherwise(a["seam"]).alias("seam"),
+            F.when(a["at"] == a["seam"], F.array_append(a["ids"], F.when(id_of(x) >= 0, F.array(id_of(x))).otherwise(missing(F.substring(F.col("_unit"), a["at"], F.lit(1)))))).otherwise(a["ids"]).alias("ids"),
         ),
         lambda a: F.flatten(F.reverse(a["ids"])),
     )
-    return chosen.select("_unit", path.alias("_ids"))
+    return chosen.select("_unit", *kept, path.alias("_ids"))
+
+
+def _first(rank: Column, left: Column, right: Column) -> Column:
+    """A merge of this rank comes before those that take away what stands left and right of the seam."""
+    return (rank < left) & (rank <= right)
 
 
 def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -260,13 +284,15 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 seen.update(vocabulary.units(text))
         yield from made()
 
-    found = common.stored(rows.select("_text", "_chunk").mapInArrow(different, "_chunk long, _unit string"), "units")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    encoded = lattice(found.select("_unit").distinct().repartition(parts, "_unit"), vocabulary)
+    found = rows.select("_text", "_chunk").mapInArrow(different, "_chunk long, _unit string").repartition(parts, "_unit")
+    # one row a unit; as many chunks as the corpus has, at most
+    placed = found.groupBy("_unit").agg(F.collect_set("_chunk").alias("_chunks"))
+    encoded = lattice(placed, vocabulary, "_chunks")
     wide = len(vocabulary.pieces) > 1 << 16
     size = 8 if wide else 4
     packed = F.unhex(F.array_join(F.transform("_ids", lambda i: F.lpad(F.hex(i), size, "0")), ""))
-    keyed = found.join(encoded.select("_unit", packed.alias("_packed")), "_unit").repartition(parts, "_chunk")
+    keyed = encoded.select(F.explode("_chunks").alias("_chunk"), "_unit", packed.alias("_packed")).repartition(parts, "_chunk")
     lexicon = common.scratch(spark, "lexicon")
     keyed.sortWithinPartitions("_chunk").write.partitionBy("_chunk").parquet(lexicon)
 
