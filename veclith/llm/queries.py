@@ -24,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontaminate": decontaminate.SQL,
         "op5_exact_dedup": exact_dedup.SQL,
+        "op8_near_dedup": near_dedup.SQL,
         "op9_warc": warc.SQL,
     }
