@@ -22,6 +22,7 @@ ids are those of the sentencepiece library for either kind.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -118,20 +119,20 @@ def _spine(tree: tuple, side: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def piece_table(spark, vocabulary: Vocabulary) -> tuple[DataFrame, list[str], list[str]]:
+def piece_table(spark, vocabulary: Vocabulary) -> tuple[DataFrame, list, list]:
     """(_piece, _id) for each piece that texts can have, and spines by id: left and right.
 
     A spine tells what stood at that end of a piece while it was merged, the outermost
     first: length, rank at which it came to be, rank at which it was merged away.
     """
-    rows, left, right = [], ["-"] * len(vocabulary.pieces), ["-"] * len(vocabulary.pieces)
+    rows, left, right = [], [[]] * len(vocabulary.pieces), [[]] * len(vocabulary.pieces)
     for i in vocabulary.normal:
         piece = vocabulary.pieces[i]
         if vocabulary.kind == "bpe":
             tree = _merged(piece, vocabulary.ranks)
             if tree is None:
                 continue
-            left[i], right[i] = (";".join(",".join(map(str, s)) for s in _spine(tree, side)) for side in (2, 3))
+            left[i], right[i] = (_spine(tree, side) for side in (2, 3))
         rows.append((piece, i))
     import pandas as pd
 
@@ -172,31 +173,35 @@ def lattice(units: DataFrame, vocabulary: Vocabulary, keep: str | None = None) -
     def id_of(x: Column) -> Column:
         return x.bitwiseAND((1 << _ID_BITS) - 1).cast("int") - 1
 
-    # constants: one string each, which the optimizer splits once
-    lefts, rights = F.split(F.lit(" ".join(left)), " "), F.split(F.lit(" ".join(right)), " ")
+    def constant(values: list, kind: str) -> Column:
+        # one string that the optimizer parses once
+        return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
+
+    lefts, rights = constant(left, "array<array<array<int>>>"), constant(right, "array<array<array<int>>>")
     ranked = set(vocabulary.normal)
-    numbers = F.split(F.lit(" ".join(str(vocabulary.ranks[p]) if i in ranked else "-1" for i, p in enumerate(vocabulary.pieces))), " ")
-    single = f"1,{_EVER},{_NEVER}"
+    numbers = constant([vocabulary.ranks[p] if i in ranked else -1 for i, p in enumerate(vocabulary.pieces)], "array<int>")
+    single = F.array(F.array(F.lit(1), F.lit(_EVER), F.lit(_NEVER)))
 
     def spine(table: Column, x: Column) -> Column:
         # a character that is no piece of its own stands alone for ever
-        return F.split(F.when(id_of(x) < 0, single).otherwise(F.get(table, id_of(x))), ";")
+        return F.when(id_of(x) < 0, single).otherwise(F.get(table, id_of(x)))
 
     def number(part: Column, k: int) -> Column:
-        return F.get(F.split(part, ","), F.lit(k)).cast("int")
+        return F.get(part, F.lit(k))
 
     def free(chosen: Column, x: Column) -> Column:
         """No merge across the seam in front of edge ``x`` would have come first."""
         seam = start_of(x)
 
-        def crosses(i: Column, j: Column) -> Column:
-            # both stood beside the seam at one time; equal ranks merge from the left
-            met = (number(i, 1) <= number(j, 2)) & (number(j, 1) < number(i, 2))
-            over = F.get(F.col("_ends"), seam + number(j, 0) - 1)
-            return met & F.exists(over, lambda y: (start_of(y) == seam - number(i, 0)) & _first(F.get(numbers, id_of(y)).cast("int"), number(i, 2), number(j, 2)))
+        def crosses(y: Column, j: Column) -> Column:
+            # what it would merge stood on both sides of the seam at one time; equal ranks merge from the left
+            met = lambda i: (number(i, 0) == seam - start_of(y)) & (number(i, 1) <= number(j, 2)) & (number(j, 1) < number(i, 2))
+            rank = F.get(numbers, id_of(y))
+            return (start_of(y) < seam) & F.exists(before, lambda i: met(i) & _first(rank, number(i, 2), number(j, 2)))
 
         before = spine(rights, F.get(chosen, seam - 1))
-        return (seam == 0) | ~F.exists(before, lambda i: F.exists(spine(lefts, x), lambda j: crosses(i, j)))
+        over = lambda j: F.get(F.col("_ends"), seam + number(j, 0) - 1)
+        return (seam == 0) | ~F.exists(spine(lefts, x), lambda j: F.exists(over(j), lambda y: crosses(y, j)))
 
     def merged(chosen: Column, at: Column) -> Column:
         # one edge fits; if it is alone it needs no proof
@@ -207,8 +212,8 @@ def lattice(units: DataFrame, vocabulary: Vocabulary, keep: str | None = None) -
         chosen = by_unit.select("_unit", *kept, F.aggregate("_ends", F.array().cast("array<long>"), merged).alias("_chosen"))
     else:
         # as the library does, an unknown character costs ten more than the worst piece
-        scores = F.split(F.lit(" ".join(map(repr, vocabulary.scores))), " ")
-        score = lambda x: F.when(id_of(x) < 0, min(vocabulary.scores) - 10.0).otherwise(F.get(scores, id_of(x)).cast("double"))
+        scores = constant(vocabulary.scores, "array<double>")
+        score = lambda x: F.when(id_of(x) < 0, min(vocabulary.scores) - 10.0).otherwise(F.get(scores, id_of(x)))
 
         def viterbi(state: Column, at: Column) -> Column:
             # of equal sums the longest last piece
