@@ -129,7 +129,15 @@ def knn_batch(nodes: DataFrame, queries, config: QuantizerConfig, index: IndexCo
     ``width`` of 0 is 10 * k, 100 at least.
     """
     index = index or IndexConfig()
-    qids, q = _search._queries(queries)
+    out = None
+    for qids, q in _search._queries(queries):
+        one = _search._ranked(_walked(nodes, qids, q, config, index, k, width, id_col, gone, digits), id_col, k)
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else _search._ranked(_walked(nodes.limit(0), [0], np.zeros((1, config.dim)), config, index, k, width, id_col, gone, digits), id_col, k)
+
+
+def _walked(nodes: DataFrame, qids: list, q: np.ndarray, config: QuantizerConfig, index: IndexConfig, k: int, width: int, id_col: str, gone: DataFrame | None, digits: int | None) -> DataFrame:
+    """(qid, id, score): for each shard and query what the walk finds."""
     rotated, levels = codec.rotation(config).forward(unit(q)[0]), codec.codebook(config.work_dim, config.bits, config.exact_pdf)[0]
     width = width or max(100, 10 * k)
     shared = nodes.sparkSession.sparkContext.broadcast((rotated, qids))
@@ -149,5 +157,4 @@ def knn_batch(nodes: DataFrame, queries, config: QuantizerConfig, index: IndexCo
         score = np.array(score, np.float64)
         return pa.table([pa.array(who, pa.int64()), ids.take(pa.array(place, pa.int64())), pa.array(score if digits is None else np.round(score, digits))], names=["qid", id_col, "score"])
 
-    found = marked.groupBy("shard").applyInArrow(walk, f"qid long, `{id_col}` {kind}, score double")
-    return _search._ranked(found, id_col, k)
+    return marked.groupBy("shard").applyInArrow(walk, f"qid long, `{id_col}` {kind}, score double")

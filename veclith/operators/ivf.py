@@ -131,10 +131,21 @@ def search(rows: DataFrame, centers: np.ndarray, query, config: QuantizerConfig,
 
 def knn_batch(rows: DataFrame, centers: np.ndarray, queries, config: QuantizerConfig, probe: int, k: int = 10, id_col: str = "vec_id", digits: int | None = None) -> DataFrame:
     """(qid, id, score, rank): each query against its own probed partitions, one pass over the rows."""
-    qids, q = _search._queries(queries)
-    u = unit(q)[0]
-    rotated = codec.rotation(config).forward(u)
-    near = np.argsort(-np.round(rotated @ centers.T, 9), axis=1, kind="stable")[:, :probe]
+    out = None
+    for qids, q in _search._queries(queries):
+        one = _search._ranked(_probed_batch(rows, centers, qids, q, config, probe, k, id_col, digits), id_col, k)
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else _search._ranked(_probed_batch(rows.limit(0), centers, [0], np.zeros((1, config.dim)), config, probe, k, id_col, digits), id_col, k)
+
+
+def _order(centers: np.ndarray, q: np.ndarray, config: QuantizerConfig) -> np.ndarray:
+    """For each query the partitions, nearest first."""
+    return np.argsort(-np.round(codec.rotation(config).forward(unit(q)[0]) @ centers.T, 9), axis=1, kind="stable")
+
+
+def _probed_batch(rows: DataFrame, centers: np.ndarray, qids: list, q: np.ndarray, config: QuantizerConfig, probe: int, k: int, id_col: str, digits: int | None) -> DataFrame:
+    """(qid, id, score): for each batch and query its k best rows of the probed partitions."""
+    rotated, near = codec.rotation(config).forward(unit(q)[0]), _order(centers, q, config)[:, :probe]
     of = [np.flatnonzero((near == p).any(1)) for p in range(len(centers))]
     levels = codec.codebook(config.work_dim, config.bits, config.exact_pdf)[0]
     shared = rows.sparkSession.sparkContext.broadcast((rotated, np.array(qids, np.int64), of))
@@ -151,14 +162,16 @@ def knn_batch(rows: DataFrame, centers: np.ndarray, queries, config: QuantizerCo
                 own = np.flatnonzero(parts == p)
                 if not len(of[p]):
                     continue
-                scores = levels[code_matrix(batch.column(1).take(pa.array(own)), config.work_dim)] @ q[of[p]].T
-                scores = scores if digits is None else np.round(scores, digits)
-                for j, who in enumerate(of[p]):
-                    best = _search._best(scores[:, j], ids[own], k)
-                    out.append((np.full(len(best), names[who]), own[best], scores[best, j]))
+                values = levels[code_matrix(batch.column(1).take(pa.array(own)), config.work_dim)]
+                for tile in range(0, len(of[p]), _search._TILE):
+                    asked = of[p][tile : tile + _search._TILE]
+                    scores = values @ q[asked].T
+                    scores = scores if digits is None else np.round(scores, digits)
+                    for j, who in enumerate(asked):
+                        best = _search._best(scores[:, j], ids[own], k)
+                        out.append((np.full(len(best), names[who]), own[best], scores[best, j]))
             if out:
                 who, places, scores = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(who), batch.column(0).take(pa.array(places)), pa.array(scores)], names=["qid", id_col, "score"])
 
-    found = rows.select(id_col, "codes", "ivf_part").mapInArrow(run, f"qid long, `{id_col}` {kind}, score double")
-    return _search._ranked(found, id_col, k)
+    return rows.select(id_col, "codes", "ivf_part").mapInArrow(run, f"qid long, `{id_col}` {kind}, score double")

@@ -22,7 +22,8 @@ from .quantize import code_matrix, decode, matrix, unit
 
 #: Most bytes of rotated queries in one pass; larger batches are taken in blocks.
 QUERY_BYTES = 64 << 20
-_PIECE = 4096
+#: Rows and queries that are scored at once.
+_PIECE, _TILE = 4096, 1024
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -47,18 +48,19 @@ def _score(df: DataFrame, id_col: str, columns: list[str], block, queries: np.nd
         for batch in batches:
             for start in range(0, batch.num_rows, _PIECE):
                 some = batch.slice(start, _PIECE)
-                all_scores = block(some) @ q.T
-                if digits is not None:
-                    all_scores = np.round(all_scores, digits)
-                ids, parts = some.column(0).to_numpy(zero_copy_only=False), []
-                for j in range(len(q)):
-                    scores = all_scores[:, j]
-                    rows = np.arange(len(scores)) if minimum <= 0 else np.flatnonzero(scores >= minimum)
-                    if k is not None:
-                        rows = rows[_best(scores[rows], ids[rows], k)]
-                    parts.append((np.full(len(rows), names[j]), rows, scores[rows]))
-                who, rows, scores = (np.concatenate(p) for p in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(who), some.column(0).take(pa.array(rows)), pa.array(scores.astype(np.float64))], names=["qid", id_col, "score"])
+                values, ids = block(some), some.column(0).to_numpy(zero_copy_only=False)
+                for tile in range(0, len(q), _TILE):
+                    all_scores, parts = values @ q[tile : tile + _TILE].T, []
+                    if digits is not None:
+                        all_scores = np.round(all_scores, digits)
+                    for j in range(all_scores.shape[1]):
+                        scores = all_scores[:, j]
+                        rows = np.arange(len(scores)) if minimum <= 0 else np.flatnonzero(scores >= minimum)
+                        if k is not None:
+                            rows = rows[_best(scores[rows], ids[rows], k)]
+                        parts.append((np.full(len(rows), names[tile + j]), rows, scores[rows]))
+                    who, rows, scores = (np.concatenate(p) for p in zip(*parts, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(who), some.column(0).take(pa.array(rows)), pa.array(scores.astype(np.float64))], names=["qid", id_col, "score"])
 
     return df.select(id_col, *columns).mapInArrow(run, f"qid long, `{id_col}` {kind}, score double")
 
@@ -73,11 +75,13 @@ def _ranked(scored: DataFrame, id_col: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _batch(df, id_col, columns, block, rows: np.ndarray, qids: list, k: int, minimum: float, digits: int | None) -> DataFrame:
+def _batch(df, id_col, columns, block, blocks, width: int, k: int, minimum: float, digits: int | None) -> DataFrame:
     out = None
-    for part in _blocks(len(rows), rows.shape[1]):
-        one = _ranked(_score(df, id_col, columns, block, rows[part.start : part.stop], [qids[i] for i in part], k, minimum, digits), id_col, k)
+    for qids, rows in blocks:
+        one = _ranked(_score(df, id_col, columns, block, rows, qids, k, minimum, digits), id_col, k)
         out = one if out is None else out.unionByName(one)
+    if out is None:  # no query
+        out = _ranked(_score(df.limit(0), id_col, columns, block, np.zeros((1, width)), [0], k, minimum, digits), id_col, k)
     return out
 
 
@@ -90,32 +94,48 @@ def _raw_block(vector_col: str):
     return lambda batch: unit(matrix(batch.column(vector_col)))[0]
 
 
-def _queries(queries) -> tuple[list, np.ndarray]:
-    """Ids and vectors of a stated query set: (id, vector) pairs or a DataFrame of two columns."""
-    rows = [(r[0], r[1]) for r in queries.collect()] if isinstance(queries, DataFrame) else list(queries)
-    return [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+def _queries(queries):
+    """Blocks of (ids, vectors) of about QUERY_BYTES: of (id, vector) pairs, or of a DataFrame of two columns.
+
+    Of a DataFrame one block at a time is on the driver.
+    """
+    if not isinstance(queries, DataFrame):
+        rows = list(queries)
+        qids, q = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1 if rows else 0)
+        for part in _blocks(len(q), q.shape[1]):
+            yield [qids[i] for i in part], q[part.start : part.stop]
+        return
+    rows = queries.select(F.col(queries.columns[0]).cast("long").alias("qid"), F.col(queries.columns[1]).cast("array<double>").alias("vector"))
+    known = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("width")).first()
+    count = -(-known["n"] * 8 * known["width"] // QUERY_BYTES)
+    for number in range(count):
+        table = rows.where(F.pmod(F.xxhash64("qid"), F.lit(count)) == number).toArrow()
+        if table.num_rows:
+            yield table.column(0).to_pylist(), matrix(table.column(1).combine_chunks())
 
 
 def knn_batch(codes: DataFrame, queries, config: QuantizerConfig, k: int = 10, id_col: str = "vec_id", minimum: float = 0.0, digits: int | None = None) -> DataFrame:
     """(qid, id, score, rank): for each query the k rows of ``codes`` with the highest asymmetric score.
 
-    ``queries`` is a stated set that the driver can hold. Equal scores go by id. Queries
-    that count as zero find nothing. ``digits`` rounds scores before they are compared.
+    ``queries`` are (id, vector) pairs that the driver can hold, or a DataFrame of both, of
+    any size, taken in blocks. Equal scores go by id. Queries that count as zero find
+    nothing. ``digits`` rounds scores before they are compared.
     """
-    qids, q = _queries(queries)
-    u, lengths = unit(q)
-    keep = np.flatnonzero(lengths >= TINY)
-    rotated = codec.rotation(config).forward(u[keep])
-    if not len(keep):
-        rotated, keep = np.zeros((0, config.work_dim)), keep
-        return _ranked(_score(codes.limit(0), id_col, ["codes"], _codes_block(config), np.zeros((1, config.work_dim)), [0], k, minimum, digits), id_col, k)
-    return _batch(codes, id_col, ["codes"], _codes_block(config), rotated, [qids[i] for i in keep], k, minimum, digits)
+
+    def rotated():
+        for qids, q in _queries(queries):
+            u, lengths = unit(q)
+            keep = np.flatnonzero(lengths >= TINY)
+            if len(keep):
+                yield [qids[i] for i in keep], codec.rotation(config).forward(u[keep])
+
+    return _batch(codes, id_col, ["codes"], _codes_block(config), rotated(), config.work_dim, k, minimum, digits)
 
 
 def exact_batch(vectors: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", digits: int | None = None) -> DataFrame:
     """(qid, id, score, rank) by exact cosine over full vectors: the ground truth of recall."""
-    qids, q = _queries(queries)
-    return _batch(vectors, id_col, [vector_col], _raw_block(vector_col), unit(q)[0], qids, k, 0.0, digits)
+    units = ((qids, unit(q)[0]) for qids, q in _queries(queries))
+    return _batch(vectors, id_col, [vector_col], _raw_block(vector_col), units, 1, k, 0.0, digits)
 
 
 def search(

@@ -19,7 +19,7 @@ from ..operators import hnsw, ivf, kvcache, metrics, search
 from ..operators.collection import live, store_info
 from ..operators.quantize import asymmetric_cosine, dequantize, inner_product, quantize, quantize_product
 
-DIM, QUERIES, DIGITS = 64, 100, 6
+DIM, QUERIES, EVERY, DIGITS = 64, 100, 50, 6
 CONFIG = QuantizerConfig(DIM, bits=8)
 CONFIG4 = QuantizerConfig(DIM, bits=4)
 CACHE = CacheConfig(layers=2, heads=4, head_dim=DIM, bits=8)
@@ -42,6 +42,11 @@ def _stated(spark, sf, n=QUERIES) -> list[tuple[int, list[float]]]:
     return [(r[0], r[1]) for r in _embeddings(spark, sf).where(F.col("vec_id") < n).select("vec_id", F.col("embedding").cast("array<double>")).orderBy("vec_id").collect()]
 
 
+def _every(spark, sf) -> DataFrame:
+    """The query set that grows with the table: every row whose id is divisible by EVERY."""
+    return _embeddings(spark, sf).where(F.col("vec_id") % EVERY == 0).select("vec_id", "embedding")
+
+
 def _one(spark, sf, vec_id=7) -> list[float]:
     return _embeddings(spark, sf).where(F.col("vec_id") == vec_id).select(F.col("embedding").cast("array<double>")).first()[0]
 
@@ -60,8 +65,8 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 # --- queries ---------------------------------------------------------------------------
 
 
-def exact_cosine_topk(spark, sf):
-    return search.exact_batch(_embeddings(spark, sf), _stated(spark, sf), digits=DIGITS)
+def exact_cosine_topk(spark, sf, stated=_stated):
+    return search.exact_batch(_embeddings(spark, sf), stated(spark, sf), digits=DIGITS)
 
 
 def exact_cosine_sql_lane(spark, sf):
@@ -89,12 +94,12 @@ def quantize_codes(spark, sf):
     return _codes(spark, sf, CONFIG4).select("vec_id", F.hex("codes").alias("codes"), F.round(F.col("norm").cast("double"), 5).alias("norm"))
 
 
-def knn_batch(spark, sf):
-    return search.knn_batch(_codes(spark, sf), _stated(spark, sf), CONFIG, digits=DIGITS)
+def knn_batch(spark, sf, stated=_stated):
+    return search.knn_batch(_codes(spark, sf), stated(spark, sf), CONFIG, digits=DIGITS)
 
 
-def knn_batch_4bit(spark, sf):
-    return search.knn_batch(_codes(spark, sf, CONFIG4), _stated(spark, sf), CONFIG4, digits=DIGITS)
+def knn_batch_4bit(spark, sf, stated=_stated):
+    return search.knn_batch(_codes(spark, sf, CONFIG4), stated(spark, sf), CONFIG4, digits=DIGITS)
 
 
 def rotated_score_topk(spark, sf):
@@ -166,39 +171,39 @@ def filter_variant_mismatch(spark, sf):
     return f.or_(f.eq("k", "42"), f.ne("nothing", 1), f.and_(f.nin("k", 1, 2), f.not_contains("k", "x"), f.lte("k", 5))).apply(events, "data").select("event_id")
 
 
-def _truth(spark, sf):
-    return search.exact_batch(_embeddings(spark, sf), _stated(spark, sf), digits=DIGITS)
+def _truth(spark, sf, stated=_stated):
+    return search.exact_batch(_embeddings(spark, sf), stated(spark, sf), digits=DIGITS)
 
 
-def recall_at_k(spark, sf):
-    return metrics.recall(_truth(spark, sf), knn_batch_4bit(spark, sf)).select("qid", F.round("recall", DIGITS).alias("recall"))
+def recall_at_k(spark, sf, stated=_stated):
+    return metrics.recall(_truth(spark, sf, stated), knn_batch_4bit(spark, sf, stated)).select("qid", F.round("recall", DIGITS).alias("recall"))
 
 
-def recall_summary(spark, sf):
-    return metrics.perfect(metrics.recall(_truth(spark, sf), knn_batch(spark, sf))).select("queries", "perfect", F.round("mean_recall", DIGITS).alias("mean_recall"))
+def recall_summary(spark, sf, stated=_stated):
+    return metrics.perfect(metrics.recall(_truth(spark, sf, stated), knn_batch(spark, sf, stated))).select("queries", "perfect", F.round("mean_recall", DIGITS).alias("mean_recall"))
 
 
-def ndcg_at_k(spark, sf):
-    return metrics.ndcg(_truth(spark, sf), knn_batch_4bit(spark, sf)).select("qid", F.round("ndcg", DIGITS).alias("ndcg"))
+def ndcg_at_k(spark, sf, stated=_stated):
+    return metrics.ndcg(_truth(spark, sf, stated), knn_batch_4bit(spark, sf, stated)).select("qid", F.round("ndcg", DIGITS).alias("ndcg"))
 
 
-def score_pearson(spark, sf):
-    got = metrics.scores(_truth(spark, sf), knn_batch_4bit(spark, sf))
+def score_pearson(spark, sf, stated=_stated):
+    got = metrics.scores(_truth(spark, sf, stated), knn_batch_4bit(spark, sf, stated))
     return got.select(F.round("avg_diff", DIGITS).alias("avg_diff"), F.round("max_diff", DIGITS).alias("max_diff"))
 
 
-def rank_displacement(spark, sf):
-    got = metrics.displacement(_truth(spark, sf), knn_batch_4bit(spark, sf))
+def rank_displacement(spark, sf, stated=_stated):
+    got = metrics.displacement(_truth(spark, sf, stated), knn_batch_4bit(spark, sf, stated))
     return got.select("found", F.round("avg_displacement", DIGITS).alias("avg_displacement"), F.col("max_displacement").cast("long").alias("max_displacement"))
 
 
-def near_misses(spark, sf):
-    eleven = search.exact_batch(_embeddings(spark, sf), _stated(spark, sf), k=11, digits=DIGITS)
+def near_misses(spark, sf, stated=_stated):
+    eleven = search.exact_batch(_embeddings(spark, sf), stated(spark, sf), k=11, digits=DIGITS)
     return metrics.near_misses(eleven).select("qid", F.round("gap", DIGITS).alias("gap"))
 
 
-def score_percentiles(spark, sf):
-    truth = _truth(spark, sf)
+def score_percentiles(spark, sf, stated=_stated):
+    truth = _truth(spark, sf, stated)
     parts = [metrics.percentile(truth, "score", p).select(F.lit(p).alias("p"), F.round("value", DIGITS).alias("value")) for p in (50, 95, 99)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -223,18 +228,18 @@ def ivf_trained(spark, sf):
     index = IndexConfig(kind="ivf")
     centers = ivf.train(codes, CONFIG, index)
     probe = ivf.sizes(codes.count(), index)[1]
-    return ivf.knn_batch(ivf.assign(codes, centers, CONFIG), centers, _stated(spark, sf), CONFIG, probe=2 * probe, digits=DIGITS)
+    return ivf.knn_batch(ivf.assign(codes, centers, CONFIG), centers, _every(spark, sf), CONFIG, probe=2 * probe, digits=DIGITS)
 
 
-def ivf_all_probes(spark, sf):
+def ivf_all_probes(spark, sf, stated=_stated):
     """With every partition probed the index finds what the scan finds."""
     rows = ivf.assign(_codes(spark, sf), _centers(16), CONFIG)
-    return ivf.knn_batch(rows, _centers(16), _stated(spark, sf), CONFIG, probe=16, digits=DIGITS)
+    return ivf.knn_batch(rows, _centers(16), stated(spark, sf), CONFIG, probe=16, digits=DIGITS)
 
 
 def hnsw_search(spark, sf):
     nodes = hnsw.build(_codes(spark, sf), CONFIG, IndexConfig(kind="hnsw"))
-    return hnsw.knn_batch(nodes, _stated(spark, sf), CONFIG, digits=DIGITS)
+    return hnsw.knn_batch(nodes, _every(spark, sf), CONFIG, digits=DIGITS)
 
 
 def product_inner(spark, sf):
@@ -279,6 +284,16 @@ def info(spark, sf):
     return store_info(_codes(spark, sf, CONFIG4), CONFIG4)
 
 
+#: Queries over the stated set, which are also there over the set that grows with the table.
+GROWING = (
+    exact_cosine_topk, knn_batch, knn_batch_4bit, recall_at_k, recall_summary, ndcg_at_k, score_pearson, rank_displacement, near_misses, score_percentiles, ivf_all_probes,
+)
+
+
+def _over_every(query):
+    return lambda spark, sf: query(spark, sf, _every)
+
+
 def queries() -> dict:
     """By name, each a callable (spark, sf_dir)."""
     plain = [
@@ -287,7 +302,7 @@ def queries() -> dict:
         ndcg_at_k, score_pearson, rank_displacement, near_misses, score_percentiles, ivf_assign, ivf_search, ivf_trained, ivf_all_probes, hnsw_search, product_inner,
         attention_scores, seq_len, cache_memory, live_view_after_crud,
     ]
-    return {q.__name__: q for q in plain} | {"store_info": info} | {f"filter_{name}": _leaf(name) for name in _LEAVES}
+    return {q.__name__: q for q in plain} | {f"{q.__name__}_every{EVERY}": _over_every(q) for q in GROWING} | {"store_info": info} | {f"filter_{name}": _leaf(name) for name in _LEAVES}
 
 
 # --- SQL -------------------------------------------------------------------------------
@@ -326,18 +341,27 @@ def _top(source: str, name: str, k: int = 10) -> str:
 {name} AS (SELECT * FROM (SELECT qid, vec_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM {source}) WHERE rank <= {k})"""
 
 
-_EXACT = f"""
+def _exact(where: str) -> str:
+    """CTE exact: cosines of the queries that ``where`` picks."""
+    return f"""
 qx AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range({DIM}) t(i)),
 nx AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM qx GROUP BY vec_id),
 ux AS (SELECT qx.vec_id, i, x / norm AS x FROM qx JOIN nx ON qx.vec_id = nx.vec_id),
-exact AS (SELECT a.vec_id AS qid, b.vec_id, round(sum(a.x * b.x), {DIGITS}) AS score FROM ux a JOIN ux b ON a.i = b.i WHERE a.vec_id < {QUERIES} GROUP BY a.vec_id, b.vec_id)"""
+exact AS (SELECT a.vec_id AS qid, b.vec_id, round(sum(a.x * b.x), {DIGITS}) AS score FROM ux a JOIN ux b ON a.i = b.i WHERE {where} GROUP BY a.vec_id, b.vec_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
     """For each query that SQL can express."""
-    truth = _EXACT + "," + _top("exact", "truth")
-    four = _coded(CONFIG4) + "," + _scored(CONFIG4, f"q.vec_id < {QUERIES}") + "," + _top("scored", "found")
-    eight = _coded(CONFIG) + "," + _scored(CONFIG, f"q.vec_id < {QUERIES}") + "," + _top("scored", "found")
+    grown = _sql(f"vec_id % {EVERY} = 0")
+    return _sql(f"vec_id < {QUERIES}") | {f"{q.__name__}_every{EVERY}": grown[q.__name__] for q in GROWING}
+
+
+def _sql(chosen: str) -> dict[str, str]:
+    """By name, with the query set that ``chosen`` picks by vec_id."""
+    exact = _exact(f"a.{chosen}")
+    truth = exact + "," + _top("exact", "truth")
+    four = _coded(CONFIG4) + "," + _scored(CONFIG4, f"q.{chosen}") + "," + _top("scored", "found")
+    eight = _coded(CONFIG) + "," + _scored(CONFIG, f"q.{chosen}") + "," + _top("scored", "found")
     pair = "pair AS (SELECT t.qid, t.vec_id, t.rank AS t_rank, p.rank AS p_rank FROM truth t LEFT JOIN found p ON t.qid = p.qid AND t.vec_id = p.vec_id)"
     one = _coded(CONFIG) + "," + _scored(CONFIG, "q.vec_id = 7")
     one4 = _coded(CONFIG4) + "," + _scored(CONFIG4, "q.vec_id = 7")
@@ -349,7 +373,7 @@ assigned AS (SELECT vec_id, CAST(p AS INTEGER) AS ivf_part FROM (SELECT *, row_n
     joined = "corpus AS (SELECT e.vec_id, lang, source, n_chars FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id)"
     sql = {
         "exact_cosine_topk": f"WITH {truth} SELECT * FROM truth",
-        "exact_cosine_sql_lane": f"WITH {_EXACT} SELECT vec_id, score FROM exact WHERE qid = 7 ORDER BY score DESC, vec_id LIMIT 10",
+        "exact_cosine_sql_lane": f"WITH {exact} SELECT vec_id, score FROM exact WHERE qid = 7 ORDER BY score DESC, vec_id LIMIT 10",
         "vector_functions": f"""WITH v AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range({DIM}) t(i)),
 n AS (SELECT vec_id, sqrt(sum(4 * x * x)) AS norm FROM v GROUP BY vec_id)
 SELECT v.vec_id, round(any_value(norm), {DIGITS}) AS norm2, round(sum(2 * x * x), {DIGITS}) AS dot2, round(sum((x - 2 * x / norm) * (x - 2 * x / norm)), {DIGITS}) AS l2,
@@ -376,7 +400,7 @@ SELECT vec_id, score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS IN
         "ndcg_at_k": f"WITH {truth}, {four}, {pair} SELECT qid, round(sum(CASE WHEN p_rank IS NULL THEN 0 ELSE (11 - t_rank) / log2(p_rank + 1) END) / sum((11 - t_rank) / log2(t_rank + 1)), {DIGITS}) AS ndcg FROM pair GROUP BY qid",
         "score_pearson": f"WITH {truth}, {four}, b AS (SELECT t.score AS t, p.score AS p FROM truth t JOIN found p ON t.qid = p.qid WHERE t.rank = 1 AND p.rank = 1) SELECT round(avg(p - t), {DIGITS}) AS avg_diff, round(max(abs(p - t)), {DIGITS}) AS max_diff FROM b",
         "rank_displacement": f"WITH {truth}, {four}, {pair} SELECT count(*) AS found, round(avg(abs(t_rank - p_rank)), {DIGITS}) AS avg_displacement, CAST(max(abs(t_rank - p_rank)) AS BIGINT) AS max_displacement FROM pair WHERE p_rank IS NOT NULL",
-        "near_misses": f"WITH {_EXACT}, {_top('exact', 'truth', 11)}, g AS (SELECT qid, max(score) - min(score) AS gap FROM truth WHERE rank IN (10, 11) GROUP BY qid) SELECT qid, round(gap, {DIGITS}) AS gap FROM g WHERE gap < 0.01",
+        "near_misses": f"WITH {exact}, {_top('exact', 'truth', 11)}, g AS (SELECT qid, max(score) - min(score) AS gap FROM truth WHERE rank IN (10, 11) GROUP BY qid) SELECT qid, round(gap, {DIGITS}) AS gap FROM g WHERE gap < 0.01",
         "score_percentiles": f"WITH {truth}, s AS (SELECT list(score ORDER BY score) AS v FROM truth) SELECT CAST(p AS INTEGER) AS p, round(v[least(CAST(floor(len(v) * p / 100) AS BIGINT), len(v) - 1) + 1], {DIGITS}) AS value FROM s, (VALUES (50), (95), (99)) t(p)",
         "ivf_assign": f"WITH {_coded(CONFIG)}, {parts} SELECT vec_id, ivf_part FROM assigned",
         "ivf_search": f"""WITH {one}, {parts}, near AS (SELECT p FROM (SELECT p, round(sum(r * x), 9) AS d FROM rot JOIN cen ON rot.j = cen.j WHERE vec_id = 7 GROUP BY p) ORDER BY d DESC, p LIMIT 4)
