@@ -3,8 +3,9 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from veclith.operators import search
+from veclith.operators import metrics, search
 from veclith.plans import catalog
 
 ROWS = 1000
@@ -46,3 +47,10 @@ def test_queries_in_blocks(spark, folder, monkeypatch):
     monkeypatch.setattr(search, "QUERY_BYTES", 8 * catalog.DIM * 7)
     assert len(list(search._queries(catalog._every(spark, folder)))) > 1
     assert one == [ranks(catalog.queries()[name](spark, folder)) for name in ("knn_batch_every50", "exact_cosine_topk_every50", "ivf_all_probes_every50")]
+
+
+def test_index_searches_reach_their_recall(spark, folder):
+    found = catalog.queries()
+    truth = found["exact_cosine_topk_every50"](spark, folder).cache()
+    for name in ("ivf_trained", "ivf_search_every50"):
+        assert metrics.recall(truth, found[name](spark, folder)).agg(F.avg("recall")).first()[0] >= 0.9, name

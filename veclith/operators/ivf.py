@@ -22,6 +22,8 @@ from .quantize import _apply, code_matrix, unit
 #: Rows from which seeds are drawn, a bound that doesn't depend on the data's size.
 SEED_ROWS = 20_000
 ROUNDS = 20
+#: Queries at most by which :func:`probes_for` measures, and the recall that it looks for.
+TUNE_QUERIES, RECALL = 1000, 0.9
 AUTO_ROWS, LEAST_ROWS = 10_000, 100
 
 
@@ -143,6 +145,27 @@ def _order(centers: np.ndarray, q: np.ndarray, config: QuantizerConfig) -> np.nd
     return np.argsort(-np.round(codec.rotation(config).forward(unit(q)[0]) @ centers.T, 9), axis=1, kind="stable")
 
 
+def probes_for(rows: DataFrame, centers: np.ndarray, vectors: DataFrame, queries: DataFrame, config: QuantizerConfig, k: int = 10, target: float = RECALL, id_col: str = "vec_id", digits: int | None = None) -> int:
+    """The fewest partitions to probe for a mean recall@k of ``target`` against exact search over ``vectors``.
+
+    Measured on ``queries`` (id, vector), of more than TUNE_QUERIES on those that a hash of
+    their ids picks. A true row that a scan of all codes finds is found as soon as its
+    partition is probed, so one scan bounds the recall of every number of probes from below.
+    """
+    some = queries.orderBy(F.xxhash64(queries.columns[0]), queries.columns[0]).limit(TUNE_QUERIES)
+    asked = [(r[0], r[1]) for r in some.collect()]
+    if not asked or not len(centers):
+        return len(centers)
+    truth = _search.exact_batch(vectors, asked, k, id_col, some.columns[1], digits)
+    scanned = _search.knn_batch(rows, asked, config, k, id_col, digits=digits).select("qid", id_col, F.lit(True).alias("scanned"))
+    found = truth.join(scanned, ["qid", id_col], "left").join(rows.select(id_col, "ivf_part"), id_col).select("qid", "ivf_part", "scanned").toPandas()
+    order = _order(centers, np.array([q for _, q in asked], np.float64), config)
+    places = dict(zip((q for q, _ in asked), np.argsort(order, axis=1), strict=True))
+    at = np.array([places[q][p] for q, p, s in found.itertuples(index=False) if s is True], np.int64)
+    reached = np.cumsum(np.bincount(at, minlength=len(centers))) >= target * len(found)
+    return int(reached.argmax()) + 1 if reached.any() else len(centers)
+
+
 def _probed_batch(rows: DataFrame, centers: np.ndarray, qids: list, q: np.ndarray, config: QuantizerConfig, probe: int, k: int, id_col: str, digits: int | None) -> DataFrame:
     """(qid, id, score): for each batch and query its k best rows of the probed partitions."""
     rotated, near = codec.rotation(config).forward(unit(q)[0]), _order(centers, q, config)[:, :probe]

@@ -224,11 +224,20 @@ def ivf_search(spark, sf):
 
 
 def ivf_trained(spark, sf):
+    """Trained centroids, and as many probes as a measured recall of ivf.RECALL takes."""
     codes = _codes(spark, sf)
-    index = IndexConfig(kind="ivf")
-    centers = ivf.train(codes, CONFIG, index)
-    probe = ivf.sizes(codes.count(), index)[1]
-    return ivf.knn_batch(ivf.assign(codes, centers, CONFIG), centers, _every(spark, sf), CONFIG, probe=2 * probe, digits=DIGITS)
+    return _tuned(spark, sf, codes, ivf.train(codes, CONFIG, IndexConfig(kind="ivf")))
+
+
+def _tuned(spark, sf, codes, centers):
+    rows, queries = ivf.assign(codes, centers, CONFIG), _every(spark, sf)
+    probe = ivf.probes_for(rows, centers, _embeddings(spark, sf), queries, CONFIG, digits=DIGITS)
+    return ivf.knn_batch(rows, centers, queries, CONFIG, probe=probe, digits=DIGITS)
+
+
+def ivf_search_every50(spark, sf):
+    """The fixed centroids of ``ivf_search``, probed as far as a measured recall of ivf.RECALL takes."""
+    return _tuned(spark, sf, _codes(spark, sf), _centers(16))
 
 
 def ivf_all_probes(spark, sf, stated=_stated):
@@ -299,7 +308,7 @@ def queries() -> dict:
     plain = [
         exact_cosine_topk, exact_cosine_sql_lane, vector_functions, quantize_codes, knn_batch, knn_batch_4bit, rotated_score_topk, min_score_search, paged_search,
         filtered_search, rescore_topk, asym_cosine_topk, dequantize_cosine, filter_only_query, filter_variant, filter_variant_mismatch, recall_at_k, recall_summary,
-        ndcg_at_k, score_pearson, rank_displacement, near_misses, score_percentiles, ivf_assign, ivf_search, ivf_trained, ivf_all_probes, hnsw_search, product_inner,
+        ndcg_at_k, score_pearson, rank_displacement, near_misses, score_percentiles, ivf_assign, ivf_search, ivf_search_every50, ivf_trained, ivf_all_probes, hnsw_search, product_inner,
         attention_scores, seq_len, cache_memory, live_view_after_crud,
     ]
     return {q.__name__: q for q in plain} | {f"{q.__name__}_every{EVERY}": _over_every(q) for q in GROWING} | {"store_info": info} | {f"filter_{name}": _leaf(name) for name in _LEAVES}
