@@ -97,6 +97,11 @@ def mark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     With an empty benchmark nothing is contaminated; an empty table gives an empty result.
     Other columns are not read.
     """
+    return _marked(docs, items, id_col, text_col, item_id, item_text, window, gram, broadcast_rows).drop("_th")
+
+
+def _marked(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """:func:`mark` with _th, the hash of the text, beside the id."""
     side = window - gram
     marks = common.stored(fingerprints(items, item_id, item_text, window, gram), "benchmark_fingerprints")
     length = sum(F.coalesce(F.aggregate(c, F.lit(0), lambda a, w: a + F.octet_length(w) + 24), F.lit(0)) for c in ("_core", "_left", "_right"))
@@ -145,12 +150,13 @@ def mark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         # documents whose candidates all failed, and how often each document is there
         counted = rows.groupBy("_id", "_th").agg(F.count(F.lit(1)).alias("_times"), F.max(F.size("_w")).cast("long").alias("_size")).withColumnsRenamed({"_id": "_cid", "_th": "_cth"})
         per_doc = counted.join(per_doc, counted["_cid"].eqNullSafe(per_doc["_id"]) & (counted["_cth"] == per_doc["_th"]), "left").select(
-            F.col("_cid").alias("_id"), F.col("_times").alias("_copies"), F.col("_size").alias("n_words"),
+            F.col("_cid").alias("_id"), F.col("_cth").alias("_th"), F.col("_times").alias("_copies"), F.col("_size").alias("n_words"),
             F.coalesce("_spans", F.array().cast("array<struct<_from:int,_to:int>>")).alias("_spans"), F.coalesce("_items", F.array().cast("array<string>")).alias("_items"),
         )
     hit = F.size(F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["_from"], s["_to"]))))).cast("long")
     out = per_doc.select(
         F.col("_id").alias(id_col),
+        "_th",
         "n_words",
         hit.alias("n_hit"),
         F.size("_items").cast("long").alias("n_items"),
@@ -162,9 +168,10 @@ def mark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that share no window with an item, with all their columns."""
-    marked = mark(docs, items, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias("_hit_id")).distinct()
-    return docs.join(marked, docs[id_col].eqNullSafe(marked["_hit_id"]), "left_anti")
+    """The rows of ``docs`` that share no window with an item, with all their columns; decided by id and text."""
+    marked = _marked(docs, items, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias("__hit"), F.col("_th").alias("__hit_th")).distinct()
+    same = docs[id_col].eqNullSafe(marked["__hit"]) & (F.xxhash64(common.text_of(text_col)) == marked["__hit_th"])
+    return docs.join(marked, same, "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

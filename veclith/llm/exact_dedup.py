@@ -55,11 +55,12 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Only groups of two and more are joined back: their keepers' ids mark the losers, which
-    an anti join by id takes out. Rows without an id lose only to a row that has one.
+    Losers go by an anti join on id and content hash, so another text under the same id, or
+    another one without an id, stays. Rows without an id lose only to a row that has one.
     """
-    lost = decide(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_lost")).distinct()
-    return docs.join(lost, docs[id_col].eqNullSafe(lost["_lost"]), "left_anti")
+    lost = decide(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__lost"), F.unhex("text_sha256").alias("__lost_sha")).distinct()
+    sha = F.unhex(F.sha2(common.squeezed(common.text_of(text_col)).cast("binary"), 256))
+    return docs.join(lost, docs[id_col].eqNullSafe(lost["__lost"]) & (sha == lost["__lost_sha"]), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

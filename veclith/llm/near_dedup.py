@@ -104,8 +104,8 @@ def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     return values[order], (np.arange(len(values), dtype=np.int32) + 1)[order]
 
 
-def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _key, _n): each document's set."""
+def _members(docs: DataFrame, id_col: str, text_col: str, hashed: bool = False) -> DataFrame:
+    """(_id, _key, _n): each document's set; _th, the hash of the text, too if ``hashed``."""
     kind = docs.select(id_col).dtypes[0][1]
 
     def measure(batches):
@@ -113,12 +113,14 @@ def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         for batch in batches:
             keys, sizes = [], []
-            for _, found in shingles(batch.column(1)):
+            for _, found in shingles(batch.column(len(names))):
                 keys.append(set_key(found))
                 sizes.append(len(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32())], names=["_id", "_key", "_n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(keys, pa.int64()), pa.array(sizes, pa.int32())], names=[*names, "_key", "_n"])
 
-    return _sets(docs, text_col, [F.col(id_col).alias("_id")]).mapInArrow(measure, f"_id {kind}, _key long, _n int")
+    more = [F.xxhash64(common.text_of(text_col)).alias("_th")] if hashed else []
+    names = ["_id", "_th"] if hashed else ["_id"]
+    return _sets(docs, text_col, [F.col(id_col).alias("_id"), *more]).mapInArrow(measure, f"_id {kind}, {'_th long, ' if hashed else ''}_key long, _n int")
 
 
 def _heads(docs: DataFrame, text_col: str, frequent) -> DataFrame:
@@ -284,7 +286,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their component has no other. An empty table gives an empty result; other columns are
     not read.
     """
-    members = common.stored(_members(docs, id_col, text_col), "members")
+    return _labelled(docs, id_col, text_col, False)
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, hashed: bool) -> DataFrame:
+    """:func:`near_duplicates`, with _th, the hash of the text, in front if ``hashed``."""
+    th = ["_th"] if hashed else []
+    members = common.stored(_members(docs, id_col, text_col, hashed), "members")
     lists = common.stored(_lists(_heads(docs, text_col, _frequent(docs, text_col))), "pairs")
 
     # first round: nodes and pivots that share a fair part of their heads
@@ -315,18 +323,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared = compared.join(labels, F.col("_b") == F.col("_node"), "left").select("_a", F.coalesce("_comp", "_b").alias("_b"))
     merged = components(compared).withColumnsRenamed({"_node": "_was", "_comp": "_now"})
 
-    rows = members.join(labels, members["_key"] == labels["_node"], "left").select("_id", "_n", F.coalesce("_comp", "_key").alias("_comp"))
-    rows = rows.join(merged, F.col("_comp") == F.col("_was"), "left").select("_id", "_n", F.coalesce("_now", "_comp").alias("_comp"))
+    rows = members.join(labels, members["_key"] == labels["_node"], "left").select(*th, "_id", "_n", F.coalesce("_comp", "_key").alias("_comp"))
+    rows = rows.join(merged, F.col("_comp") == F.col("_was"), "left").select(*th, "_id", "_n", F.coalesce("_now", "_comp").alias("_comp"))
     least = rows.where("_n > 0").groupBy("_comp").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_size")).where("_size > 1").drop("_size")
     rows = rows.join(least, "_comp", "left")
-    return rows.select(F.col("_id").alias(id_col), F.col("_n").cast("long").alias("n_shingles"), F.when(F.col("_n") > 0, F.coalesce("_least", "_id")).otherwise(F.col("_id")).alias("component_id"))
+    return rows.select(*th, F.col("_id").alias(id_col), F.col("_n").cast("long").alias("n_shingles"), F.when(F.col("_n") > 0, F.coalesce("_least", "_id")).otherwise(F.col("_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, the one with the smallest id of each component, with all their columns."""
-    found = near_duplicates(docs, id_col, text_col)
-    lost = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_lost")).distinct()
-    return docs.join(lost, docs[id_col].eqNullSafe(lost["_lost"]), "left_anti")
+    """The rows of ``docs`` that stay, the one with the smallest id of each component, with all their columns; decided by id and text."""
+    found = _labelled(docs, id_col, text_col, True)
+    lost = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__lost"), F.col("_th").alias("__lost_th")).distinct()
+    same = docs[id_col].eqNullSafe(lost["__lost"]) & (F.xxhash64(common.text_of(text_col)) == lost["__lost_th"])
+    return docs.join(lost, same, "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
