@@ -2,7 +2,7 @@
 
 import pytest
 
-from veclith.llm import decontaminate, exact_dedup, near_dedup
+from veclith.llm import decontaminate, exact_dedup, near_dedup, substring_dedup
 
 BASE = " ".join(f"w{k}" for k in range(40))
 ITEM = "one two three four five six seven eight nine ten eleven twelve"
@@ -37,3 +37,10 @@ def test_decontaminate_by_row(spark, rows):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     for limit in (500_000, 0):
         assert left(decontaminate.decontaminate(rows, bench, broadcast_rows=limit)) == want((1, BASE), (None, BASE), (7, BASE), (None, BASE + " end"), (8, BASE + " end"))
+
+
+def test_substring_dedup_by_row(spark):
+    passage = "Here is a sentence that many documents have. And a second one with several words in it! "
+    clean = ["First words of a clean text. Then more of it. And a third one. ", "Other words under an id. They are like nothing else. So they stay. "]
+    texts = [(1, "It starts. " + passage), (None, passage + "The end of one."), (None, clean[0]), (2, passage + "Its end."), (2, clean[1])]
+    assert left(substring_dedup.remove(spark.createDataFrame(texts, "doc_id long, text string"))) == sorted([(1, texts[0][1]), (0, "The end of one."), (0, clean[0]), (2, "Its end."), (2, clean[1])])

@@ -7,7 +7,7 @@ aggregation finds for each repeated hash its first document. A join marks the sp
 stand anywhere else; every sentence under a marked span goes. Inside one document the first
 of equal spans stays, which is decided while the document is read.
 
-What moves is (hash, id, position), three numbers a sentence. The aggregation folds equal
+What moves is (hash, id, hash of the text, position), a few numbers a sentence. The aggregation folds equal
 hashes before the shuffle; the join with the repeated hashes is an ordinary equi-join that
 AQE splits where one passage is in very many documents.
 """
@@ -68,8 +68,9 @@ def _own(parts: list[str], run: int, min_words: int) -> tuple[dict[int, list[tup
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row a span that stands in an earlier document too: _id, _first, _last (sentence numbers)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), common.text_of(text_col).alias("_text"))
+    """One row a span that stands in an earlier document too: _id, _th (hash of the text), _first, _last (sentence numbers)."""
+    text = common.text_of(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
 
     def places(batches):
         import numpy as np
@@ -77,35 +78,38 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run
 
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
-                ids, values, firsts, lasts = [], [], [], []
+                ids, hashes, values, firsts, lasts = [], [], [], [], []
                 some = batch.slice(start, 500)
-                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                for doc_id, th, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
                     found, _ = _own(sentences(text), run, min_words)
                     ids += [doc_id] * len(found)
+                    hashes += [th] * len(found)
                     values += found
                     firsts += [a for a, _ in found.values()]
                     lasts += [b for _, b in found.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(values, np.int64)), pa.array(np.array(firsts, np.int32)), pa.array(np.array(lasts, np.int32))], names=["_id", "_hash", "_first", "_last"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(hashes, np.int64)), pa.array(np.array(values, np.int64)), pa.array(np.array(firsts, np.int32)), pa.array(np.array(lasts, np.int32))], names=["_id", "_th", "_hash", "_first", "_last"])
 
-    found = rows.mapInArrow(places, "_id long, _hash long, _first int, _last int")
+    found = rows.mapInArrow(places, "_id long, _th long, _hash long, _first int, _last int")
     repeated = found.groupBy("_hash").agg(F.min("_id").alias("_owner"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     # without any id there is no first document; with one, rows without come after it
-    return found.join(repeated, "_hash").where("_owner is not null and not (_id <=> _owner)").select("_id", "_first", "_last")
+    return found.join(repeated, "_hash").where("_owner is not null and not (_id <=> _owner)").select("_id", "_th", "_first", "_last")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with its text without repeated sentences, and n_sentences and n_removed after it.
 
     Documents come in the order of their ids; null ids are last and equal among themselves.
-    Rows that share an id count as one document for spans between documents. Null text
+    Rows that share an id count as one document for spans between documents, and each of them
+    loses only what stands in its own text. Null text
     stays null with 0 sentences; texts without a repeated span stay byte for byte; a text
     of which nothing stays becomes empty. Very long texts are processed whole. An empty
     table gives an empty result. Columns named like the two counts are replaced.
     """
     found = repeats(docs, id_col, text_col, run, min_words)
-    gone = found.groupBy(F.col("_id").alias("__gone_id")).agg(F.collect_set(F.struct("_first", "_last")).alias("__gone"))
+    gone = found.groupBy(F.col("_id").alias("__gone_id"), F.col("_th").alias("__gone_th")).agg(F.collect_set(F.struct("_first", "_last")).alias("__gone"))
     base = docs.drop("n_sentences", "n_removed")
-    rows = base.join(gone, base[id_col].cast("long").eqNullSafe(gone["__gone_id"]), "left")
+    same = base[id_col].cast("long").eqNullSafe(gone["__gone_id"]) & (F.xxhash64(common.text_of(text_col)) == gone["__gone_th"])
+    rows = base.join(gone, same, "left")
     names = base.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), "n_sentences int", "n_removed int"])
     at = names.index(text_col)
