@@ -1,5 +1,7 @@
 """Documents without an id, and different documents under one id, are decided row by row."""
 
+import random
+
 import pytest
 
 from veclith.llm import decontaminate, exact_dedup, near_dedup, substring_dedup
@@ -44,3 +46,34 @@ def test_substring_dedup_by_row(spark):
     clean = ["First words of a clean text. Then more of it. And a third one. ", "Other words under an id. They are like nothing else. So they stay. "]
     texts = [(1, "It starts. " + passage), (None, passage + "The end of one."), (None, clean[0]), (2, passage + "Its end."), (2, clean[1])]
     assert left(substring_dedup.remove(spark.createDataFrame(texts, "doc_id long, text string"))) == sorted([(1, texts[0][1]), (0, "The end of one."), (0, clean[0]), (2, "Its end."), (2, clean[1])])
+
+
+def test_substring_dedup_finds_passages_without_sentence_ends(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    words = lambda n: " ".join(word() for _ in range(n))
+    signs = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    one, two, bars, line = words(51), words(20) + ". " + words(31), " | ".join(word() for _ in range(40)), signs(60)
+    texts = []
+    for passage in (one, two, bars):
+        texts += [words(5) + " " + passage + " " + words(9) + ".", words(40) + " " + passage + " " + words(40) + "."]
+    texts += [signs(20) + line + signs(10), signs(30) + line]
+    rows = list(enumerate([*texts, words(200)]))
+    got = {r["doc_id"]: r for r in substring_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        # the first of each stays, as what nobody shares does; a copy keeps no 51 words of the passage
+        assert (got[i]["text"] == text) == (i % 2 == 0) == (got[i]["n_removed"] == 0), i
+    cut = lambda t, n: {tuple(t[k : k + n]) for k in range(len(t) - n + 1)}
+    for i in (1, 3, 5):
+        assert not cut(got[i]["text"].split(), 51) & cut(texts[i - 1].split(), 51)
+        assert got[i]["text"].split()[:40] == texts[i].split()[:40] and got[i]["text"].split()[-40:] == texts[i].split()[-40:]
+    assert not cut(got[7]["text"], 51) & cut(texts[6], 51) and got[7]["text"].startswith(texts[7][:30])
+
+
+def test_windows_are_shared(spark):
+    rng = random.Random(8)
+    words = lambda n: [rng.choice("abcdefghij") * rng.randint(1, 5) + rng.choice(["", "é", "日本"]) for _ in range(n)]
+    for _ in range(200):
+        passage, a, b = words(51), words(rng.randint(0, 60)), words(rng.randint(0, 60))
+        taken = substring_dedup.Windows([" ".join([*a, *passage, *b]), "", "\n".join(passage)])
+        assert set(taken.value[taken.row == 0]) & set(taken.value[taken.row == 2])
