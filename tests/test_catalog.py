@@ -54,3 +54,11 @@ def test_index_searches_reach_their_recall(spark, folder):
     truth = found["exact_cosine_topk_every50"](spark, folder).cache()
     for name in ("ivf_trained", "ivf_search_every50"):
         assert metrics.recall(truth, found[name](spark, folder)).agg(F.avg("recall")).first()[0] >= 0.9, name
+
+
+def test_score_correlation(spark, folder):
+    found = catalog.queries()
+    # every query finds itself with cosine 1: no spread
+    assert found["score_correlation"](spark, folder).first()["pearson"] == found["score_correlation_every50"](spark, folder).first()["pearson"] == 0
+    t, p = (spark.createDataFrame([(i, 1, float(v)) for i, v in enumerate(x)], "qid long, rank int, score double") for x in ([1, 2, 3], [1, 2, 4]))
+    assert abs(metrics.scores(t, p).first()["pearson"] - np.corrcoef([1, 2, 3], [1, 2, 4])[0, 1]) < 1e-12

@@ -192,6 +192,11 @@ def score_pearson(spark, sf, stated=_stated):
     return got.select(F.round("avg_diff", DIGITS).alias("avg_diff"), F.round("max_diff", DIGITS).alias("max_diff"))
 
 
+def score_correlation(spark, sf, stated=_stated):
+    """Pearson's r of the best scores; 0 where either has no spread, as where every query finds itself."""
+    return metrics.scores(_truth(spark, sf, stated), knn_batch_4bit(spark, sf, stated)).select(F.round("pearson", DIGITS).alias("pearson"))
+
+
 def rank_displacement(spark, sf, stated=_stated):
     got = metrics.displacement(_truth(spark, sf, stated), knn_batch_4bit(spark, sf, stated))
     return got.select("found", F.round("avg_displacement", DIGITS).alias("avg_displacement"), F.col("max_displacement").cast("long").alias("max_displacement"))
@@ -295,7 +300,7 @@ def info(spark, sf):
 
 #: Queries over the stated set, which are also there over the set that grows with the table.
 GROWING = (
-    exact_cosine_topk, knn_batch, knn_batch_4bit, recall_at_k, recall_summary, ndcg_at_k, score_pearson, rank_displacement, near_misses, score_percentiles, ivf_all_probes,
+    exact_cosine_topk, knn_batch, knn_batch_4bit, recall_at_k, recall_summary, ndcg_at_k, score_pearson, score_correlation, rank_displacement, near_misses, score_percentiles, ivf_all_probes,
 )
 
 
@@ -308,7 +313,7 @@ def queries() -> dict:
     plain = [
         exact_cosine_topk, exact_cosine_sql_lane, vector_functions, quantize_codes, knn_batch, knn_batch_4bit, rotated_score_topk, min_score_search, paged_search,
         filtered_search, rescore_topk, asym_cosine_topk, dequantize_cosine, filter_only_query, filter_variant, filter_variant_mismatch, recall_at_k, recall_summary,
-        ndcg_at_k, score_pearson, rank_displacement, near_misses, score_percentiles, ivf_assign, ivf_search, ivf_search_every50, ivf_trained, ivf_all_probes, hnsw_search, product_inner,
+        ndcg_at_k, score_pearson, score_correlation, rank_displacement, near_misses, score_percentiles, ivf_assign, ivf_search, ivf_search_every50, ivf_trained, ivf_all_probes, hnsw_search, product_inner,
         attention_scores, seq_len, cache_memory, live_view_after_crud,
     ]
     return {q.__name__: q for q in plain} | {f"{q.__name__}_every{EVERY}": _over_every(q) for q in GROWING} | {"store_info": info} | {f"filter_{name}": _leaf(name) for name in _LEAVES}
@@ -408,6 +413,7 @@ SELECT vec_id, score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS IN
         "recall_summary": f"WITH {truth}, {eight}, {pair}, r AS (SELECT qid, CAST(count(p_rank) AS DOUBLE) / count(*) AS recall FROM pair GROUP BY qid) SELECT count(*) AS queries, count(*) FILTER (WHERE recall >= 1) AS perfect, round(avg(recall), {DIGITS}) AS mean_recall FROM r",
         "ndcg_at_k": f"WITH {truth}, {four}, {pair} SELECT qid, round(sum(CASE WHEN p_rank IS NULL THEN 0 ELSE (11 - t_rank) / log2(p_rank + 1) END) / sum((11 - t_rank) / log2(t_rank + 1)), {DIGITS}) AS ndcg FROM pair GROUP BY qid",
         "score_pearson": f"WITH {truth}, {four}, b AS (SELECT t.score AS t, p.score AS p FROM truth t JOIN found p ON t.qid = p.qid WHERE t.rank = 1 AND p.rank = 1) SELECT round(avg(p - t), {DIGITS}) AS avg_diff, round(max(abs(p - t)), {DIGITS}) AS max_diff FROM b",
+        "score_correlation": f"WITH {truth}, {four}, b AS (SELECT t.score AS t, p.score AS p FROM truth t JOIN found p ON t.qid = p.qid WHERE t.rank = 1 AND p.rank = 1) SELECT round(CASE WHEN stddev_pop(t) * stddev_pop(p) < 1e-15 THEN 0.0 ELSE corr(t, p) END, {DIGITS}) AS pearson FROM b",
         "rank_displacement": f"WITH {truth}, {four}, {pair} SELECT count(*) AS found, round(avg(abs(t_rank - p_rank)), {DIGITS}) AS avg_displacement, CAST(max(abs(t_rank - p_rank)) AS BIGINT) AS max_displacement FROM pair WHERE p_rank IS NOT NULL",
         "near_misses": f"WITH {exact}, {_top('exact', 'truth', 11)}, g AS (SELECT qid, max(score) - min(score) AS gap FROM truth WHERE rank IN (10, 11) GROUP BY qid) SELECT qid, round(gap, {DIGITS}) AS gap FROM g WHERE gap < 0.01",
         "score_percentiles": f"WITH {truth}, s AS (SELECT list(score ORDER BY score) AS v FROM truth) SELECT CAST(p AS INTEGER) AS p, round(v[least(CAST(floor(len(v) * p / 100) AS BIGINT), len(v) - 1) + 1], {DIGITS}) AS value FROM s, (VALUES (50), (95), (99)) t(p)",
