@@ -1,29 +1,30 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-Texts become units (a run of the blank sign and what follows up to the next) of which most
-recur, so each different unit is encoded once a lexicon and not once an occurrence:
+Texts become units, runs that no piece of the model crosses, of which most recur, so each
+different unit is encoded once a corpus and not once an occurrence:
 
 1. Documents go in chunks of ``CHUNK_ROWS`` rows of a file; each chunk's different units are
-   written, keyed by chunk.
+   shuffled by unit.
 2. Over the different units of the corpus: substrings up to the longest piece are exploded,
    equi-joined to the piece table (of the model's size, so it is broadcast), grouped as edges
-   by end and by unit, and folded from left to right with ``aggregate``. All of that happens
-   in the partitioning by unit of one shuffle.
-3. Unit encodings go back to their chunks and are written by chunk. Documents are read a
-   second time; a chunk's dictionary is as large as that chunk's text allows, not more.
-
-The fold keeps for every prefix of a unit its best last piece. For unigram models that is
-Viterbi: the path with the highest sum of scores. BPE models define another best path: the
-one that merging the best-scored pair first leads to. A sum of scores doesn't have that path
-as its maximum, so for these models the fold admits an edge only if no merge across the
-seam to the piece before it would have come first; exactly one edge at each end passes. The
-ids are those of the sentencepiece library for either kind.
+   by unit, and folded by Viterbi with ``aggregate``, all in the partitioning of that one
+   shuffle. A merge join in the same partitioning takes the ids back to (chunk, unit).
+3. Ids are written by chunk, many chunks a folder. Documents are read a second time; a
+   chunk's lexicon is as large as that chunk's text allows, not more.
+
+The fold keeps for every node of a unit the best path to it. For unigram models the best is
+the highest sum of scores. For BPE models a sum of scores finds other paths than merging does.
+Their weight here is the set of merges that build a path's pieces, each merge as (rank, place);
+of two sets the better has the smallest merge that only one of them has. Merging takes just
+that one first, so the best path is the merged one. The order stays when the same merges are
+added to both sets, which is what Viterbi asks of a weight. It holds for models in which every
+merge comes after those that made its parts; others are refused. The ids are those of the
+sentencepiece library for either kind.
 """
 
 from __future__ import annotations
 
-import json
-import re
+import hashlib
 import zlib
 from dataclasses import dataclass, field
 
@@ -32,13 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .piece_units import BLANK, MARK, NEVER, Lexicon, Split, Splitter, to_char
 
-BLANK = "▁"
 CHUNK_ROWS = 8192
-#: Ranks of single characters, which are there from the start, and of what never merges.
-_EVER, _NEVER = -1, 1 << 30
-#: Units of blanks and what follows; line ends and tabs stand alone if no piece has them.
-_UNITS = {True: re.compile(f"{BLANK}+[^{BLANK}\n\t\r]*|[\n\t\r]|[^{BLANK}\n\t\r]+"), False: re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")}
+#: Different units that a task of the first stage holds before it passes them on.
+HELD = 2_000_000
+#: Units that are grouped in memory at once, before Spark sorts instead (about 500 bytes each).
+GROUPED = 100_000
+_EVER = -1
 
 
 @dataclass(frozen=True)
@@ -53,16 +55,10 @@ class Vocabulary:
     bytes: dict[int, int]
     unknown: int
     prefix: bool
-    alone: bool
     longest: int
+    least: float
     ranks: dict[str, int] = field(repr=False)
-
-    def units(self, text: str | None) -> list[str]:
-        """The units of a text; none for a null or empty one."""
-        if not text:
-            return []
-        text = text.replace(" ", BLANK)
-        return _UNITS[self.alone].findall(BLANK + text if self.prefix else text)
+    ids: dict[str, int] = field(repr=False)
 
 
 def load(path: str) -> Vocabulary:
@@ -72,178 +68,131 @@ def load(path: str) -> Vocabulary:
     model = pb.ModelProto()
     with open(path, "rb") as f:
         model.ParseFromString(f.read())
-    spec = model.normalizer_spec
+    spec, kind = model.normalizer_spec, pb.ModelProto.SentencePiece
     if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
         raise ValueError("only models with identity normalisation are supported")
     kinds = {1: "unigram", 2: "bpe"}
     if model.trainer_spec.model_type not in kinds:
         raise ValueError("only unigram and BPE models are supported")
+    if any(p.type == kind.USER_DEFINED for p in model.pieces):
+        raise ValueError("user-defined pieces are not supported")
     pieces = [p.piece for p in model.pieces]
-    normal = [i for i, p in enumerate(model.pieces) if p.type == pb.ModelProto.SentencePiece.NORMAL]
+    normal = [i for i, p in enumerate(model.pieces) if p.type == kind.NORMAL]
+    if any(MARK in pieces[i] and len(pieces[i]) > 1 for i in normal):
+        raise ValueError("a piece has the character that marks atoms")
     order = sorted(normal, key=lambda i: (-model.pieces[i].score, i))
-    if any(re.search(f"[^{BLANK}]{BLANK}", pieces[i]) for i in normal):
-        raise ValueError("pieces with an inner blank are not supported")
     return Vocabulary(
         path=path,
         kind=kinds[model.trainer_spec.model_type],
         pieces=pieces,
         scores=[p.score for p in model.pieces],
         normal=normal,
-        bytes={int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == pb.ModelProto.SentencePiece.BYTE},
-        unknown=next(i for i, p in enumerate(model.pieces) if p.type == pb.ModelProto.SentencePiece.UNKNOWN),
+        bytes={int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kind.BYTE},
+        unknown=next(i for i, p in enumerate(model.pieces) if p.type == kind.UNKNOWN),
         prefix=spec.add_dummy_prefix,
-        alone=not any(c in pieces[i] for i in normal for c in "\n\t\r"),
         longest=max(len(pieces[i]) for i in normal),
+        least=min(model.pieces[i].score for i in normal),
         ranks={pieces[i]: k for k, i in enumerate(order)},
+        ids={pieces[i]: i for i in normal},
     )
 
 
-def _merged(piece: str, ranks: dict[str, int]) -> tuple | None:
-    """How merging builds a piece: (rank, left, right), or null if it ends in something else."""
-    parts = [(_EVER, c, None, None) for c in piece]
+_splitters: dict[str, Splitter] = {}
+
+
+def splitter(vocabulary: Vocabulary) -> Splitter:
+    """One a Python worker and model."""
+    if vocabulary.path not in _splitters:
+        _splitters[vocabulary.path] = Splitter(vocabulary)
+    return _splitters[vocabulary.path]
+
+
+def _merges(piece: str, ranks: dict[str, int]) -> list[tuple[int, int]] | None:
+    """(rank, place) of every merge that builds a piece; null if merging ends in something else."""
+    parts, out = [(_EVER, c, 0) for c in piece], []
     while len(parts) > 1:
-        found = [(ranks.get(a[1] + b[1], _NEVER), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
-        rank, k = min(found)
-        if rank == _NEVER:
+        rank, k = min((ranks.get(a[1] + b[1], NEVER), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        if rank == NEVER:
             return None
-        parts[k : k + 2] = [(rank, parts[k][1] + parts[k + 1][1], parts[k], parts[k + 1])]
-    return parts[0]
+        if rank <= max(parts[k][0], parts[k + 1][0]):
+            raise ValueError(f"a part of {piece!r} is made after it")
+        out.append((rank, sum(len(p[1]) for p in parts[:k])))
+        parts[k : k + 2] = [(rank, parts[k][1] + parts[k + 1][1], 0)]
+    return out
 
 
-def _spine(tree: tuple, side: int) -> list[tuple[int, int, int]]:
-    """(length, born, gone) of what stood at one end of a piece while it was built, outermost first."""
-    out, gone = [], _NEVER
-    while tree is not None:
-        out.append((len(tree[1]), tree[0], gone))
-        gone, tree = tree[0], tree[side]
-    return out
+#: Where an edge is, in one long: node at its end, node at its start, character it starts at.
+_END, _START = 40, 20
+#: A merge in one negative long, so that what merges first is the greatest.
+_PLACE = 10
 
 
-def piece_table(spark, vocabulary: Vocabulary) -> tuple[DataFrame, list, list]:
-    """(_piece, _id) for each piece that texts can have, and spines by id: left and right.
+def piece_table(spark, vocabulary: Vocabulary) -> DataFrame:
+    """(_piece, _char, _merges or _score) for each piece that texts can have.
 
-    A spine tells what stood at that end of a piece while it was merged, the outermost
-    first: length, rank at which it came to be, rank at which it was merged away.
+    ``_char`` names the piece's id, ``_merges`` has what builds the piece of a BPE model.
     """
-    rows, left, right = [], [[]] * len(vocabulary.pieces), [[]] * len(vocabulary.pieces)
-    for i in vocabulary.normal:
-        piece = vocabulary.pieces[i]
-        if vocabulary.kind == "bpe":
-            tree = _merged(piece, vocabulary.ranks)
-            if tree is None:
-                continue
-            left[i], right[i] = (_spine(tree, side) for side in (2, 3))
-        rows.append((piece, i))
     import pandas as pd
 
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["_piece", "_id"]), "_piece string, _id int"), left, right
-
-
-#: An edge in one long: end, start (24 bits each), and the id plus one (0: a character without a piece).
-_ID_BITS, _PLACE_BITS = 16, 24
+    rows, bpe = [], vocabulary.kind == "bpe"
+    for i in vocabulary.normal:
+        piece = vocabulary.pieces[i]
+        more = _merges(piece, vocabulary.ranks) if bpe else vocabulary.scores[i]
+        if more is not None:
+            rows.append((piece, to_char(i), [-(rank << _PLACE | place) for rank, place in more] if bpe else more))
+    name, kind = ("_merges", "array<bigint>") if bpe else ("_score", "float")
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["_piece", "_char", name]), f"_piece string, _char string, {name} {kind}")
 
 
-def lattice(units: DataFrame, vocabulary: Vocabulary, keep: str | None = None) -> DataFrame:
-    """(_unit, _ids) for each of the different, non-empty units in column ``_unit``, and column ``keep``.
+def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(_unit, _ids) for each of the different marked units in column ``_unit``.
 
-    ``units`` should be partitioned by ``_unit``: then nothing here is shuffled. Edges are
-    numbers; what the fold needs to know of a piece is in constants by id.
+    A marked unit is a text of up to ``UNIT`` characters, each a piece by itself, with ``MARK``
+    wherever a path may turn; :meth:`Splitter.different` makes them. ``_ids`` is a string
+    with a character an id (``to_char``). ``units`` should be partitioned by ``_unit``: then
+    nothing here is shuffled.
     """
-    if len(vocabulary.pieces) >= 1 << _ID_BITS:
-        raise ValueError("more pieces than an edge can name")
-    table, left, right = piece_table(units.sparkSession, vocabulary)
-    longest = vocabulary.longest
-    kept = [keep] if keep else []
-    starts = units.select("_unit", *kept, F.length("_unit").alias("_size")).select("_unit", *kept, "_size", F.explode(F.sequence(F.lit(0), F.col("_size") - 1)).alias("_start"))
-    spans = starts.select("_unit", *kept, "_start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("_size") - F.col("_start")))).alias("_len"))
-    spans = spans.withColumn("_piece", F.substring("_unit", F.col("_start") + 1, F.col("_len")))
+    table = piece_table(units.sparkSession, vocabulary)
+    atoms = units.select("_unit", F.split("_unit", MARK).alias("_atoms"))
+    starts = atoms.select("_unit", "_atoms", F.explode(F.sequence(F.lit(0), F.size("_atoms") - 1)).alias("_i"))
+    before = F.length(F.array_join(F.slice("_atoms", F.lit(1), F.col("_i")), ""))
+    spans = starts.select("_unit", "_atoms", "_i", before.alias("_at"), F.explode(F.sequence(F.col("_i") + 1, F.least(F.size("_atoms"), F.col("_i") + vocabulary.longest))).alias("_j"))
+    spans = spans.select("_unit", "_i", "_at", "_j", F.array_join(F.slice("_atoms", F.col("_i") + 1, F.col("_j") - F.col("_i")), "").alias("_piece"))
     # the piece table has as many rows as the model has pieces, whatever the corpus
-    edges = spans.join(F.broadcast(table), "_piece", "left").where("_id is not null or _len = 1")
-    end = (F.col("_start") + F.col("_len")).cast("long")
-    packed = F.shiftleft(end, _PLACE_BITS + _ID_BITS).bitwiseOR(F.shiftleft(F.col("_start").cast("long"), _ID_BITS)).bitwiseOR(F.coalesce(F.col("_id") + 1, F.lit(0)).cast("long"))
-    # a unit's first character has an edge always; only that one brings the kept column along
-    brought = [F.when((F.col("_start") == 0) & (F.col("_len") == 1), F.col(c)).alias(c) for c in kept]
-    by_unit = edges.select("_unit", packed.alias("_edge"), *brought).groupBy("_unit").agg(F.collect_list("_edge").alias("_edges"), *(F.first(c, ignorenulls=True).alias(c) for c in kept))
-    of_end = F.transform(F.sequence(F.lit(1), F.length("_unit")), lambda e: F.filter("_edges", lambda x: F.shiftright(x, _PLACE_BITS + _ID_BITS) == e))
-    by_unit = by_unit.select("_unit", *kept, of_end.alias("_ends"))
-
-    def start_of(x: Column) -> Column:
-        return F.shiftright(x, _ID_BITS).bitwiseAND((1 << _PLACE_BITS) - 1).cast("int")
-
-    def id_of(x: Column) -> Column:
-        return x.bitwiseAND((1 << _ID_BITS) - 1).cast("int") - 1
-
-    def constant(values: list, kind: str) -> Column:
-        # one string that the optimizer parses once
-        return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
-
-    lefts, rights = constant(left, "array<array<array<int>>>"), constant(right, "array<array<array<int>>>")
-    ranked = set(vocabulary.normal)
-    numbers = constant([vocabulary.ranks[p] if i in ranked else -1 for i, p in enumerate(vocabulary.pieces)], "array<int>")
-    single = F.array(F.array(F.lit(1), F.lit(_EVER), F.lit(_NEVER)))
+    edges = spans.join(F.broadcast(table), "_piece")
+    place = F.shiftleft(F.col("_j").cast("long"), _END).bitwiseOR(F.shiftleft(F.col("_i").cast("long"), _START)).bitwiseOR(F.col("_at").cast("long"))
+    worth = "_merges" if vocabulary.kind == "bpe" else "_score"
+    by_unit = edges.select("_unit", F.struct(place.alias("place"), "_char", worth).alias("_edge")).groupBy("_unit").agg(F.collect_list("_edge").alias("_edges"))
 
-    def spine(table: Column, x: Column) -> Column:
-        # a character that is no piece of its own stands alone for ever
-        return F.when(id_of(x) < 0, single).otherwise(F.get(table, id_of(x)))
+    def end_of(x: Column) -> Column:
+        return F.shiftright(x["place"], _END)
 
-    def number(part: Column, k: int) -> Column:
-        return F.get(part, F.lit(k))
-
-    def free(chosen: Column, x: Column) -> Column:
-        """No merge across the seam in front of edge ``x`` would have come first."""
-        seam = start_of(x)
-
-        def crosses(y: Column, j: Column) -> Column:
-            # what it would merge stood on both sides of the seam at one time; equal ranks merge from the left
-            met = lambda i: (number(i, 0) == seam - start_of(y)) & (number(i, 1) <= number(j, 2)) & (number(j, 1) < number(i, 2))
-            rank = F.get(numbers, id_of(y))
-            return (start_of(y) < seam) & F.exists(before, lambda i: met(i) & _first(rank, number(i, 2), number(j, 2)))
-
-        before = spine(rights, F.get(chosen, seam - 1))
-        over = lambda j: F.get(F.col("_ends"), seam + number(j, 0) - 1)
-        return (seam == 0) | ~F.exists(spine(lefts, x), lambda j: F.exists(over(j), lambda y: crosses(y, j)))
-
-    def merged(chosen: Column, at: Column) -> Column:
-        # one edge fits; if it is alone it needs no proof
-        fit = F.when(F.size(at) == 1, F.get(at, F.lit(0))).otherwise(F.get(F.filter(at, lambda x: free(chosen, x)), F.lit(0)))
-        return F.array_append(chosen, fit)
+    def start_of(x: Column) -> Column:
+        return F.shiftright(x["place"], _START).bitwiseAND((1 << _END - _START) - 1).cast("int")
 
     if vocabulary.kind == "bpe":
-        chosen = by_unit.select("_unit", *kept, F.aggregate("_ends", F.array().cast("array<long>"), merged).alias("_chosen"))
+        nothing = F.array().cast("array<bigint>")
+
+        def way(state: Column, x: Column) -> Column:
+            so_far, at = F.get(state, start_of(x))["weight"], x["place"].bitwiseAND((1 << _START) - 1)
+            weight = F.when(F.size(x["_merges"]) == 0, so_far).otherwise(F.sort_array(F.concat(so_far, F.transform(x["_merges"], lambda m: m - at)), False))
+            return F.struct(weight.alias("weight"), start_of(x).alias("start"), x["_char"].alias("char"))
     else:
-        # as the library does, an unknown character costs ten more than the worst piece
-        scores = constant(vocabulary.scores, "array<double>")
-        score = lambda x: F.when(id_of(x) < 0, min(vocabulary.scores) - 10.0).otherwise(F.get(scores, id_of(x)))
+        nothing = F.struct(F.lit(0.0).cast("float").alias("total"), F.lit(0).alias("order"))
 
-        def viterbi(state: Column, at: Column) -> Column:
+        def way(state: Column, x: Column) -> Column:
             # of equal sums the longest last piece
-            sums = F.transform(at, lambda x: F.struct((score(x) + F.coalesce(F.get(state, start_of(x) - 1)["total"], F.lit(0.0))).alias("total"), (-start_of(x)).alias("order"), x.alias("edge")))
-            return F.array_append(state, F.array_max(sums))
-
-        state = F.aggregate("_ends", F.array().cast("array<struct<total:double,order:int,edge:bigint>>"), viterbi)
-        chosen = by_unit.select("_unit", *kept, F.transform(state, lambda s: s["edge"]).alias("_chosen"))
-    if vocabulary.bytes:
-        codes = F.split(F.lit(" ".join(str(vocabulary.bytes[b]) for b in range(256))), " ")
-        missing = lambda c: F.transform(F.regexp_extract_all(F.hex(c.cast("binary")), F.lit("(..)"), F.lit(1)), lambda h: F.get(codes, F.conv(h, 16, 10).cast("int")).cast("int"))
-    else:
-        missing = lambda c: F.array(F.lit(vocabulary.unknown))
-    # back from the end: the step at a position that isn't a seam of the path is passed over
-    path = F.aggregate(
-        F.reverse("_chosen"),
-        F.struct(F.size("_chosen").alias("at"), F.size("_chosen").alias("seam"), F.array().cast("array<array<int>>").alias("ids")),
-        lambda a, x: F.struct(
-            (a["at"] - 1).alias("at"),
-            F.when(a["at"] == a["seam"], start_of(x)).otherwise(a["seam"]).alias("seam"),
-            F.when(a["at"] == a["seam"], F.array_append(a["ids"], F.when(id_of(x) >= 0, F.array(id_of(x))).otherwise(missing(F.substring(F.col("_unit"), a["at"], F.lit(1)))))).otherwise(a["ids"]).alias("ids"),
-        ),
-        lambda a: F.flatten(F.reverse(a["ids"])),
-    )
-    return chosen.select("_unit", *kept, path.alias("_ids"))
+            total = F.get(state, start_of(x))["weight"]["total"] + x["_score"]
+            return F.struct(F.struct(total.alias("total"), (-start_of(x)).alias("order")).alias("weight"), start_of(x).alias("start"), x["_char"].alias("char"))
 
+    def step(state: Column, end: Column) -> Column:
+        best = F.array_max(F.transform(F.filter("_edges", lambda x: end_of(x) == end), lambda x: way(state, x)))
+        # an array of one, so that the choice is made once
+        return F.concat(state, F.transform(F.array(best), lambda b: F.struct(b["weight"].alias("weight"), F.concat(F.get(state, b["start"])["ids"], b["char"]).alias("ids"))))
 
-def _first(rank: Column, left: Column, right: Column) -> Column:
-    """A merge of this rank comes before those that take away what stands left and right of the seam."""
-    return (rank < left) & (rank <= right)
+    begin = F.array(F.struct(nothing.alias("weight"), F.lit("").alias("ids")))
+    nodes = F.sequence(F.lit(1).cast("long"), F.size(F.split("_unit", MARK)).cast("long"))
+    return by_unit.select("_unit", F.aggregate(nodes, begin, step, lambda s: F.element_at(s, -1)["ids"]).alias("_ids"))
 
 
 def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -259,75 +208,166 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return common.stored(docs.select(*columns), "texts").select("_id", "_text", chunk)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) for each row of ``docs``: ids as array<int>, those of the sentencepiece library.
-
-    Null and empty texts have no ids. Repeated rows give repeated results, null ids stay
-    null, an empty table gives an empty result; other columns are not read. Characters
-    without a piece become byte pieces, or the unknown piece where the model has none.
-    """
-    spark = docs.sparkSession
-    vocabulary = load(path)
-    rows = _chunked(docs, id_col, text_col)
-    kind = rows.schema["_id"].dataType.simpleString()
+def _lexicon(rows: DataFrame, vocabulary: Vocabulary) -> tuple[str, int]:
+    """Write (_chunk, _unit, _ids) of all units; returns the folder and its number of buckets of chunks."""
+    spark = rows.sparkSession
 
     def different(batches):
         import pyarrow as pa
 
-        chunk, seen = None, set()
+        own = splitter(vocabulary)
+        chunk, held, size = None, [], 0
 
         def made():
-            for start in range(0, len(units := sorted(seen)), 50_000):
-                some = units[start : start + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.string())], names=["_chunk", "_unit"])
+            if not held:
+                return
+            one, two = (np.concatenate([h[k] for h in held]) for k in range(2))
+            order = np.argsort(one)
+            new = np.ones(len(order), bool)
+            new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+            units = pa.concat_arrays([h[2] for h in held]).take(pa.array(np.sort(order[new])))
+            for at in range(0, len(units), 50_000):
+                some = units.slice(at, 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk, np.int64)), some], names=["_chunk", "_unit"])
 
         for batch in batches:
-            for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if own != chunk:
+            chunks = batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(chunks)]
+            for begin, stop in zip(cuts, cuts[1:], strict=False):
+                if begin == stop:
+                    continue
+                if chunks[begin] != chunk:
                     yield from made()
-                    chunk, seen = own, set()
-                seen.update(vocabulary.units(text))
+                    chunk, held, size = int(chunks[begin]), [], 0
+                for at in range(begin, stop, 256):
+                    for parts, _ in own.slices(batch.column(0).slice(at, min(256, stop - at)).to_pylist()):
+                        if any(parts):
+                            (one, two), units = own.different(Split(parts, own))
+                            held.append((one, two, units))
+                            size += len(units)
+                            if size >= HELD:
+                                yield from made()
+                                held, size = [], 0
         yield from made()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.select("_text", "_chunk").mapInArrow(different, "_chunk long, _unit string").repartition(parts, "_unit")
-    # one row a unit; as many chunks as the corpus has, at most
-    placed = found.groupBy("_unit").agg(F.collect_set("_chunk").alias("_chunks"))
-    encoded = lattice(placed, vocabulary, "_chunks")
-    wide = len(vocabulary.pieces) > 1 << 16
-    size = 8 if wide else 4
-    packed = F.unhex(F.array_join(F.transform("_ids", lambda i: F.lpad(F.hex(i), size, "0")), ""))
-    keyed = encoded.select(F.explode("_chunks").alias("_chunk"), "_unit", packed.alias("_packed")).repartition(parts, "_chunk")
-    lexicon = common.scratch(spark, "lexicon")
-    keyed.sortWithinPartitions("_chunk").write.partitionBy("_chunk").parquet(lexicon)
-
-    code = ">u4" if wide else ">u2"
+    # the filter keeps the chunk in this branch too, so that both read one and the same shuffle
+    once = found.groupBy("_unit").agg(F.min("_chunk").alias("_least")).where("_least is not null").select("_unit")
+    placed = found.join(lattice(once, vocabulary).hint("merge"), "_unit", "left")
+    placed = placed.select(F.pmod("_chunk", F.lit(parts)).alias("_bucket"), "_chunk", "_unit", "_ids").repartition(parts, "_bucket").sortWithinPartitions("_bucket", "_chunk")
+    folder, setting = common.scratch(spark, "lexicon"), "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    was = spark.conf.get(setting)
+    spark.conf.set(setting, GROUPED)
+    try:
+        placed.write.partitionBy("_bucket").option("parquet.block.size", 8 << 20).parquet(folder)
+    finally:
+        spark.conf.set(setting, was)
+    return folder, parts
+
+
+def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, columns: str, finish) -> DataFrame:
+    """(id, columns): what ``finish(ids, ends)`` makes of the ids of some texts, as Arrow arrays."""
+    vocabulary = load(path)
+    rows = _chunked(docs, id_col, text_col)
+    kind = rows.schema["_id"].dataType.simpleString()
+    folder, buckets = _lexicon(rows, vocabulary)
+    names = ["_id", *(c.split()[0] for c in columns.split(", "))]
+
+    def load_chunk(chunk: int) -> Lexicon:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        files, place = common.file_system(f"{folder}/_bucket={chunk % buckets}")
+        if files.get_file_info(place).type == fs.FileType.NotFound:
+            return Lexicon([], [])
+        own = ds.dataset(place, filesystem=files, format="parquet").to_table(columns=["_unit", "_ids"], filter=ds.field("_chunk") == chunk, use_threads=False)
+        return Lexicon(own.column(0).to_pylist(), own.column(1).to_pylist())
 
     def look_up(batches):
         import pyarrow as pa
-        import pyarrow.dataset as ds
 
-        known: dict[int, dict[str, bytes]] = {}
+        own, chunk, lexicon = splitter(vocabulary), None, None
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                some = batch.slice(start, 500)
-                out, ends = [], [0]
-                for text, chunk in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
-                    if chunk not in known:
-                        known.clear()
-                        own: dict[str, bytes] = {}
-                        files, folder = common.file_system(f"{lexicon}/_chunk={chunk}")
-                        if text:
-                            for part in ds.dataset(folder, filesystem=files, format="parquet").to_batches(columns=["_unit", "_packed"]):
-                                own.update(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
-                            known[chunk] = own
-                    ids = b"".join(map(known[chunk].__getitem__, vocabulary.units(text))) if text else b""
-                    out.append(ids)
-                    ends.append(ends[-1] + len(ids) // (size // 2))
-                values = np.frombuffer(b"".join(out), code).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["_id", "ids"])
-
-    return rows.mapInArrow(look_up, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
+            chunks = batch.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(chunks)]
+            for begin, stop in zip(cuts, cuts[1:], strict=False):
+                if begin < stop and chunks[begin] != chunk:
+                    lexicon = None
+                    chunk, lexicon = int(chunks[begin]), load_chunk(int(chunks[begin]))
+                for at in range(begin, stop, 256):
+                    some = batch.slice(at, min(256, stop - at))
+                    row = 0
+                    for parts, counts in own.slices(some.column(1).to_pylist()):
+                        ids, sizes = lexicon.ids(Split(parts, own), vocabulary) if any(parts) else (np.zeros(0, np.int32), np.zeros(len(parts), np.int64))
+                        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+                        if not vocabulary.bytes:
+                            ids, ends = _fused(ids, ends, vocabulary.unknown)
+                        yield pa.RecordBatch.from_arrays([some.column(0).slice(row, len(counts)), *finish(vocabulary, ids, ends)], names=names)
+                        row += len(counts)
+
+    return rows.mapInArrow(look_up, f"_id {kind}, {columns}").withColumnRenamed("_id", id_col)
+
+
+def _fused(ids: np.ndarray, ends: np.ndarray, unknown: int) -> tuple[np.ndarray, np.ndarray]:
+    """A run of unknown pieces in a text counts once."""
+    stays = np.ones(len(ids), bool)
+    stays[1:] = (ids[1:] != unknown) | (ids[:-1] != unknown)
+    stays[ends[:-1][ends[:-1] < len(ids)]] = True
+    return ids[stays], np.concatenate([[0], np.cumsum(stays)])[ends]
+
+
+def _as_lists(vocabulary, ids, ends) -> list:
+    import pyarrow as pa
+
+    return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids) for each row of ``docs``: ids as array<int>, those of the sentencepiece library.
+
+    Null and empty texts have no ids. Repeated rows give repeated results, null ids stay
+    null, an empty table gives an empty result; other columns are not read. Characters
+    without a piece become byte pieces, or the unknown piece where the model has none, once
+    a run of them. Unbroken runs of more than ``UNIT`` characters that pieces could all join,
+    and units with a character that is no piece, are merged directly and not in the lattice.
+    """
+    return _encoded(docs, path, id_col, text_col, "ids array<int>", _as_lists)
+
+
+_tables: dict[str, tuple] = {}
+
+
+def texts_of(vocabulary: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The texts, in UTF-8, that ids decode to; text ``k`` has those from ``ends[k]`` to ``ends[k + 1]``.
+
+    Byte pieces join to characters, wrong ones are replaced; control pieces are left out.
+    """
+    if vocabulary.path not in _tables:
+        normal, back = set(vocabulary.normal), {i: bytes([b]) for b, i in vocabulary.bytes.items()}
+        all_bytes = [p.replace(BLANK, " ").encode() if i in normal else back.get(i, " ⁇ ".encode() if i == vocabulary.unknown else b"") for i, p in enumerate(vocabulary.pieces)]
+        size = np.fromiter(map(len, all_bytes), np.int64, len(all_bytes))
+        _tables[vocabulary.path] = np.frombuffer(b"".join(all_bytes), np.uint8), np.cumsum(size) - size, size
+    body, start, size = _tables[vocabulary.path]
+    sizes = size[ids]
+    before = np.cumsum(sizes) - sizes
+    data = body[np.arange(int(sizes.sum())) + np.repeat(start[ids] - before, sizes)].tobytes()
+    places = np.concatenate([[0], np.cumsum(sizes)])[ends].tolist()
+    out = []
+    for a, b in zip(places, places[1:], strict=False):
+        text = data[a:b]
+        text = text[1:] if vocabulary.prefix and text[:1] == b" " else text
+        try:
+            text.decode()
+        except UnicodeDecodeError:
+            text = text.decode(errors="replace").encode()
+        out.append(text.replace(BLANK.encode(), b" "))
+    return out
+
+
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """``encoded`` with the text that the ids in ``ids_col`` decode to; null ids give a null text."""
+    return encoded.withColumn(text_col, decoded(F.col(ids_col), path))
 
 
 def decoded(ids: Column, path: str) -> Column:
@@ -344,19 +384,24 @@ def decoded(ids: Column, path: str) -> Column:
     return F.regexp_replace(text, "^ ", "") if vocabulary.prefix else text
 
 
-def checksum(ids: Column) -> Column:
-    """CRC-32 of ids as big-endian unsigned 32-bit integers."""
-    return F.crc32(F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 8, "0")), "")))
+def _digests(vocabulary, ids, ends) -> list:
+    import pyarrow as pa
+
+    data, places = ids.astype(">u4").tobytes(), (4 * ends).tolist()
+    sums = [zlib.crc32(data[a:b]) for a, b in zip(places, places[1:], strict=False)]
+    return [pa.array(np.diff(ends)), pa.array(sums, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts_of(vocabulary, ids, ends)], pa.string())]
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_pieces, ids_crc32, decoded_sha256: of the ids and of the text they decode to."""
-    found = encode(docs, path, id_col, text_col)
-    return found.select(id_col, F.size("ids").cast("long").alias("n_pieces"), checksum(F.col("ids")).alias("ids_crc32"), F.sha2(decoded(F.col("ids"), path).cast("binary"), 256).alias("decoded_sha256"))
+    """id, n_pieces, ids_crc32 (of the ids as big-endian unsigned 32-bit integers), decoded_sha256.
+
+    Ids are those of :func:`encode`; the last is of the UTF-8 text that they decode to.
+    """
+    return _encoded(docs, path, id_col, text_col, "n_pieces long, ids_crc32 long, decoded_sha256 string", _digests)
 
 
 def reference_crc(ids: list[int]) -> int:
-    """:func:`checksum` in plain Python, for tests."""
+    """The checksum of :func:`round_trip` in plain Python, for tests."""
     return zlib.crc32(np.array(ids, ">u4").tobytes())
 
 
