@@ -214,6 +214,65 @@ def test_pieces_are_the_library(spark, docs):
     assert pieces.encode(docs.limit(0), path).count() == 0
 
 
+def small_model(path, kind, with_bytes):
+    """A model of hand-set pieces; nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.trainer_spec.model_type = {"unigram": 1, "bpe": 2}[kind]
+    model.trainer_spec.byte_fallback = with_bytes
+    model.normalizer_spec.name = "identity"
+    model.normalizer_spec.remove_extra_whitespaces = False
+    model.normalizer_spec.add_dummy_prefix = model.normalizer_spec.escape_whitespaces = True
+    kinds = pb.ModelProto.SentencePiece
+    model.pieces.add(piece="<unk>", score=0, type=kinds.UNKNOWN)
+    for b in range(256 if with_bytes else 0):
+        model.pieces.add(piece=f"<0x{b:02X}>", score=0, type=kinds.BYTE)
+    words = ["ab", "ba", "aba", "abab", "▁a", "▁ab", "bc", "abc", "cab", "▁▁", "aa", "aaa", "aaaa", "ee", "eé", "▁c", "cc"]
+    for k, piece in enumerate([*words, *"abce▁é"]):
+        model.pieces.add(piece=piece, score=-0.375 * k - 1 if kind == "unigram" else -float(k), type=kinds.NORMAL)
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("kind", ["unigram", "bpe"])
+@pytest.mark.parametrize("with_bytes", [True, False])
+def test_pieces_of_small_models(spark, tmp_path, kind, with_bytes):
+    import random
+
+    import sentencepiece
+
+    path = small_model(tmp_path / "m.model", kind, with_bytes)
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(7)
+    texts = ["abc日本語 de", "日本", "a 日 本 b", "", None, "aaaaaaa", "xyz", *("".join(rng.choice("abc eé日a") for _ in range(rng.randint(1, 60))) for _ in range(300))]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in pieces.encode(table, path).collect()}
+    if kind == "bpe":
+        with pytest.raises(ValueError):  # "aba" would be made before "ab" was, in another order of pieces
+            pieces._merges("aba", {"aba": 0, "ab": 1})
+    assert [i for i, t in enumerate(texts) if got[i] != library.encode(t or "")] == []
+
+
+def test_pieces_of_long_units(spark):
+    import random
+    import time
+
+    import sentencepiece
+
+    path, rng = public_tokenizers.path("piece_bpe_32k.model"), random.Random(2)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["a" * 200_000, "".join(rng.choice("aehinorst") for _ in range(200_000)), "日本語" * 70_000, "-" * 300 + "x", "ab" * 200]
+    own, vocabulary = pieces.splitter(pieces.load(path)), pieces.load(path)
+    began = time.perf_counter()
+    pieces.Units(own.parts(texts[1]), own)
+    assert time.perf_counter() - began < 10
+    got = {r["doc_id"]: r["ids"] for r in pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    assert all(got[i] == library.encode(t) for i, t in enumerate(texts))
+    ends = pieces.np.cumsum([0, *(len(got[i]) for i in range(len(texts)))])
+    back = pieces.texts_of(vocabulary, pieces.np.concatenate([got[i] for i in range(len(texts))]), ends)
+    assert [b.decode() for b in back] == texts
+
+
 def test_warc(spark, tmp_path):
     html = ["<p>a</p>", "<p>é</p>", "<p>a</p>", None, "", "x" * 100_000]
     rows = [(-5 if i == 1 else i, f"http://x/{i}", h, "clash") for i, h in enumerate(html)] + [(None, None, "<p>a</p>", None)]

@@ -1,27 +1,37 @@
-"""Units of texts for a piece model: split, hashed and looked up for many texts at once, in NumPy.
+"""Units of texts for a piece model: cut, hashed and looked up for many texts at once, in NumPy.
 
-A unit ends where no piece of the model has the two characters on either side next to each
-other: no piece can cross that place, so units are encoded independently of each other. Letters
-stay with the blank before them; marks, digits and most pairs of ideographs come apart.
+A unit ends where no token can cross, so units are encoded independently of each other:
+
+* where no piece of the model has the two characters on either side next to each other. Letters
+  stay with the blank before them; marks, digits and most pairs of ideographs come apart. What
+  is left between such places is a word here.
+* in the words of BPE models, also between two runs that certainly become parts of one token
+  each, if no piece has both runs next to each other. Two neighbouring runs become one for
+  certain if their merge comes before that of every piece that could take one of them away.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 
 import numpy as np
 
 BLANK = "▁"
-#: Stands between the atoms of a marked unit.
-MARK = "\x01"
 #: Characters of the longest unit that goes through the lattice; longer runs are merged directly.
 UNIT = 255
-#: Characters split at once, about.
-WINDOW = 1 << 20
+#: Characters that are cut at once, about, and those that arithmetic takes at a time to stay in cache.
+WINDOW, BLOCK = 1 << 22, 1 << 15
 #: The rank of what never merges.
 NEVER = 1 << 30
 _MATRIX = 2048
-_KEYS = np.random.default_rng(5).integers(1, 1 << 63, (2, UNIT + 1), dtype=np.uint64) | np.uint64(1)
+_RANDOM = np.random.default_rng(5)
+_KEYS = _RANDOM.integers(1, 1 << 63, UNIT + 1, dtype=np.uint64) | np.uint64(1)
+_SHORT_KEYS = _RANDOM.integers(1, 1 << 31, UNIT + 1, dtype=np.uint32) | np.uint32(1)
+_BASES = tuple(int(b) | 1 for b in _RANDOM.integers(1 << 62, 1 << 63, 2))
+_KEPT = 100_000
+#: How often neighbouring runs are joined before borders are decided; fewer rounds leave longer units.
+ROUNDS = 8
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -29,6 +39,71 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
+def hashes(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes, of 64 and 32 bits, of each of consecutive runs of code points, which cover ``codes``."""
+    one, two = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint32)
+    cuts = np.searchsorted(start, np.arange(0, len(codes), BLOCK))
+    for a, b in zip(cuts, [*cuts[1:], len(start)], strict=False):
+        if a == b:
+            continue
+        begin, stop = start[a], start[b] if b < len(start) else len(codes)
+        edges = (np.append(start[a:b], stop) - begin).astype(np.int32)
+        place = np.arange(stop - begin, dtype=np.int32)
+        place -= np.repeat(edges[:-1], size[a:b])
+        if size[a:b].max() > UNIT:
+            np.minimum(place, UNIT, out=place)
+        values = codes[begin:stop] + np.uint32(1)
+        for out, keys, kind in ((one, _KEYS, np.uint64), (two, _SHORT_KEYS, np.uint32)):
+            sums = np.zeros(stop - begin + 1, kind)
+            np.cumsum(values * keys[place], out=sums[1:])
+            out[a:b] = np.diff(sums[edges])
+    for k in np.flatnonzero(size > UNIT).tolist():
+        digest = hashlib.blake2b(codes[start[k] : start[k] + size[k]].tobytes(), digest_size=12).digest()
+        one[k], two[k] = np.frombuffer(digest[:8], np.uint64)[0], np.frombuffer(digest[8:], np.uint32)[0]
+    return _mixed(one), two
+
+
+class Spans:
+    """Hashes of any run of some code points, by prefix sums."""
+
+    _powers: tuple = ()
+
+    def __init__(self, codes: np.ndarray):
+        n = len(codes) + 1
+        if not Spans._powers or len(Spans._powers[0][0]) < n:
+            size = max(n, 4 * BLOCK)
+            steps = [(np.uint64(b), np.uint64(pow(b, -1, 1 << 64))) for b in _BASES]
+            Spans._powers = tuple(tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, f)]), dtype=np.uint64) for f in pair) for pair in steps)
+        values = _mixed(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        self.sums = []
+        for power, _ in Spans._powers:
+            sums = np.zeros(n, np.uint64)
+            np.cumsum(values * power[: n - 1], out=sums[1:], dtype=np.uint64)
+            self.sums.append(sums)
+
+    def hash(self, k: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[k][stop] - self.sums[k][start]) * Spans._powers[k][1][start] + (stop - start).astype(np.uint64))
+
+
+class Places:
+    """Where keys stand in a sorted array: a table of their leading bits, then a few steps."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, np.uint64((1 << 64) - 1))
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int64)
+
+    def at(self, wanted: np.ndarray) -> np.ndarray:
+        """The first place whose key is not less."""
+        at = self.first[wanted >> self.shift]
+        rest = np.flatnonzero(self.keys[at] < wanted)
+        while len(rest):
+            at[rest] += 1
+            rest = rest[self.keys[at[rest]] < wanted[rest]]
+        return at
+
+
 class Pairs:
     """Numbers from 1 on of the pairs of characters that some piece has next to each other; 0 for others."""
 
@@ -38,7 +113,7 @@ class Pairs:
         self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         self.width = len(chars) + 1
         self.known = {pair: k + 1 for k, pair in enumerate(sorted({p[i : i + 2] for p in pieces for i in range(len(p) - 1)}))}
-        keys = np.array([self._key(p) for p in self.known], np.int64)
+        keys = np.array([int(self.kind[ord(p[0])]) * self.width + int(self.kind[ord(p[1])]) for p in self.known], np.int64)
         if self.width <= _MATRIX:
             self.matrix = np.zeros(self.width * self.width, np.int32)
             self.matrix[keys] = np.arange(1, len(keys) + 1)
@@ -46,36 +121,84 @@ class Pairs:
             self.matrix, self.order = None, np.argsort(keys)
             self.keys = keys[self.order]
 
-    def _key(self, pair: str) -> int:
-        return int(self.kind[ord(pair[0])]) * self.width + int(self.kind[ord(pair[1])])
-
     def numbers(self, codes: np.ndarray) -> np.ndarray:
         """The number of each pair of neighbours."""
-        kinds = self.kind[codes].astype(np.int32 if self.matrix is not None else np.int64)
-        keys = kinds[:-1] * self.width + kinds[1:]
-        if self.matrix is not None:
-            return self.matrix[keys]
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int32)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.order[at] + 1, 0).astype(np.int32)
+        out = np.zeros(max(0, len(codes) - 1), np.int32)
+        for a in range(0, len(out), BLOCK):
+            kinds = self.kind[codes[a : a + BLOCK + 1]].astype(np.int32 if self.matrix is not None else np.int64)
+            keys = kinds[:-1] * self.width + kinds[1:]
+            if self.matrix is not None:
+                out[a : a + BLOCK] = self.matrix[keys]
+            elif len(self.keys):
+                at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+                out[a : a + BLOCK] = np.where(self.keys[at] == keys, self.order[at] + 1, 0)
+        return out
+
+
+def strings(codes: np.ndarray, size: np.ndarray):
+    """pyarrow strings of consecutive runs of code points."""
+    import pyarrow as pa
 
+    data = codes.astype("<u4").tobytes().decode("utf-32-le").encode()
+    wide = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    ends = np.concatenate([[0], np.cumsum(wide)])[np.concatenate([[0], np.cumsum(size)])]
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
+
+
+def taken(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of all elements of the runs ``start``, ``size``, one after the other."""
+    ends = np.cumsum(size)
+    kind = np.int32 if len(ends) and max(ends[-1], start.max()) < 1 << 31 else np.int64
+    out = np.repeat((start - (ends - size)).astype(kind), size)
+    out += np.arange(len(out), dtype=kind)
+    return out
+
+
+def first_of(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the first of equal pairs of hashes, number of its group for each)."""
+    import pyarrow as pa
 
-class Split:
-    """Units of parts that lie end to end; ``part`` has the first unit of each part and the end."""
+    found = pa.array(one).dictionary_encode()
+    group, count = found.indices.to_numpy(), len(found.dictionary)
+    first = np.empty(count, np.int64)
+    first[group[::-1]] = np.arange(len(one) - 1, -1, -1)
+    if (two[first][group] == two).all():
+        return first, group
+    # two runs share the longer hash: told apart by both
+    order = np.lexsort((two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order[new], group
+
+
+class Units:
+    """The different units of some parts, and of which units each part is made.
+
+    ``codes``, ``start`` and ``size``: units of all different words, in order. ``hashes`` of them.
+    ``direct``: those that the lattice doesn't get. ``word`` has the first unit of each different
+    word and the end, ``which`` the word at each place, ``part`` the first place of each part and the end.
+    """
 
     def __init__(self, parts: list[str], splitter: Splitter):
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.codes = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
-        n = len(self.codes)
-        first = np.ones(n, bool)
-        first[1:] = splitter.pairs.numbers(self.codes) == 0
+        codes = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
+        first = np.ones(len(codes), bool)
+        first[1:] = splitter.pairs.numbers(codes) == 0
         ends = np.concatenate([[0], np.cumsum(sizes)])
         first[ends[:-1][sizes > 0]] = True
-        self.start = np.flatnonzero(first)
-        self.size = np.diff(np.append(self.start, n))
-        self.part = np.searchsorted(self.start, ends)
-        #: Units that the lattice doesn't get: longer ones, and those with a character that is no piece.
+        start = np.flatnonzero(first)
+        size = np.diff(np.append(start, len(codes)))
+        self.part = np.searchsorted(start, ends)
+        chosen, self.which = first_of(*hashes(codes, start, size))
+        size = size[chosen]
+        self.codes = codes[taken(start[chosen], size)]
+        begin = np.cumsum(size) - size
+        cut = splitter.cuts(self.codes, begin)
+        self.start = np.flatnonzero(cut)
+        self.size = np.diff(np.append(self.start, len(self.codes)))
+        self.word = np.append(np.searchsorted(self.start, begin), len(self.start))
         self.direct = self.size > UNIT
         strange = ~splitter.single[self.codes]
         if strange.any():
@@ -85,66 +208,111 @@ class Split:
     def text(self, k: int) -> str:
         return self.codes[self.start[k] : self.start[k] + self.size[k]].tobytes().decode("utf-32-le")
 
-
-def hashes(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each unit of up to ``UNIT`` characters."""
-    if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    place = np.arange(len(codes), dtype=np.int32) - np.repeat(start.astype(np.int32), size)
-    np.minimum(place, UNIT, out=place)
-    values = codes.astype(np.uint64) + np.uint64(1)
-    return tuple(_mixed(np.add.reduceat(values * key[place], start)) for key in _KEYS)
-
-
-def strings(codes: np.ndarray, size: np.ndarray):
-    """pyarrow strings of consecutive runs of code points."""
-    import pyarrow as pa
-
-    data = codes.astype("<u4").tobytes().decode("utf-32-le").encode()
-    wide = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
-    ends = np.concatenate([[0], np.cumsum(wide)])[np.concatenate([[0], np.cumsum(size)])]
-    return pa.StringArray.from_buffers(len(size), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
-
-
-def taken(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Places of all elements of the runs ``start``, ``size``, one after the other."""
-    before = np.cumsum(size) - size
-    return np.arange(int(size.sum())) + np.repeat(start - before, size)
+    def different(self):
+        """(hashes, strings) of the different units that are for the lattice."""
+        usual = np.flatnonzero(~self.direct)
+        one, two = (h[usual] for h in self.hashes)
+        chosen, _ = first_of(one, two)
+        usual = usual[chosen]
+        size = self.size[usual]
+        return (one[chosen], two[chosen]), strings(self.codes[taken(self.start[usual], size)], size)
 
 
 class Splitter:
-    """What splitting needs of a vocabulary; made once a Python worker."""
+    """What cutting needs of a vocabulary; made once a Python worker."""
 
     def __init__(self, vocabulary):
         pieces = [vocabulary.pieces[i] for i in vocabulary.normal]
         self.vocabulary, self.pairs = vocabulary, Pairs(pieces)
         self.single = np.zeros(0x110000, bool)
         self.single[[ord(p) for p in pieces if len(p) == 1]] = True
-        #: By pair: its rank, and the least rank of any piece that ends or begins with it.
-        self.rank, self.ending, self.beginning = (np.full(len(self.pairs.known) + 1, NEVER, np.int32) for _ in range(3))
-        for p in pieces:
-            if len(p) > 1:
-                rank = vocabulary.ranks[p]
-                last, begin = self.pairs.known[p[-2:]], self.pairs.known[p[:2]]
-                self.ending[last] = min(self.ending[last], rank)
-                self.beginning[begin] = min(self.beginning[begin], rank)
-                if len(p) == 2:
-                    self.rank[last] = rank
+        self.kept: dict[str, list[int]] = {}
+        if vocabulary.kind == "bpe":
+            self._runs([p for p in pieces if len(p) > 1])
+
+    def _runs(self, pieces: list[str]) -> None:
+        """Of every run inside a piece: its rank if it is one, and the least rank of a piece that ends or begins with it."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        codes = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4")
+        begin, spans = np.cumsum(size) - size, Spans(codes)
+        piece = np.repeat(np.arange(len(pieces)), size)
+        offset = np.arange(len(codes)) - begin[piece]
+        rank_of = np.array([self.vocabulary.ranks[p] for p in pieces], np.int32)
+        found = []
+        for length in range(2, int(size.max(initial=0)) + 1):
+            at = np.flatnonzero(offset + length <= size[piece])
+            own = rank_of[piece[at]]
+            head, last = offset[at] == 0, offset[at] + length == size[piece[at]]
+            found.append([spans.hash(0, at, at + length), spans.hash(1, at, at + length), *(np.where(c, own, NEVER).astype(np.int32) for c in (head & last, last, head))])
+        one, two, *ranks = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int32) for _ in range(3)))
+        order = np.argsort(one, kind="stable")
+        new = np.flatnonzero(np.append(True, one[order][1:] != one[order][:-1])) if len(order) else order
+        self.places, self.check = Places(one[order][new]), np.append(two[order][new], np.uint64(0))
+        #: rank, least rank of those that end, and of those that begin with it; the last row is for runs in no piece
+        self.ranks = [np.append(np.minimum.reduceat(r[order], new) if len(new) else r, NEVER).astype(np.int32) for r in ranks]
+
+        known = np.frombuffer("".join(self.pairs.known).encode("utf-32-le"), "<u4")
+        self.row_of_pair = np.append(len(self.check) - 1, self._number(Spans(known), np.arange(0, len(known), 2), np.arange(2, len(known) + 1, 2)))
+
+    def _number(self, spans: Spans, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The row of ``ranks`` of each run."""
+        wanted = spans.hash(0, start, stop)
+        at = self.places.at(wanted)
+        none = len(self.check) - 1
+        have = np.flatnonzero(self.places.keys[at] == wanted)
+        out = np.full(len(at), none)
+        have = have[self.check[at[have]] == spans.hash(1, start[have], stop[have])]
+        out[have] = at[have]
+        return out
+
+    def cuts(self, codes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """True where a unit starts, in words that begin at ``begin``."""
+        out = np.zeros(len(codes), bool)
+        out[begin] = True
+        if self.vocabulary.kind == "bpe" and len(codes):
+            at = begin[np.unique(np.searchsorted(begin, np.arange(0, len(codes), 2 * BLOCK), "right") - 1)]
+            for a, b in zip(at, [*at[1:], len(codes)], strict=True):
+                self._cut(codes[a:b], out[a:b])
+        return out
+
+    def _cut(self, codes: np.ndarray, out: np.ndarray) -> None:
+        """Add to ``out``, which is true where words begin, where units do."""
+        spans, none = Spans(codes), len(self.check) - 1
+        # borders of runs; at the end one more, so that every run has one behind it
+        border, fixed = np.arange(len(codes) + 1, dtype=np.int32), np.append(out, True)
+        row = np.full(len(border), none)
+        row[1:-1] = self.row_of_pair[self.pairs.numbers(codes)]
+        row[fixed] = none
+        for _ in range(ROUNDS):
+            rank, left, right = (r[row] for r in self.ranks)
+            merged = np.zeros(len(border), bool)
+            merged[1:-1] = (rank[1:-1] < NEVER) & (left[:-2] > rank[1:-1]) & (right[2:] >= rank[1:-1])
+            if not merged.any():
+                break
+            stale = np.zeros(len(border), bool)
+            stale[1:] |= merged[:-1]
+            stale[:-1] |= merged[1:]
+            stay = np.flatnonzero(~merged)
+            border, fixed, row, stale = border[stay], fixed[stay], row[stay], stale[stay]
+            at = np.flatnonzero(stale & ~fixed)
+            row[at] = self._number(spans, border[at - 1], border[at + 1])
+            fixed[at] = row[at] == none
+        out[border[fixed][:-1]] = True
 
     def parts(self, text: str | None) -> list[str]:
-        """A text with its blanks in the model's form, in parts of about ``WINDOW`` characters that end with a unit."""
+        """A text with its blanks in the model's form, in parts of about ``WINDOW`` characters that end with a word."""
         if not text:
             return [""]
         text = text.replace(" ", BLANK)
         text = BLANK + text if self.vocabulary.prefix else text
-        out = []
-        while len(text) > WINDOW:
-            at = WINDOW
+        out, begin = [], 0
+        while len(text) - begin > WINDOW:
+            at = begin + WINDOW
             while at < len(text) and text[at - 1 : at + 1] in self.pairs.known:
                 at += 1
-            out.append(text[:at])
-            text = text[at:]
-        return [*out, text] if text or not out else out
+            out.append(text[begin:at])
+            begin = at
+        return [*out, text[begin:]] if begin < len(text) or not out else out
 
     def slices(self, texts: list[str | None]):
         """(parts, number of parts of each text) for so many texts at a time as ``WINDOW`` allows."""
@@ -160,34 +328,16 @@ class Splitter:
         if counts:
             yield parts, counts
 
-    def different(self, split: Split):
-        """(hashes, marked units) of the different units of a split that are for the lattice.
-
-        A marked unit has ``MARK`` wherever a path of the lattice may turn. For BPE models that
-        is not between two characters that merge for sure: where their rank is below that of
-        every piece that could take one of them away before.
-        """
-        chosen = np.flatnonzero(~split.direct)
-        one, two = (h[chosen] for h in split.hashes)
-        order = np.argsort(one)
-        one, two, chosen = one[order], two[order], chosen[order]
-        new = np.ones(len(one), bool)
-        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        chosen, size = chosen[new], split.size[chosen[new]]
-        codes = split.codes[taken(split.start[chosen], size)]
-        begin = np.cumsum(size) - size
-        turn = np.ones(len(codes), bool)
-        if self.vocabulary.kind == "bpe" and len(codes) > 1:
-            pair = self.pairs.numbers(codes)
-            pair[begin[1:] - 1] = 0
-            rank, left, right = self.rank[pair], np.full(len(pair), NEVER), np.full(len(pair), NEVER)
-            left[1:], right[:-1] = self.ending[pair[:-1]], self.beginning[pair[1:]]
-            turn[1:] = ~((rank < NEVER) & (left > rank) & (right >= rank))
-        turn[begin] = False
-        out = np.full(len(codes) + int(turn.sum()), ord(MARK), np.uint32)
-        out[np.arange(len(codes)) + np.cumsum(turn)] = codes
-        longer = np.add.reduceat(turn.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
-        return (one[new], two[new]), strings(out, size + longer)
+    def plain(self, unit: str) -> list[int]:
+        """:func:`plain`, remembered for short units."""
+        found = self.kept.get(unit)
+        if found is None:
+            found = plain(self.vocabulary, unit)
+            if len(unit) <= UNIT:
+                if len(self.kept) >= _KEPT:
+                    self.kept.clear()
+                self.kept[unit] = found
+        return found
 
 
 def plain(vocabulary, unit: str) -> list[int]:
@@ -251,57 +401,46 @@ class Lexicon:
     def __init__(self, units: list[str], ids: list[str]):
         size = np.fromiter(map(len, units), np.int64, len(units))
         codes = np.frombuffer("".join(units).encode("utf-32-le"), "<u4")
-        inner = codes != ord(MARK)
-        if len(units):
-            size = np.add.reduceat(inner.astype(np.int64), np.cumsum(size) - size)
-        codes = codes[inner]
         one, two = hashes(codes, np.cumsum(size) - size, size)
         order = np.argsort(one)
-        self.one, self.two = one[order], two[order]
+        self.places, self.two = Places(one[order]), np.append(two[order], np.uint32(0))
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         self.values = from_chars(np.frombuffer("".join(ids).encode("utf-32-le"), "<u4"))
         self.start, self.count = (np.cumsum(count) - count)[order], count[order]
 
     def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """The place of each unit; one that isn't there raises KeyError."""
-        at = np.searchsorted(self.one, one)
+        at = self.places.at(one)
         while True:
-            if len(at) and (not len(self.one) or (over := at >= len(self.one)).any() or (self.one[at] != one).any()):
+            if (at >= len(self.start)).any() or (self.places.keys[at] != one).any():
                 raise KeyError("a unit without ids")
             wrong = self.two[at] != two
             if not wrong.any():
                 return at
             at = at + wrong
 
-    def ids(self, split: Split, vocabulary) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each part) of a split."""
-        n = len(split.start)
+    def ids(self, units: Units, splitter: Splitter) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each part)."""
+        n = len(units.start)
         start, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        usual = np.flatnonzero(~split.direct)
-        at = self.find(*(h[usual] for h in split.hashes))
+        usual = np.flatnonzero(~units.direct)
+        at = self.find(*(h[usual] for h in units.hashes))
         start[usual], count[usual] = self.start[at], self.count[at]
         values = self.values
         if len(usual) < n:
             more, size = [], len(values)
-
-            def add(places, own):
-                nonlocal size
-                start[places], count[places] = size, len(own)
+            for k in np.flatnonzero(units.direct).tolist():
+                own = splitter.plain(units.text(k))
+                start[k], count[k] = size, len(own)
                 more.append(np.array(own, np.int32))
                 size += len(own)
-
-            rest = np.flatnonzero(split.direct)
-            alone = rest[split.size[rest] == 1]
-            found, which = np.unique(split.codes[split.start[alone]], return_inverse=True)
-            groups = np.split(alone[np.argsort(which, kind="stable")], np.cumsum(np.bincount(which, minlength=len(found)))[:-1]) if len(found) else []
-            for code, places in zip(found.tolist(), groups, strict=True):
-                add(places, plain(vocabulary, chr(code)))
-            for k in rest[split.size[rest] > 1].tolist():
-                add(k, plain(vocabulary, split.text(k)))
             values = np.concatenate([values, *more])
-        ids = values[taken(start, count)]
-        ends = np.concatenate([[0], np.cumsum(count)])[split.part]
-        return ids, np.diff(ends)
+        # ids of the different words, then of their places
+        words = values[taken(start, count)]
+        ends = np.concatenate([[0], np.cumsum(count)])[units.word]
+        size = np.diff(ends)[units.which]
+        ids = words[taken(ends[:-1][units.which], size)]
+        return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[units.part])
 
 
 #: Ids travel as strings, a character each: nothing below U+0100, no surrogates.

@@ -1,19 +1,20 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-Texts become units, runs that no piece of the model crosses, of which most recur, so each
+Texts become units, runs that no token crosses (``piece_units``), of which most recur, so each
 different unit is encoded once a corpus and not once an occurrence:
 
 1. Documents go in chunks of ``CHUNK_ROWS`` rows of a file; each chunk's different units are
-   shuffled by unit.
+   written.
 2. Over the different units of the corpus: substrings up to the longest piece are exploded,
    equi-joined to the piece table (of the model's size, so it is broadcast), grouped as edges
-   by unit, and folded by Viterbi with ``aggregate``, all in the partitioning of that one
-   shuffle. A merge join in the same partitioning takes the ids back to (chunk, unit).
+   by unit, and folded by Viterbi with ``aggregate``, all in the partitioning of one shuffle of
+   the units. An ordinary join takes the ids back to (chunk, unit).
 3. Ids are written by chunk, many chunks a folder. Documents are read a second time; a
    chunk's lexicon is as large as that chunk's text allows, not more.
 
 The fold keeps for every node of a unit the best path to it. For unigram models the best is
-the highest sum of scores. For BPE models a sum of scores finds other paths than merging does.
+the highest sum of scores (in single precision, added up within the unit: paths whose sums differ by
+rounding alone may be told apart otherwise than over a whole text). For BPE models a sum of scores finds other paths than merging does.
 Their weight here is the set of merges that build a path's pieces, each merge as (rank, place);
 of two sets the better has the smallest merge that only one of them has. Merging takes just
 that one first, so the best path is the merged one. The order stays when the same merges are
@@ -33,13 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .piece_units import BLANK, MARK, NEVER, Lexicon, Split, Splitter, to_char
+from .piece_units import BLANK, NEVER, Lexicon, Splitter, Units, first_of, to_char
 
 CHUNK_ROWS = 8192
+#: Rows whose texts are taken out of an Arrow batch at once.
+ROWS = 1024
 #: Different units that a task of the first stage holds before it passes them on.
 HELD = 2_000_000
-#: Units that are grouped in memory at once, before Spark sorts instead (about 500 bytes each).
-GROUPED = 100_000
 _EVER = -1
 
 
@@ -78,8 +79,6 @@ def load(path: str) -> Vocabulary:
         raise ValueError("user-defined pieces are not supported")
     pieces = [p.piece for p in model.pieces]
     normal = [i for i, p in enumerate(model.pieces) if p.type == kind.NORMAL]
-    if any(MARK in pieces[i] and len(pieces[i]) > 1 for i in normal):
-        raise ValueError("a piece has the character that marks atoms")
     order = sorted(normal, key=lambda i: (-model.pieces[i].score, i))
     return Vocabulary(
         path=path,
@@ -121,8 +120,8 @@ def _merges(piece: str, ranks: dict[str, int]) -> list[tuple[int, int]] | None:
     return out
 
 
-#: Where an edge is, in one long: node at its end, node at its start, character it starts at.
-_END, _START = 40, 20
+#: Where an edge is, in one long: its end, and in the lower bits its start.
+_END = 20
 #: A merge in one negative long, so that what merges first is the greatest.
 _PLACE = 10
 
@@ -145,22 +144,20 @@ def piece_table(spark, vocabulary: Vocabulary) -> DataFrame:
 
 
 def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(_unit, _ids) for each of the different marked units in column ``_unit``.
+    """(_unit, _ids) for each of the different units in column ``_unit``.
 
-    A marked unit is a text of up to ``UNIT`` characters, each a piece by itself, with ``MARK``
-    wherever a path may turn; :meth:`Splitter.different` makes them. ``_ids`` is a string
+    A unit is a text of up to ``UNIT`` characters, each a piece by itself. ``_ids`` is a string
     with a character an id (``to_char``). ``units`` should be partitioned by ``_unit``: then
     nothing here is shuffled.
     """
     table = piece_table(units.sparkSession, vocabulary)
-    atoms = units.select("_unit", F.split("_unit", MARK).alias("_atoms"))
-    starts = atoms.select("_unit", "_atoms", F.explode(F.sequence(F.lit(0), F.size("_atoms") - 1)).alias("_i"))
-    before = F.length(F.array_join(F.slice("_atoms", F.lit(1), F.col("_i")), ""))
-    spans = starts.select("_unit", "_atoms", "_i", before.alias("_at"), F.explode(F.sequence(F.col("_i") + 1, F.least(F.size("_atoms"), F.col("_i") + vocabulary.longest))).alias("_j"))
-    spans = spans.select("_unit", "_i", "_at", "_j", F.array_join(F.slice("_atoms", F.col("_i") + 1, F.col("_j") - F.col("_i")), "").alias("_piece"))
+    size = F.length("_unit")
+    starts = units.select("_unit", size.alias("_size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("_i"))
+    spans = starts.select("_unit", "_i", F.explode(F.sequence(F.col("_i") + 1, F.least(F.col("_size"), F.col("_i") + vocabulary.longest))).alias("_j"))
+    spans = spans.select("_unit", "_i", "_j", F.substring("_unit", F.col("_i") + 1, F.col("_j") - F.col("_i")).alias("_piece"))
     # the piece table has as many rows as the model has pieces, whatever the corpus
     edges = spans.join(F.broadcast(table), "_piece")
-    place = F.shiftleft(F.col("_j").cast("long"), _END).bitwiseOR(F.shiftleft(F.col("_i").cast("long"), _START)).bitwiseOR(F.col("_at").cast("long"))
+    place = F.shiftleft(F.col("_j").cast("long"), _END).bitwiseOR(F.col("_i").cast("long"))
     worth = "_merges" if vocabulary.kind == "bpe" else "_score"
     by_unit = edges.select("_unit", F.struct(place.alias("place"), "_char", worth).alias("_edge")).groupBy("_unit").agg(F.collect_list("_edge").alias("_edges"))
 
@@ -168,13 +165,13 @@ def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         return F.shiftright(x["place"], _END)
 
     def start_of(x: Column) -> Column:
-        return F.shiftright(x["place"], _START).bitwiseAND((1 << _END - _START) - 1).cast("int")
+        return x["place"].bitwiseAND((1 << _END) - 1).cast("int")
 
     if vocabulary.kind == "bpe":
         nothing = F.array().cast("array<bigint>")
 
         def way(state: Column, x: Column) -> Column:
-            so_far, at = F.get(state, start_of(x))["weight"], x["place"].bitwiseAND((1 << _START) - 1)
+            so_far, at = F.get(state, start_of(x))["weight"], x["place"].bitwiseAND((1 << _END) - 1)
             weight = F.when(F.size(x["_merges"]) == 0, so_far).otherwise(F.sort_array(F.concat(so_far, F.transform(x["_merges"], lambda m: m - at)), False))
             return F.struct(weight.alias("weight"), start_of(x).alias("start"), x["_char"].alias("char"))
     else:
@@ -191,7 +188,7 @@ def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         return F.concat(state, F.transform(F.array(best), lambda b: F.struct(b["weight"].alias("weight"), F.concat(F.get(state, b["start"])["ids"], b["char"]).alias("ids"))))
 
     begin = F.array(F.struct(nothing.alias("weight"), F.lit("").alias("ids")))
-    nodes = F.sequence(F.lit(1).cast("long"), F.size(F.split("_unit", MARK)).cast("long"))
+    nodes = F.sequence(F.lit(1).cast("long"), F.length("_unit").cast("long"))
     return by_unit.select("_unit", F.aggregate(nodes, begin, step, lambda s: F.element_at(s, -1)["ids"]).alias("_ids"))
 
 
@@ -221,11 +218,8 @@ def _lexicon(rows: DataFrame, vocabulary: Vocabulary) -> tuple[str, int]:
         def made():
             if not held:
                 return
-            one, two = (np.concatenate([h[k] for h in held]) for k in range(2))
-            order = np.argsort(one)
-            new = np.ones(len(order), bool)
-            new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-            units = pa.concat_arrays([h[2] for h in held]).take(pa.array(np.sort(order[new])))
+            chosen, _ = first_of(*(np.concatenate([h[k] for h in held]) for k in range(2)))
+            units = pa.concat_arrays([h[2] for h in held]).take(pa.array(np.sort(chosen)))
             for at in range(0, len(units), 50_000):
                 some = units.slice(at, 50_000)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk, np.int64)), some], names=["_chunk", "_unit"])
@@ -239,10 +233,10 @@ def _lexicon(rows: DataFrame, vocabulary: Vocabulary) -> tuple[str, int]:
                 if chunks[begin] != chunk:
                     yield from made()
                     chunk, held, size = int(chunks[begin]), [], 0
-                for at in range(begin, stop, 256):
-                    for parts, _ in own.slices(batch.column(0).slice(at, min(256, stop - at)).to_pylist()):
+                for at in range(begin, stop, ROWS):
+                    for parts, _ in own.slices(batch.column(0).slice(at, min(ROWS, stop - at)).to_pylist()):
                         if any(parts):
-                            (one, two), units = own.different(Split(parts, own))
+                            (one, two), units = Units(parts, own).different()
                             held.append((one, two, units))
                             size += len(units)
                             if size >= HELD:
@@ -251,18 +245,11 @@ def _lexicon(rows: DataFrame, vocabulary: Vocabulary) -> tuple[str, int]:
         yield from made()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.select("_text", "_chunk").mapInArrow(different, "_chunk long, _unit string").repartition(parts, "_unit")
-    # the filter keeps the chunk in this branch too, so that both read one and the same shuffle
-    once = found.groupBy("_unit").agg(F.min("_chunk").alias("_least")).where("_least is not null").select("_unit")
-    placed = found.join(lattice(once, vocabulary).hint("merge"), "_unit", "left")
-    placed = placed.select(F.pmod("_chunk", F.lit(parts)).alias("_bucket"), "_chunk", "_unit", "_ids").repartition(parts, "_bucket").sortWithinPartitions("_bucket", "_chunk")
-    folder, setting = common.scratch(spark, "lexicon"), "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    was = spark.conf.get(setting)
-    spark.conf.set(setting, GROUPED)
-    try:
-        placed.write.partitionBy("_bucket").option("parquet.block.size", 8 << 20).parquet(folder)
-    finally:
-        spark.conf.set(setting, was)
+    found = common.stored(rows.select("_text", "_chunk").mapInArrow(different, "_chunk long, _unit string"), "units")
+    encoded = lattice(found.select("_unit").distinct(), vocabulary)
+    placed = found.join(encoded.hint("merge"), "_unit").select(F.pmod("_chunk", F.lit(parts)).alias("_bucket"), "_chunk", "_unit", "_ids")
+    folder = common.scratch(spark, "lexicon")
+    placed.repartition(parts, "_bucket").sortWithinPartitions("_bucket", "_chunk").write.partitionBy("_bucket").option("parquet.block.size", 8 << 20).parquet(folder)
     return folder, parts
 
 
@@ -295,11 +282,11 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, columns: st
                 if begin < stop and chunks[begin] != chunk:
                     lexicon = None
                     chunk, lexicon = int(chunks[begin]), load_chunk(int(chunks[begin]))
-                for at in range(begin, stop, 256):
-                    some = batch.slice(at, min(256, stop - at))
+                for at in range(begin, stop, ROWS):
+                    some = batch.slice(at, min(ROWS, stop - at))
                     row = 0
                     for parts, counts in own.slices(some.column(1).to_pylist()):
-                        ids, sizes = lexicon.ids(Split(parts, own), vocabulary) if any(parts) else (np.zeros(0, np.int32), np.zeros(len(parts), np.int64))
+                        ids, sizes = lexicon.ids(Units(parts, own), own) if any(parts) else (np.zeros(0, np.int32), np.zeros(len(parts), np.int64))
                         ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
                         if not vocabulary.bytes:
                             ids, ends = _fused(ids, ends, vocabulary.unknown)
