@@ -11,14 +11,20 @@ fragments:
   order a partial count, and summed for each pair.
 
 Groups of near copies would make all their pairs. Instead there are two rounds. In the first,
-every list links its nodes to one of them, the pivot, which has the fewest shingles of its own; pairs that are similar are links, and
-connected nodes a component. The second takes, of every list, all pairs of nodes in
-*different* components: a pair inside one can't change any component. Both rounds verify with
+every list links its nodes to one of them, the pivot, which has the fewest shingles of its own; pairs that
+are similar are links, and connected nodes a component. Each linked node belongs to the star of one pivot,
+its centre, at a known Jaccard distance, the radius; other nodes are their own centre.
+
+The second round looks at nodes of *different* components that share a list; a pair inside one can't change
+any component. Distances obey the triangle inequality, so one overlap of two centres settles all pairs of
+their stars if the centres are farther apart than the radii and the limit together: a node that has one
+passage in common with thousands of near copies is compared with their centre, not with each. Only
+stars nearer than that are expanded to pairs of nodes, those whose own radii reach. Both rounds verify with
 exact overlaps, and together they consider every pair that could join two components.
 
 Nothing here is approximate but the 64-bit hashes. Frequency only shapes the order, any order
 gives the same result; the table of frequent shingles is therefore bounded
-(``FREQUENT``), as is the bit map that keeps sets without candidates from being shuffled.
+(``FREQUENT``), as is the bit map that keeps texts without candidates from being cut again.
 """
 
 from __future__ import annotations
@@ -66,63 +72,59 @@ def _sets(docs: DataFrame, text_col: str, extra: list[str]):
     return docs.select(*extra, F.col(text_col).cast("string").alias("_text"))
 
 
-def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, ascending, and their ranks from 1 on by frequency.
+def _survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of each document (_id, _th, _key, _n), and (_s, _c) of shingles that may be frequent, in one pass.
 
-    Tasks count their shingles ``COUNTED`` at a time and pass on those that three sets have;
-    equal sets count once a task.
+    ``_th`` is the hash of the text, ``_key`` that of its set of ``_n`` shingles. Tasks count
+    their shingles ``COUNTED`` at a time and pass on those that three sets have; equal sets count
+    once a task.
     """
+    kind = docs.select(id_col).dtypes[0][1]
 
-    def count(batches):
+    def measure(batches):
         import pyarrow as pa
 
-        held, size, seen = [], 0, set()
+        held, size, seen, names = [], 0, set(), ["_id", "_th", "_key", "_n", "_s", "_c"]
 
-        def passed_on():
+        def passed_on(id_type):
             values, times = np.unique(np.concatenate(held), return_counts=True)
             many = times >= 3
-            return pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(times[many].astype(np.int64))], names=["_s", "_n"])
+            n = int(many.sum())
+            return pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(values[many].view(np.int64)), pa.array(times[many].astype(np.int64))], names=names)
 
+        id_type = None
         for batch in batches:
-            for _, found in shingles(batch.column(0)):
-                if (key := set_key(found)) in seen:
+            keys, sizes, id_type = [], [], batch.column(0).type
+            for _, found in shingles(batch.column(2)):
+                keys.append(key := set_key(found))
+                sizes.append(len(found))
+                if key in seen:
                     continue
                 seen.add(key)
                 held.append(found)
                 size += len(found)
                 if size >= COUNTED:
-                    yield passed_on()
+                    yield passed_on(id_type)
                     held, size = [], 0
                     seen.clear()
+            n = len(keys)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
         if held:
-            yield passed_on()
+            yield passed_on(id_type)
 
-    counts = _sets(docs, text_col, []).mapInArrow(count, "_s long, _n long").groupBy("_s").agg(F.sum("_n").alias("_n"))
-    top = counts.orderBy(F.desc("_n"), "_s").limit(FREQUENT).toPandas().sort_values(["_n", "_s"])
+    rows = _sets(docs, text_col, [F.col(id_col).alias("_id"), F.xxhash64(common.text_of(text_col)).alias("_th")])
+    return rows.mapInArrow(measure, f"_id {kind}, _th long, _key long, _n int, _s long, _c long")
+
+
+def _frequent(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, ascending, and their ranks from 1 on by frequency."""
+    counts = survey.where("_c is not null").groupBy("_s").agg(F.sum("_c").alias("_c"))
+    top = counts.orderBy(F.desc("_c"), "_s").limit(FREQUENT).toPandas().sort_values(["_c", "_s"])
     values = top["_s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
     return values[order], (np.arange(len(values), dtype=np.int32) + 1)[order]
 
 
-def _members(docs: DataFrame, id_col: str, text_col: str, hashed: bool = False) -> DataFrame:
-    """(_id, _key, _n): each document's set; _th, the hash of the text, too if ``hashed``."""
-    kind = docs.select(id_col).dtypes[0][1]
-
-    def measure(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            keys, sizes = [], []
-            for _, found in shingles(batch.column(len(names))):
-                keys.append(set_key(found))
-                sizes.append(len(found))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(keys, pa.int64()), pa.array(sizes, pa.int32())], names=[*names, "_key", "_n"])
-
-    more = [F.xxhash64(common.text_of(text_col)).alias("_th")] if hashed else []
-    names = ["_id", "_th"] if hashed else ["_id"]
-    return _sets(docs, text_col, [F.col(id_col).alias("_id"), *more]).mapInArrow(measure, f"_id {kind}, {'_th long, ' if hashed else ''}_key long, _n int")
-
-
 def _heads(docs: DataFrame, text_col: str, frequent) -> DataFrame:
     """(_s, _key, _n, _w): the shingles in the head of each set; equal sets once a task, at least.
 
@@ -213,11 +215,12 @@ def _lists(heads: DataFrame) -> DataFrame:
     return found.where("_key is not null").unionByName(more)
 
 
-def _verified(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
-    """(_a, _b) of the candidate pairs (_a, _b, _n, _m) that are similar, by exact overlaps."""
+def _overlaps(docs: DataFrame, text_col: str, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(_a, _b, _n, _m, _both): the exact overlap of each of the candidate pairs (_a, _b, _n, _m)."""
     spark = docs.sparkSession
     nodes = pairs.select(F.col("_a").alias("_key")).union(pairs.select("_b")).distinct()
-    nodes = common.stored(nodes, "candidates")
+    # of the texts that have a node's set one is enough
+    nodes = common.stored(members.join(nodes, "_key", "left_semi").groupBy("_key").agg(F.min("_th").alias("_th")), "candidates")
     bits = 1 << 10
     known = nodes.count()
     while bits < 16 * known and bits < MAP_BITS:
@@ -233,7 +236,7 @@ def _verified(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"map": [have.tobytes()]})
 
     have = np.zeros(bits // 8, np.uint8)
-    for row in nodes.coalesce(4).mapInArrow(bitmap, "map binary").toLocalIterator():
+    for row in nodes.select("_th").coalesce(4).mapInArrow(bitmap, "map binary").toLocalIterator():
         have |= np.frombuffer(row[0], np.uint8)
     shared = spark.sparkContext.broadcast(have)
 
@@ -243,10 +246,11 @@ def _verified(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             keys, parts, values = [], [], []
-            for _, found in shingles(batch.column(0)):
+            place = batch.column(0).to_numpy().view(np.uint64) & np.uint64(bits - 1)
+            some = shared.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1
+            for _, found in shingles(batch.column(1).filter(pa.array(some.astype(bool)))):
                 key = set_key(found)
-                place = key & bits - 1
-                if not len(found) or key in seen or not shared.value[place >> 3] >> (place & 7) & 1:
+                if not len(found) or key in seen:
                     continue
                 seen.add(key)
                 # fragments of the global order: ranges of the hash, whatever the frequency
@@ -263,13 +267,23 @@ def _verified(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
             if len(seen) > 1 << 20:
                 seen.clear()
 
-    pieces = _sets(docs, text_col, []).mapInArrow(cut, "_key long, _part int, _values array<long>").dropDuplicates(["_key", "_part"])
-    pieces = common.stored(pieces.join(nodes, "_key", "left_semi"), "fragments")
+    texts = _sets(docs, text_col, [F.xxhash64(common.text_of(text_col)).alias("_th")])
+    pieces = texts.mapInArrow(cut, "_key long, _part int, _values array<long>").dropDuplicates(["_key", "_part"])
+    pieces = common.stored(pieces.join(nodes.select("_key"), "_key", "left_semi"), "fragments")
     each = pairs.withColumn("_part", F.explode(F.array(*map(F.lit, range(FRAGMENTS)))))
     left = each.join(pieces.select(F.col("_key").alias("_a"), "_part", F.col("_values").alias("_va")), ["_a", "_part"])
     both = left.join(pieces.select(F.col("_key").alias("_b"), "_part", F.col("_values").alias("_vb")), ["_b", "_part"])
-    counted = both.select("_a", "_b", "_n", "_m", F.size(F.array_intersect("_va", "_vb")).alias("_some")).groupBy("_a", "_b", "_n", "_m").agg(F.sum("_some").alias("_both"))
-    return counted.where(_similar(F.col("_both"), F.col("_n"), F.col("_m"))).select("_a", "_b")
+    counted = both.select("_a", "_b", "_n", "_m", F.size(F.array_intersect("_va", "_vb")).alias("_some"))
+    return counted.groupBy("_a", "_b", "_n", "_m").agg(F.sum("_some").alias("_both"))
+
+
+def _distance() -> Column:
+    """Jaccard distance of a pair (_n, _m, _both)."""
+    return 1 - F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))
+
+
+#: The distance of similar sets, and what rounding may add.
+_LIMIT = 1 - PERCENT / 100 + 1e-9
 
 
 def _close(n: Column, m: Column) -> Column:
@@ -289,39 +303,69 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _labelled(docs, id_col, text_col, False)
 
 
+def _with_component(rows: DataFrame, column: str, name: str, *merges: DataFrame) -> DataFrame:
+    """``rows`` with the component of the node in ``column`` as ``name``, after each of ``merges`` (_node, _comp)."""
+    rows = rows.withColumn(name, F.col(column))
+    for merge in merges:
+        step = merge.select(F.col("_node").alias("_from"), F.col("_comp").alias("_to"))
+        rows = rows.join(step, F.col(name) == F.col("_from"), "left").withColumn(name, F.coalesce("_to", name)).drop("_from", "_to")
+    return rows
+
+
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The links (_a, _b) as links of components."""
+    found = _with_component(_with_component(links, "_a", "_ca", labels), "_b", "_cb", labels)
+    return found.select(F.col("_ca").alias("_a"), F.col("_cb").alias("_b"))
+
+
 def _labelled(docs: DataFrame, id_col: str, text_col: str, hashed: bool) -> DataFrame:
     """:func:`near_duplicates`, with _th, the hash of the text, in front if ``hashed``."""
     th = ["_th"] if hashed else []
-    members = common.stored(_members(docs, id_col, text_col, hashed), "members")
-    lists = common.stored(_lists(_heads(docs, text_col, _frequent(docs, text_col))), "pairs")
+    survey = common.stored(_survey(docs, id_col, text_col), "survey")
+    members = survey.where("_c is null").drop("_s", "_c")
+    lists = common.stored(_lists(_heads(docs, text_col, _frequent(survey))), "pairs")
 
     # first round: nodes and pivots that share a fair part of their heads
-    n, m = F.col("_n"), F.col("_m")
+    n, m, both = F.col("_n"), F.col("_m"), F.col("_both")
     star = lists.where(_close(n, m)).groupBy(F.col("_pivot").alias("_a"), F.col("_key").alias("_b"), "_n", "_m").agg(F.count(F.lit(1)).alias("_c"))
     star = common.stored(star.where(F.col("_c") * 8 >= F.least(head_size(n), head_size(m))).drop("_c"), "star")
-    links = common.stored(_verified(docs, text_col, star), "star_links")
+    links = common.stored(_overlaps(docs, text_col, members, star).where(_similar(both, n, m)), "star_links")
     labels = components(links)
+    # few large stars: a node goes with the pivot that has most links
+    sizes = links.groupBy("_a").agg(F.count(F.lit(1)).alias("_size"))
+    best = F.max_by(F.struct(F.col("_a").alias("center"), F.col("_m").alias("size"), _distance().alias("radius")), F.struct("_size", "_a"))
+    centers = links.join(sizes, "_a").groupBy(F.col("_b").alias("_node")).agg(best.alias("_best")).select("_node", "_best.*")
 
-    # second round: all pairs of different components that the heads allow
+    # second round: nodes of different components that share a list
     nodes = lists.select("_s", "_key", "_n").union(lists.select("_s", "_pivot", "_m")).distinct()
-    comp = F.coalesce("_comp", "_key")
-    nodes = common.stored(nodes.join(labels, nodes["_key"] == labels["_node"], "left").select("_s", "_key", "_n", comp.alias("_comp")), "listed")
+    nodes = common.stored(nodes.join(labels, nodes["_key"] == labels["_node"], "left").select("_s", "_key", "_n", F.coalesce("_comp", "_key").alias("_comp")), "listed")
     mixed = nodes.groupBy("_s").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo <> _hi").select("_s")
-    nodes = nodes.join(mixed, "_s", "left_semi")
-    # components of a list first, so a large one isn't paired with itself
-    groups = nodes.groupBy("_s", "_comp").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
-    a, b = (groups.select("_s", *(F.col(c).alias(f"{c}_{x}") for c in ("_comp", "_lo", "_hi"))) for x in "ab")
-    met = a.join(b, "_s").where((F.col("_comp_a") < F.col("_comp_b")) & (F.col("_lo_a") * PERCENT <= F.col("_hi_b") * 100) & (F.col("_lo_b") * PERCENT <= F.col("_hi_a") * 100)).select("_s", "_comp_a", "_comp_b")
-    one = nodes.select("_s", F.col("_comp").alias("_comp_a"), F.col("_key").alias("_a"), "_n")
-    two = nodes.select("_s", F.col("_comp").alias("_comp_b"), F.col("_key").alias("_b"), F.col("_n").alias("_m"))
-    cross = met.join(one, ["_s", "_comp_a"]).join(two, ["_s", "_comp_b"]).where(_close(n, m)).groupBy("_a", "_b", "_n", "_m").agg(F.count(F.lit(1)).alias("_c"))
+    nodes = nodes.join(mixed, "_s", "left_semi").join(centers, F.col("_key") == F.col("_node"), "left")
+    nodes = common.stored(nodes.select("_s", "_key", "_n", "_comp", F.coalesce("center", "_key").alias("_center"), F.coalesce("size", "_n").alias("_cn"), F.coalesce("radius", F.lit(0.0)).alias("_r")), "mixed")
+    groups = nodes.groupBy("_s", "_comp", "_center", "_cn").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.max("_r").alias("_r"))
+    a, b = (groups.select("_s", *(F.col(c).alias(f"{c}_{x}") for c in ("_comp", "_center", "_cn", "_lo", "_hi", "_r"))) for x in "ab")
+    fits = (F.col("_center_a") < F.col("_center_b")) & (F.col("_comp_a") != F.col("_comp_b")) & (F.col("_lo_a") * PERCENT <= F.col("_hi_b") * 100) & (F.col("_lo_b") * PERCENT <= F.col("_hi_a") * 100)
+    reach = F.col("_r_a") + F.col("_r_b")
+    # the size of centres alone bounds their distance
+    fits &= 1 - F.least("_cn_a", "_cn_b") / F.greatest("_cn_a", "_cn_b") <= reach + _LIMIT
+    met = common.stored(a.join(b, "_s").where(fits).select("_s", F.col("_center_a").alias("_a"), F.col("_center_b").alias("_b"), F.col("_cn_a").alias("_n"), F.col("_cn_b").alias("_m"), reach.alias("_reach")), "met")
+    pairs = met.groupBy("_a", "_b", "_n", "_m").agg(F.max("_reach").alias("_reach"), F.count(F.lit(1)).alias("_c"))
     # beyond the heads at most the larger rest is shared; together that must reach the overlap that similar sets have
     rest = F.greatest(n - head_size(n), m - head_size(m))
-    cross = cross.where((F.col("_c") + rest) * (100 + PERCENT) >= (n + m) * PERCENT).drop("_c")
-    more = _verified(docs, text_col, common.stored(cross, "cross"))
-    compared = more.join(labels, F.col("_a") == F.col("_node"), "left").select(F.coalesce("_comp", "_a").alias("_a"), "_b")
-    compared = compared.join(labels, F.col("_b") == F.col("_node"), "left").select("_a", F.coalesce("_comp", "_b").alias("_b"))
-    merged = components(compared).withColumnsRenamed({"_node": "_was", "_comp": "_now"})
+    enough = (F.col("_c") + rest) * (100 + PERCENT) >= (n + m) * PERCENT
+    pairs = common.stored(pairs.where((F.col("_reach") > 0) | enough).drop("_c"), "centers")
+    apart = common.stored(_overlaps(docs, text_col, members, pairs.drop("_reach")), "apart")
+    direct = apart.where(_similar(both, n, m)).select("_a", "_b")
+    near = apart.where(~_similar(both, n, m)).select("_a", "_b", _distance().alias("_d")).join(pairs, ["_a", "_b"]).where(F.col("_d") <= F.col("_reach") + _LIMIT).select("_a", "_b", "_d")
+    joined = components(_between(direct, labels))
+    near = _with_component(_with_component(near, "_a", "_ca", labels, joined), "_b", "_cb", labels, joined).where("_ca <> _cb").drop("_ca", "_cb")
+    one = nodes.select("_s", F.col("_center").alias("_a"), F.col("_key").alias("_x"), "_n", F.col("_r").alias("_rx"))
+    two = nodes.select("_s", F.col("_center").alias("_b"), F.col("_key").alias("_y"), F.col("_n").alias("_m"), F.col("_r").alias("_ry"))
+    expanded = met.where("_reach > 0").select("_s", "_a", "_b").join(near, ["_a", "_b"]).join(one, ["_s", "_a"]).join(two, ["_s", "_b"])
+    expanded = expanded.where(_close(n, m) & (F.col("_rx") + F.col("_ry") > 0) & (F.col("_rx") + F.col("_ry") + _LIMIT >= F.col("_d")))
+    cross = expanded.groupBy(F.col("_x").alias("_a"), F.col("_y").alias("_b"), "_n", "_m").agg(F.count(F.lit(1)).alias("_c")).where(enough).drop("_c")
+    more = _overlaps(docs, text_col, members, common.stored(cross, "cross")).where(_similar(both, n, m)).select("_a", "_b")
+    merged = components(_between(direct.union(more), labels)).withColumnsRenamed({"_node": "_was", "_comp": "_now"})
 
     rows = members.join(labels, members["_key"] == labels["_node"], "left").select(*th, "_id", "_n", F.coalesce("_comp", "_key").alias("_comp"))
     rows = rows.join(merged, F.col("_comp") == F.col("_was"), "left").select(*th, "_id", "_n", F.coalesce("_now", "_comp").alias("_comp"))
