@@ -66,6 +66,14 @@ def publish(uri: str, attempt: str, write) -> None:
     files.move(temporary, path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or that with marks in front which no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -37,7 +37,16 @@ FAMILIES = {
     "semitic": "am ar he mt",
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
-_BETWEEN = re.compile(r"[\W\d_]+")
+
+
+def _runs(codes: list[int]) -> str:
+    """A character class body of ascending code points."""
+    cuts = [0, *(k for k in range(1, len(codes)) if codes[k] != codes[k - 1] + 1), len(codes)]
+    return "".join(f"{chr(codes[a])}-{chr(codes[b - 1])}" for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
+
+
+#: Everything but letters: signs that Python counts as word characters (halves, Roman numerals, digits) too.
+_BETWEEN = re.compile(r"[\W_" + _runs([c for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha()]) + "]+")
 #: Odd multipliers, one a place in an n-gram.
 _FACTORS = tuple(np.uint32(0x9E3779B1 * (2 * k + 1) & 0xFFFFFFFF) for k in range(3))
 

@@ -25,9 +25,10 @@ ROUNDS = 8
 #: For tests and the registered query; production callers pass a secret of their own.
 DEMO_KEY = "veclith-demonstration-key"
 
-#: The forms that are looked for, the first that fits counts.
+#: The forms that are looked for, the first that fits counts. Names of hosts have
+#: at most 127 labels; a bound keeps the pattern from recursing with the text.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}_%+-]++(?:\.[\p{L}\p{N}_%+-]++)*+@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
+    "email": r"[\p{L}\p{N}_%+-]++(?:\.[\p{L}\p{N}_%+-]++)*+@(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,}",
     "phone": r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}(?!\d)|\(\d{3}\) \d{3}-\d{4}(?!\d)|\+\d{1,3}[ -]\d{3}[ -]\d{3}[ -]\d{4}(?!\d)",
     "iban": r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![\p{L}\p{N}])",
     "card": r"(?:\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{13,19})(?![\p{L}\p{N}])",
@@ -39,7 +40,16 @@ PATTERNS = {
 ANY = r"(?<![\p{L}\p{N}._%+-])(?:" + "|".join(PATTERNS.values()) + ")"
 #: A Gregorian cycle of 400 years from 1800 on has 146,097 = 189 x 773 days.
 FIRST_DAY, DAY_RADICES = "1800-01-01", (189, 773)
-_DIGITS, _LOWER, _UPPER = "0123456789", common.LOWER, common.UPPER
+_DIGITS = "0123456789"
+
+
+def _letters(*ranges: tuple[int, int]) -> str:
+    return "".join(chr(c) for first, last in ranges for c in range(first, last + 1))
+
+
+#: Each character moves among those of its kind: digits; Latin, accented Latin, Greek and Cyrillic letters of a case.
+_KINDS = (_DIGITS, common.LOWER, common.UPPER, _letters((0xDF, 0xF6), (0xF8, 0xFF)), _letters((0xC0, 0xD6), (0xD8, 0xDE)), _letters((0x3B1, 0x3C9)), _letters((0x391, 0x3A1), (0x3A3, 0x3A9)), _letters((0x430, 0x44F)), _letters((0x410, 0x42F)))
+_MOVABLE = "[" + "".join(_KINDS) + "]"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -80,13 +90,16 @@ def feistel(values: Column, radices: Column, key: str, tweak: str, reverse: bool
 
 
 def _text(value: Column, key: str, tweak: str, reverse: bool) -> Column:
-    """Digits become digits, a-z and A-Z letters of their case; all else stays."""
+    """Digits become digits, letters of ``_KINDS`` letters of their kind; all else stays."""
 
     def code(c: Column) -> Column:
-        return F.greatest(F.instr(F.lit(_DIGITS), c), F.instr(F.lit(_LOWER), c), F.instr(F.lit(_UPPER), c)) - 1
+        return F.greatest(*(F.instr(F.lit(kind), c) for kind in _KINDS)) - 1
 
     def kind(c: Column) -> Column:
-        return F.when(F.contains(F.lit(_DIGITS), c), _DIGITS).when(F.contains(F.lit(_LOWER), c), _LOWER).when(F.contains(F.lit(_UPPER), c), _UPPER)
+        found = F.when(F.contains(F.lit(_DIGITS), c), _DIGITS)
+        for other in _KINDS[1:]:
+            found = found.when(F.contains(F.lit(other), c), other)
+        return found
 
     def done(all_chars: Column) -> Column:
         movable = F.filter(all_chars, lambda c: kind(c).isNotNull())
@@ -156,7 +169,9 @@ def _phone(m: Column, key: str, reverse: bool) -> Column:
 
 
 def _email(m: Column, key: str, reverse: bool) -> Column:
-    return F.concat(_text(F.substring_index(m, "@", 1), key, "email", reverse), F.lit("@"), F.substring_index(m, "@", -1))
+    local = F.substring_index(m, "@", 1)
+    # without a character that can move there is nothing to replace, and nothing is said to be
+    return F.when(local.rlike(_MOVABLE), F.concat(_text(local, key, "email", reverse), F.lit("@"), F.substring_index(m, "@", -1)))
 
 
 def _ip(m: Column, key: str, reverse: bool) -> Column:
@@ -228,17 +243,24 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", reverse: boo
     Null text stays null and counts 0; texts without a valid value stay byte for byte.
     ``reverse`` turns pseudonyms of the same key back. Whole texts are processed, whatever
     their length; ids play no part, repeated rows give repeated results, an empty table
-    gives an empty result. Columns that have the names of the counts are replaced.
+    gives an empty result. Columns that have the names of the counts are replaced, all
+    others stay.
+
+    What stays as it is, and isn't counted: the host of a mail address; an address whose
+    local part has no digit and no Latin, Greek or Cyrillic letter, or whose host has more than
+    127 labels; dates before 1800 and after 2199 and dates that don't exist; numbers that fail
+    their check; country codes of telephone numbers.
     """
-    text, found = F.col(text_col), F.col("__found")
+    name = common.unused(docs, "__found")
+    text, found = F.col(text_col), F.col(name)
     some = text.rlike("[0-9@]")
-    rows = docs.withColumn("__found", F.when(some, replaced(text, key, reverse)))
+    rows = docs.withColumn(name, F.when(some, replaced(text, key, reverse)))
     gaps = F.split(text, ANY, -1)
     joined = F.array_join(F.flatten(F.transform(gaps, lambda g, i: _let(F.get(found, i), lambda x: F.array(g, F.coalesce(x["new"], x["old"], F.lit("")))))), "")
     out = rows.withColumn(text_col, F.when(F.exists(found, lambda x: x["new"].isNotNull()), joined).otherwise(text))
     if counts:
-        out = out.withColumns({f"n_{name}": F.coalesce(F.size(F.filter(found, _is(name))), F.lit(0)).cast("int") for name in PATTERNS})
-    return out.drop("__found")
+        out = out.withColumns({f"n_{kind}": F.coalesce(F.size(F.filter(found, _is(kind))), F.lit(0)).cast("int") for kind in PATTERNS})
+    return out.drop(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -196,8 +196,9 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
     only words go count in n_removed too. An empty table gives an empty result. Columns named like the two counts are replaced.
     """
     found = repeats(docs, id_col, text_col, run, min_words)
-    gone = found.groupBy(F.col("_id").alias("__gone_id"), F.col("_th").alias("__gone_th")).agg(F.collect_set(F.struct("_first", "_last")).alias("__gone"))
     base = docs.drop("n_sentences", "n_removed")
+    places = common.unused(base, "__gone")
+    gone = found.groupBy(F.col("_id").alias("__gone_id"), F.col("_th").alias("__gone_th")).agg(F.collect_set(F.struct("_first", "_last")).alias(places))
     same = base[id_col].cast("long").eqNullSafe(gone["__gone_id"]) & (F.xxhash64(common.text_of(text_col)) == gone["__gone_th"])
     rows = base.join(gone, same, "left")
     names = base.columns
@@ -246,7 +247,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
                 columns[at] = pa.array(texts, some.column(at).type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int32()), pa.array(removed, pa.int32())], names=[*names, "n_sentences", "n_removed"])
 
-    return rows.select(*(base[c] for c in names), "__gone").mapInArrow(rebuild, schema)
+    return rows.select(*(base[c] for c in names), gone[places]).mapInArrow(rebuild, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

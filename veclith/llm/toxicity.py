@@ -115,7 +115,7 @@ def _different(sample: DataFrame) -> DataFrame:
             ids, signs = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = words(text)
-                pairs = np.array([xxhash.xxh3_64_intdigest(a + " " + b) for a, b in zip(found, found[1:], strict=False)] or [hash(doc_id) & (1 << 63) - 1], np.uint64)
+                pairs = np.array([xxhash.xxh3_64_intdigest(a + " " + b) for a, b in zip(found, found[1:], strict=False)] or [xxhash.xxh3_64_intdigest(repr(doc_id))], np.uint64)
                 for k in range(SIGNS):
                     mixed = (pairs ^ pairs >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k & (1 << 64) - 1)
                     ids.append(doc_id)
