@@ -12,7 +12,6 @@ A unit ends where no token can cross, so units are encoded independently of each
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 
 import numpy as np
@@ -26,10 +25,9 @@ WINDOW, BLOCK = 1 << 22, 1 << 15
 NEVER = 1 << 30
 _MATRIX = 2048
 _RANDOM = np.random.default_rng(5)
-_KEYS = _RANDOM.integers(1, 1 << 63, UNIT + 1, dtype=np.uint64) | np.uint64(1)
-_SHORT_KEYS = _RANDOM.integers(1, 1 << 31, UNIT + 1, dtype=np.uint32) | np.uint32(1)
 _BASES = tuple(int(b) | 1 for b in _RANDOM.integers(1 << 62, 1 << 63, 2))
-_KEPT = 100_000
+#: Units that a worker remembers the ids of, and words that it remembers of a chunk.
+_KEPT, _KNOWN = 100_000, 1_000_000
 #: How often neighbouring runs are joined before borders are decided; fewer rounds leave longer units.
 ROUNDS = 8
 
@@ -39,30 +37,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def hashes(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes, of 64 and 32 bits, of each of consecutive runs of code points, which cover ``codes``."""
-    one, two = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint32)
-    cuts = np.searchsorted(start, np.arange(0, len(codes), BLOCK))
-    for a, b in zip(cuts, [*cuts[1:], len(start)], strict=False):
-        if a == b:
-            continue
-        begin, stop = start[a], start[b] if b < len(start) else len(codes)
-        edges = (np.append(start[a:b], stop) - begin).astype(np.int32)
-        place = np.arange(stop - begin, dtype=np.int32)
-        place -= np.repeat(edges[:-1], size[a:b])
-        if size[a:b].max() > UNIT:
-            np.minimum(place, UNIT, out=place)
-        values = codes[begin:stop] + np.uint32(1)
-        for out, keys, kind in ((one, _KEYS, np.uint64), (two, _SHORT_KEYS, np.uint32)):
-            sums = np.zeros(stop - begin + 1, kind)
-            np.cumsum(values * keys[place], out=sums[1:])
-            out[a:b] = np.diff(sums[edges])
-    for k in np.flatnonzero(size > UNIT).tolist():
-        digest = hashlib.blake2b(codes[start[k] : start[k] + size[k]].tobytes(), digest_size=12).digest()
-        one[k], two[k] = np.frombuffer(digest[:8], np.uint64)[0], np.frombuffer(digest[8:], np.uint32)[0]
-    return _mixed(one), two
-
-
 class Spans:
     """Hashes of any run of some code points, by prefix sums."""
 
@@ -154,46 +128,21 @@ def taken(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def first_of(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the first of equal pairs of hashes, number of its group for each)."""
-    import pyarrow as pa
-
-    found = pa.array(one).dictionary_encode()
-    group, count = found.indices.to_numpy(), len(found.dictionary)
-    first = np.empty(count, np.int64)
-    first[group[::-1]] = np.arange(len(one) - 1, -1, -1)
-    if (two[first][group] == two).all():
-        return first, group
-    # two runs share the longer hash: told apart by both
-    order = np.lexsort((two, one))
-    new = np.ones(len(order), bool)
-    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return order[new], group
-
-
 class Units:
-    """The different units of some parts, and of which units each part is made.
+    """The units of different words, a pyarrow string array: ``start`` and ``size`` in ``codes``.
 
-    ``codes``, ``start`` and ``size``: units of all different words, in order. ``hashes`` of them.
-    ``direct``: those that the lattice doesn't get. ``word`` has the first unit of each different
-    word and the end, ``which`` the word at each place, ``part`` the first place of each part and the end.
+    ``direct``: those that the lattice doesn't get. ``word`` has the first unit of each word and the end.
     """
 
-    def __init__(self, parts: list[str], splitter: Splitter):
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        codes = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
-        first = np.ones(len(codes), bool)
-        first[1:] = splitter.pairs.numbers(codes) == 0
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        first[ends[:-1][sizes > 0]] = True
-        start = np.flatnonzero(first)
-        size = np.diff(np.append(start, len(codes)))
-        self.part = np.searchsorted(start, ends)
-        chosen, self.which = first_of(*hashes(codes, start, size))
-        size = size[chosen]
-        self.codes = codes[taken(start[chosen], size)]
+    def __init__(self, words, splitter: Splitter):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        size = pc.utf8_length(words).to_numpy().astype(np.int64)
+        data = words.buffers()[2]
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+        body = pa.py_buffer(b"") if data is None else data.slice(int(ends[0]), int(ends[-1] - ends[0]))
+        self.codes = np.frombuffer(body.to_pybytes().decode().encode("utf-32-le"), "<u4")
         begin = np.cumsum(size) - size
         cut = splitter.cuts(self.codes, begin)
         self.start = np.flatnonzero(cut)
@@ -203,19 +152,15 @@ class Units:
         strange = ~splitter.single[self.codes]
         if strange.any():
             self.direct |= np.logical_or.reduceat(strange, self.start)
-        self.hashes = hashes(self.codes, self.start, self.size)
 
     def text(self, k: int) -> str:
         return self.codes[self.start[k] : self.start[k] + self.size[k]].tobytes().decode("utf-32-le")
 
-    def different(self):
-        """(hashes, strings) of the different units that are for the lattice."""
-        usual = np.flatnonzero(~self.direct)
-        one, two = (h[usual] for h in self.hashes)
-        chosen, _ = first_of(one, two)
-        usual = usual[chosen]
-        size = self.size[usual]
-        return (one[chosen], two[chosen]), strings(self.codes[taken(self.start[usual], size)], size)
+    def usual(self):
+        """Strings of the units that are for the lattice."""
+        chosen = np.flatnonzero(~self.direct)
+        size = self.size[chosen]
+        return strings(self.codes[taken(self.start[chosen], size)], size)
 
 
 class Splitter:
@@ -299,6 +244,28 @@ class Splitter:
             fixed[at] = row[at] == none
         out[border[fixed][:-1]] = True
 
+    def words(self, parts: list[str]):
+        """(different words, the number of the word at each place, the first place of each part and the end)."""
+        import pyarrow as pa
+
+        text = "".join(parts)
+        data, codes = text.encode(), np.frombuffer(text.encode("utf-32-le"), "<u4")
+        first = np.ones(len(codes), bool)
+        first[1:] = self.pairs.numbers(codes) == 0
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        first[ends[:-1][sizes > 0]] = True
+        start = np.flatnonzero(first)
+        if len(data) == len(codes):
+            at = start
+        else:
+            # the byte that each of the characters starts at
+            wide = (codes >= 0x80).view(np.int8) + (codes >= 0x800).view(np.int8) + (codes >= 0x10000).view(np.int8)
+            at = start + (np.cumsum(wide, dtype=np.int32) - wide)[start]
+        offsets = np.append(at, len(data)).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        return found.dictionary, found.indices.to_numpy(), np.searchsorted(start, ends)
+
     def parts(self, text: str | None) -> list[str]:
         """A text with its blanks in the model's form, in parts of about ``WINDOW`` characters that end with a word."""
         if not text:
@@ -396,51 +363,65 @@ def _best(vocabulary, unit: str) -> list[str]:
 
 
 class Lexicon:
-    """Ids by unit, as arrays."""
-
-    def __init__(self, units: list[str], ids: list[str]):
-        size = np.fromiter(map(len, units), np.int64, len(units))
-        codes = np.frombuffer("".join(units).encode("utf-32-le"), "<u4")
-        one, two = hashes(codes, np.cumsum(size) - size, size)
-        order = np.argsort(one)
-        self.places, self.two = Places(one[order]), np.append(two[order], np.uint32(0))
+    """Ids of units, and of the words made of them that were met so far."""
+
+    def __init__(self, units, ids, splitter: Splitter):
+        import pyarrow as pa
+
+        self.units, self.splitter = units, splitter
+        ids = ids.to_pylist()
         count = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.values = from_chars(np.frombuffer("".join(ids).encode("utf-32-le"), "<u4"))
-        self.start, self.count = (np.cumsum(count) - count)[order], count[order]
-
-    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """The place of each unit; one that isn't there raises KeyError."""
-        at = self.places.at(one)
-        while True:
-            if (at >= len(self.start)).any() or (self.places.keys[at] != one).any():
-                raise KeyError("a unit without ids")
-            wrong = self.two[at] != two
-            if not wrong.any():
-                return at
-            at = at + wrong
-
-    def ids(self, units: Units, splitter: Splitter) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each part)."""
-        n = len(units.start)
-        start, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        usual = np.flatnonzero(~units.direct)
-        at = self.find(*(h[usual] for h in units.hashes))
-        start[usual], count[usual] = self.start[at], self.count[at]
-        values = self.values
-        if len(usual) < n:
-            more, size = [], len(values)
-            for k in np.flatnonzero(units.direct).tolist():
-                own = splitter.plain(units.text(k))
-                start[k], count[k] = size, len(own)
-                more.append(np.array(own, np.int32))
-                size += len(own)
-            values = np.concatenate([values, *more])
-        # ids of the different words, then of their places
-        words = values[taken(start, count)]
+        self.of_units = from_chars(np.frombuffer("".join(ids).encode("utf-32-le"), "<u4")), np.cumsum(count) - count, count
+        self.none = pa.array([], pa.string())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.values = self.none, np.zeros(0, np.int32)
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, words) -> None:
+        """Add ids of words that aren't known yet; a unit without ids raises KeyError."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        units = Units(words, self.splitter)
+        values, own_start, own_count = self.of_units
+        start, count = np.zeros(len(units.start), np.int64), np.zeros(len(units.start), np.int64)
+        chosen = np.flatnonzero(~units.direct)
+        at = pc.index_in(units.usual(), value_set=self.units)
+        if at.null_count:
+            raise KeyError("a unit without ids")
+        at = at.to_numpy()
+        start[chosen], count[chosen] = own_start[at], own_count[at]
+        more, size = [values], len(values)
+        for k in np.flatnonzero(units.direct).tolist():
+            own = self.splitter.plain(units.text(k))
+            start[k], count[k] = size, len(own)
+            more.append(np.array(own, np.int32))
+            size += len(own)
+        ids = np.concatenate(more)[taken(start, count)]
         ends = np.concatenate([[0], np.cumsum(count)])[units.word]
-        size = np.diff(ends)[units.which]
-        ids = words[taken(ends[:-1][units.which], size)]
-        return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[units.part])
+        self.start = np.concatenate([self.start, len(self.values) + ends[:-1]])
+        self.count = np.concatenate([self.count, np.diff(ends)])
+        self.values = np.concatenate([self.values, ids])
+        self.words = pa.concat_arrays([self.words, words])
+
+    def ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each part)."""
+        import pyarrow.compute as pc
+
+        if len(self.words) > _KNOWN:
+            self._forget()
+        words, which, part = self.splitter.words(parts)
+        at, known = pc.index_in(words, value_set=self.words), len(self.words)
+        new = at.is_null()
+        at = at.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        if (at < 0).any():
+            self._learn(words.filter(new))
+            at[at < 0] = known + np.arange(int((at < 0).sum()))
+        which = at[which]
+        size = self.count[which]
+        return self.values[taken(self.start[which], size)], np.diff(np.concatenate([[0], np.cumsum(size)])[part])
 
 
 #: Ids travel as strings, a character each: nothing below U+0100, no surrogates.

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .piece_units import BLANK, NEVER, Lexicon, Splitter, Units, first_of, to_char
+from .piece_units import BLANK, NEVER, Lexicon, Splitter, Units, to_char
 
 CHUNK_ROWS = 8192
 #: Rows whose texts are taken out of an Arrow batch at once.
@@ -211,15 +211,13 @@ def _lexicon(rows: DataFrame, vocabulary: Vocabulary) -> tuple[str, int]:
 
     def different(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         own = splitter(vocabulary)
-        chunk, held, size = None, [], 0
+        chunk, held, size, seen = None, [], 0, None
 
         def made():
-            if not held:
-                return
-            chosen, _ = first_of(*(np.concatenate([h[k] for h in held]) for k in range(2)))
-            units = pa.concat_arrays([h[2] for h in held]).take(pa.array(np.sort(chosen)))
+            units = pc.unique(pa.concat_arrays(held)) if held else ()
             for at in range(0, len(units), 50_000):
                 some = units.slice(at, 50_000)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk, np.int64)), some], names=["_chunk", "_unit"])
@@ -232,16 +230,20 @@ def _lexicon(rows: DataFrame, vocabulary: Vocabulary) -> tuple[str, int]:
                     continue
                 if chunks[begin] != chunk:
                     yield from made()
-                    chunk, held, size = int(chunks[begin]), [], 0
+                    chunk, held, size, seen = int(chunks[begin]), [], 0, None
                 for at in range(begin, stop, ROWS):
                     for parts, _ in own.slices(batch.column(0).slice(at, min(ROWS, stop - at)).to_pylist()):
-                        if any(parts):
-                            (one, two), units = Units(parts, own).different()
-                            held.append((one, two, units))
-                            size += len(units)
-                            if size >= HELD:
-                                yield from made()
-                                held, size = [], 0
+                        if not any(parts):
+                            continue
+                        words = own.words(parts)[0]
+                        # words of this chunk that were cut before have no new units
+                        new = words if seen is None else words.filter(pc.invert(pc.is_in(words, value_set=seen)))
+                        seen = words if seen is None else pa.concat_arrays([seen, new])
+                        held.append(pc.unique(Units(new, own).usual()))
+                        size += len(held[-1])
+                        if size >= HELD or len(seen) >= HELD:
+                            yield from made()
+                            held, size, seen = [], 0, None
         yield from made()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -262,14 +264,15 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, columns: st
     names = ["_id", *(c.split()[0] for c in columns.split(", "))]
 
     def load_chunk(chunk: int) -> Lexicon:
+        import pyarrow as pa
         import pyarrow.dataset as ds
         from pyarrow import fs
 
         files, place = common.file_system(f"{folder}/_bucket={chunk % buckets}")
         if files.get_file_info(place).type == fs.FileType.NotFound:
-            return Lexicon([], [])
+            return Lexicon(pa.array([], pa.string()), pa.array([], pa.string()), splitter(vocabulary))
         own = ds.dataset(place, filesystem=files, format="parquet").to_table(columns=["_unit", "_ids"], filter=ds.field("_chunk") == chunk, use_threads=False)
-        return Lexicon(own.column(0).to_pylist(), own.column(1).to_pylist())
+        return Lexicon(*(own.column(k).combine_chunks() for k in range(2)), splitter(vocabulary))
 
     def look_up(batches):
         import pyarrow as pa
@@ -286,7 +289,7 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, columns: st
                     some = batch.slice(at, min(ROWS, stop - at))
                     row = 0
                     for parts, counts in own.slices(some.column(1).to_pylist()):
-                        ids, sizes = lexicon.ids(Units(parts, own), own) if any(parts) else (np.zeros(0, np.int32), np.zeros(len(parts), np.int64))
+                        ids, sizes = lexicon.ids(parts) if any(parts) else (np.zeros(0, np.int32), np.zeros(len(parts), np.int64))
                         ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
                         if not vocabulary.bytes:
                             ids, ends = _fused(ids, ends, vocabulary.unknown)
