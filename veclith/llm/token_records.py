@@ -17,9 +17,9 @@ lists the files in document order with their records and tokens.
 
 Documents are range-partitioned and sorted by id; each task streams its range into files of
 bounded size under temporary names and renames them, so a lost executor or a speculative
-copy repeats bytes and leaves no half file. Encoding goes word by word with a bounded cache:
-the tokenizer drops white space and never joins across it, so the ids of a text are those
-of its words in order.
+copy repeats bytes and leaves no half file. Encoding goes by the different words of many texts
+with a bounded cache: the tokenizer drops white space and never joins across it, so the ids of a
+text are those of its words in order.
 """
 
 from __future__ import annotations
@@ -36,18 +36,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .piece_units import taken
+from .shingles import _WHITE
 
 #: Fixed value: the constant that the mask adds.
 MASK = 0xA282EAD8
 END_ID = 1
 SHARD_BYTES = 256 << 20
-CACHE_WORDS = 400_000
-_NOT_WHITE = re.compile("[\x1c-\x1f]")
-_BLANKS = re.compile("[ \t-\r]+")
+#: Pieces that a worker remembers (about 40 bytes each), and rows whose different pieces are looked up together.
+CACHE_WORDS, ROWS = 1_000_000, 2048
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-#: Byte-level models write a byte that is no visible Latin-1 character as one from U+0100 on.
-_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-_BYTES = {b: 0x100 + n for n, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+_RUN = re.compile("[a-zß-öø-ÿ]+")
+#: Kinds of bytes: those of letters, of marks, and all others; and ASCII letters in lower case.
+_LETTER, _MARK, _OTHER = 0, 1, 2
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = _MARK
+_KIND[[b for b in range(0x41, 0x7B) if chr(b).isalpha()]] = _LETTER
+_LOWER_BYTES = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
 
 def masked(data: bytes) -> int:
@@ -55,34 +60,52 @@ def masked(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + MASK) & 0xFFFFFFFF
 
 
-class _Words(dict):
-    """Packed ids by word, computed when first asked for; holds two generations of words.
+def _split(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, where pieces start in them, the first piece of each text and the end) of texts at ``at`` in ``data``.
 
-    When the younger one is full it becomes the older one, so frequent words stay and no
-    more than twice ``limit`` words are held.
+    White space is left out. A word of Latin-1 letters with ASCII marks behind it is in lower
+    case and two pieces, for its letters are one piece for the model and its marks another; any
+    other word is one.
     """
-
-    def __init__(self, make, limit: int):
-        self.make, self.limit, self.older = make, limit, {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.make(word)
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        if len(word) < 100:
-            self[word] = ids
-        return ids
+    inside = ~_WHITE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    # a word never goes on from one text to the next
+    begin = at[:-1][at[:-1] < at[1:]]
+    first[begin] = inside[begin]
+    starts_before = np.concatenate([[0], np.cumsum(inside, dtype=np.int64)])[at]
+    body, first = data[inside], first[inside]
+    kind = _KIND[body]
+    if (body >= 0x80).any():
+        # a letter of two bytes: 0xC3 and what follows, but for the signs of multiplication and division
+        after = np.flatnonzero(body == 0xC3) + 1
+        after = after[(body[after] != 0x97) & (body[after] != 0xB7)]
+        kind[after], kind[after - 1] = _LETTER, _LETTER
+        capital = after[body[after] <= 0x9E]
+    else:
+        capital = np.zeros(0, np.int64)
+    letter = kind == _LETTER
+    turn = np.zeros(len(body), bool)
+    turn[1:] = letter[1:] != letter[:-1]
+    turn &= ~first
+    word = np.flatnonzero(first)
+    size = np.diff(np.append(word, len(body)))
+    # other characters, or letters behind marks, make a word one that isn't plain
+    wrong = np.concatenate([[0], np.cumsum((kind == _OTHER) | turn & letter, dtype=np.int32)])
+    plain = (wrong[word + size] == wrong[word]) & letter[word]
+    of_plain = np.repeat(plain, size)
+    lower = _LOWER_BYTES[body]
+    lower[capital] = body[capital] + 32
+    body = np.where(of_plain, lower, body)
+    starts = np.flatnonzero(first | turn & of_plain)
+    return body, starts, np.searchsorted(starts, starts_before)
 
 
 class WordEncoder:
-    """Ids of texts as packed bytes; bounded caches of words and of letter runs.
+    """Ids of texts by their different pieces, of which up to ``cache_words`` are remembered.
 
-    A word of Latin-1 letters with ASCII marks behind it is the common case: its letters
-    are one piece for the model, its marks another. Both go to the library's model
-    directly; all other words take the library's whole chain.
+    New runs of letters go to the library many at a time, as one text: a token that ends a word
+    ends a run. Words that aren't plain take the library's whole chain one by one.
     """
 
     def __init__(self, path: str, end_id: int | None = END_ID, cache_words: int = CACHE_WORDS):
@@ -92,28 +115,84 @@ class WordEncoder:
         chain = json.loads(self.tokenizer.to_str())
         # the short way holds only for the chain it was written for
         self.plain = [x["type"] for x in (chain["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and not any(re.search("[a-z]", a["content"]) and re.fullmatch(_PLAIN, a["content"]) for a in chain["added_tokens"])
-        self.model = self.tokenizer.model
+        suffix = chain["model"].get("end_of_word_suffix")
+        size = max(self.tokenizer.get_vocab_size() - 1, end_id or 0) + 1
         #: Type of the ids: 16 bits where every id fits.
-        self.code = "H" if max(self.tokenizer.get_vocab_size() - 1, end_id or 0) < 1 << 16 else "I"
+        self.code = "H" if size <= 1 << 16 else "I"
         self.end = b"" if end_id is None else array(self.code, [end_id]).tobytes()
-        self.pieces = _Words(self._piece, cache_words // 2)
-        self.words = _Words(self._word, cache_words // 2)
+        self.ends_word = np.zeros(size, bool)
+        if suffix:
+            self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.limit = cache_words
+        self._forget()
+
+    def _forget(self) -> None:
+        import pyarrow as pa
+
+        self.known, self.values = pa.array([], pa.string()), np.zeros(0, self.code)
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of one piece that is already split off and in lower case."""
-        return array(self.code, [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _word(self, word: str) -> bytes:
-        if self.plain and (m := _PLAIN.fullmatch(word)):
-            letters, marks = m.groups()
-            return self.pieces[letters.lower()] + (self.pieces[marks] if marks else b"")
-        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+    def _learn(self, pieces) -> np.ndarray:
+        """Add the ids of pieces that aren't known yet; returns the places they get."""
+        import pyarrow as pa
+
+        names, places = pieces.to_pylist(), []
+        values, counts = [self.values], [self.count]
+        runs = [k for k, name in enumerate(names) if _RUN.fullmatch(name)]
+        for at in range(0, len(runs), 1000):
+            some = runs[at : at + 1000]
+            ids = np.array(self._ids(" ".join([names[k] for k in some])), self.code)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some):
+                places += some
+                values.append(ids)
+                counts.append(np.diff(ends, prepend=0))
+        run = set(places)
+        rest = [k for k in range(len(names)) if k not in run]
+        values += [np.array(self._ids(names[k]), self.code) for k in rest]
+        counts.append(np.fromiter(map(len, values[len(values) - len(rest) :]), np.int64, len(rest)))
+        order = np.array([*places, *rest], np.int64)
+        out = np.empty(len(order), np.int64)
+        out[order] = len(self.known) + np.arange(len(order))
+        self.values, self.count = np.concatenate(values), np.concatenate(counts)
+        self.start = np.cumsum(self.count) - self.count
+        self.known = pa.concat_arrays([self.known, pieces.take(pa.array(order))])
+        return out
+
+    def arrays(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a pyarrow string array without nulls, where those of each begin and the end); no end ids."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts.cast(pa.large_binary())
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        body, starts, part = _split(data, at - at[0])
+        if not self.plain:
+            raise ValueError("only the chain of normalisers that pieces are cut for is supported")
+        offsets = np.append(starts, len(body)).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))).dictionary_encode()
+        if len(self.known) > self.limit:
+            self._forget()
+        place = pc.index_in(found.dictionary, value_set=self.known)
+        new = place.is_null()
+        place = place.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        if (place < 0).any():
+            place[place < 0] = self._learn(found.dictionary.filter(new))
+        which = place[found.indices.to_numpy()]
+        size = self.count[which]
+        return self.values[taken(self.start[which], size)], np.concatenate([[0], np.cumsum(size)])[part]
+
+    def encode(self, texts) -> list[bytes]:
+        """Ids of each text (of a list or a pyarrow string array) with the end id, as little-endian integers of type ``code``."""
+        import pyarrow as pa
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text with the end id, as little-endian integers of type ``code``."""
-        get = self.words.__getitem__
-        # str.split() also splits at four control characters that the tokenizer keeps
-        return [b"".join([*map(get, _BLANKS.split(t) if _NOT_WHITE.search(t) else t.split()), self.end]) for t in texts]
+        ids, ends = self.arrays(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        data, places = ids.tobytes(), (ends * ids.itemsize).tolist()
+        return [data[a:b] + self.end for a, b in zip(places, places[1:], strict=False)]
 
 
 _encoders: dict[tuple, WordEncoder] = {}
@@ -196,11 +275,13 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_
     """Encode every whole text into ``folder`` in ascending id order; returns the manifest.
 
     Null and empty texts give a record of the end id alone. Null ids come first and are
-    flagged in their records. Rows that repeat an id are each written, in text order. An
+    flagged in their records. Rows that repeat an id are each written, in an order by hash of the text. An
     empty table gives a manifest without files. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), common.text_of(text_col).alias("_text"))
-    rows = rows.repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "_text")
+    # the hash spreads rows of one id, or of none, over tasks
+    order = [F.col("_id").asc_nulls_first(), F.xxhash64("_text"), F.col("_text")]
+    rows = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
 
     def encode(batches):
         import pyarrow as pa
@@ -210,9 +291,9 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_
 
         def records():
             for batch in batches:
-                for start in range(0, batch.num_rows, 256):
-                    some = batch.slice(start, 256)
-                    yield from zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True)
+                for start in range(0, batch.num_rows, ROWS):
+                    some = batch.slice(start, ROWS)
+                    yield from zip(some.column(0).to_pylist(), encoder.encode(some.column(1)), strict=True)
 
         for name, *counts in _write_shards(records(), encoder.code, folder, task.partitionId(), str(task.taskAttemptId()), shard_bytes):
             yield pa.RecordBatch.from_pydict({"name": [name]} | {k: [v] for k, v in zip(("records", "tokens", "bytes"), counts, strict=True)})
