@@ -12,15 +12,13 @@ fragments:
 
 Groups of near copies would make all their pairs. Instead there are two rounds. In the first,
 every list links its nodes to one of them, the pivot, which has the fewest shingles of its own; pairs that
-are similar are links, and connected nodes a component. Each linked node belongs to the star of one pivot,
-its centre, at a known Jaccard distance, the radius; other nodes are their own centre.
+are similar are links, and connected nodes a component. The second takes, of every list, pairs of nodes in
+*different* components; a pair inside one can't change any component. Both rounds verify with exact overlaps.
 
-The second round looks at nodes of *different* components that share a list; a pair inside one can't change
-any component. Distances obey the triangle inequality, so one overlap of two centres settles all pairs of
-their stars if the centres are farther apart than the radii and the limit together: a node that has one
-passage in common with thousands of near copies is compared with their centre, not with each. Only
-stars nearer than that are expanded to pairs of nodes, those whose own radii reach. Both rounds verify with
-exact overlaps, and together they consider every pair that could join two components.
+Heads carry positions. If a list is the first that two sets have in common, their overlap is at most what
+either has from there on. Every similar pair has such a list, so a pair counts only in lists where both
+positions leave room for the overlap that similar sets of their sizes have. Two copies that differ from a
+third by edits of their own have those edits in front, and meet too late to be expanded.
 
 Nothing here is approximate but the 64-bit hashes. Frequency only shapes the order, any order
 gives the same result; the table of frequent shingles is therefore bounded
@@ -125,10 +123,14 @@ def _frequent(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], (np.arange(len(values), dtype=np.int32) + 1)[order]
 
 
+#: A node's entry in a list, in one long: share of rare shingles in thousandths, size of the set, position.
+_SHARE, _SIZE = 53, 26
+
+
 def _heads(docs: DataFrame, text_col: str, frequent) -> DataFrame:
-    """(_s, _key, _n, _w): the shingles in the head of each set; equal sets once a task, at least.
+    """(_s, _key, _x): the shingles in the head of each set; equal sets once a task, at least.
 
-    ``_w`` is the share of rare shingles in thousandths. Of near copies the one with fewest
+    The upper part of ``_x`` is the share of rare shingles. Of near copies the one with fewest
     changes of its own has the smallest, and is similar to most of them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -138,57 +140,67 @@ def _heads(docs: DataFrame, text_col: str, frequent) -> DataFrame:
 
         seen: set[int] = set()
         for batch in batches:
-            parts, keys, sizes, lengths, weights = [], [], [], [], []
+            parts, keys, entries, lengths = [], [], [], []
 
             def made():
-                each = np.array(lengths)
-                out = [np.concatenate(parts).view(np.int64), np.repeat(np.array(keys, np.int64), each), np.repeat(np.array(sizes, np.int32), each), np.repeat(np.array(weights, np.int32), each)]
-                return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["_s", "_key", "_n", "_w"])
+                out = [np.concatenate(parts).view(np.int64), np.repeat(np.array(keys, np.int64), np.array(lengths)), np.concatenate(entries)]
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["_s", "_key", "_x"])
 
             for _, found in shingles(batch.column(0)):
                 n, key = len(found), set_key(found)
                 if not n or key in seen:
                     continue
+                if n >= 1 << _SHARE - _SIZE:
+                    raise ValueError("a text has more shingles than an entry can tell")
                 seen.add(key)
                 ordered, rank = _order(found, shared.value)
                 some = ordered[: n - -(-n * PERCENT // 100) + 1]
-                weights.append(1000 * int((rank == 0).sum()) // n)
                 parts.append(some)
                 keys.append(key)
-                sizes.append(n)
+                entries.append((1000 * int((rank == 0).sum()) // n << _SHARE | n << _SIZE) + np.arange(len(some), dtype=np.int64))
                 lengths.append(len(some))
                 if len(parts) >= 1000:
                     yield made()
-                    parts, keys, sizes, lengths, weights = [], [], [], [], []
+                    parts, keys, entries, lengths = [], [], [], []
             if parts:
                 yield made()
             if len(seen) > 1 << 20:
                 seen.clear()
 
-    return _sets(docs, text_col, []).mapInArrow(head, "_s long, _key long, _n int, _w int")
+    return _sets(docs, text_col, []).mapInArrow(head, "_s long, _key long, _x long")
+
+
+def _size_of(x: str) -> Column:
+    return F.shiftright(x, _SIZE).bitwiseAND((1 << _SHARE - _SIZE) - 1).cast("int")
+
+
+def _left_of(x: str) -> Column:
+    """How many shingles a set has from the position of an entry on."""
+    return (_size_of(x) - F.col(x).bitwiseAND((1 << _SIZE) - 1)).cast("int")
 
 
 def _lists(heads: DataFrame) -> DataFrame:
-    """(_s, _key, _n, _pivot, _m): each node of a list that isn't its pivot, with the pivot.
+    """(_s, _key, _x, _pivot, _y): each node of a list that isn't its pivot, with the pivot, and the entries of both.
 
     A list that goes on from one task to the next has a pivot in each; those come last, in a
     join of two rows a task.
     """
+    names, ddl = ["_s", "_key", "_x", "_pivot", "_y"], "_s long, _key long, _x long, _pivot long, _y long"
 
     def stream(batches):
         import pyarrow as pa
 
-        s = key = pivot = m = None
+        s = key = pivot = y = None
 
         def edge():
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((s, pa.int64()), (None, pa.int64()), (None, pa.int32()), (pivot, pa.int64()), (m, pa.int32()))], names=["_s", "_key", "_n", "_pivot", "_m"])
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (s, None, None, pivot, y)], names=names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ss, keys, ns = (batch.column(k).to_numpy() for k in range(3))
+            ss, keys, xs = (batch.column(k).to_numpy() for k in range(3))
             if s is None:
-                s, pivot, m = int(ss[0]), int(keys[0]), int(ns[0])
+                s, pivot, y = int(ss[0]), int(keys[0]), int(xs[0])
                 yield edge()
                 key = pivot
             new = np.empty(len(ss), bool)
@@ -196,22 +208,22 @@ def _lists(heads: DataFrame) -> DataFrame:
             new[1:] = ss[1:] != ss[:-1]
             start = np.maximum.accumulate(np.where(new, np.arange(len(ss)), -1))
             pivots = np.where(start < 0, pivot, keys[start])
-            ms = np.where(start < 0, m, ns[start])
+            ys = np.where(start < 0, y, xs[start])
             again = np.empty(len(ss), bool)
             again[0] = ss[0] == s and keys[0] == key
             again[1:] = (ss[1:] == ss[:-1]) & (keys[1:] == keys[:-1])
             some = ~new & ~again & (keys != pivots)
             if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ss, keys, ns, pivots.astype(np.int64), ms.astype(np.int32))], names=["_s", "_key", "_n", "_pivot", "_m"])
-            s, key, pivot, m = int(ss[-1]), int(keys[-1]), int(pivots[-1]), int(ms[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(v[some].astype(np.int64)) for v in (ss, keys, xs, pivots, ys)], names=names)
+            s, key, pivot, y = int(ss[-1]), int(keys[-1]), int(pivots[-1]), int(ys[-1])
         if s is not None:
             yield edge()
 
-    ordered = heads.repartitionByRange("_s", "_w", "_key").sortWithinPartitions("_s", "_w", "_key")
-    found = common.stored(ordered.mapInArrow(stream, "_s long, _key long, _n int, _pivot long, _m int"), "lists")
-    edges = found.where("_key is null").select("_s", F.col("_pivot").alias("_key"), F.col("_m").alias("_n")).distinct()
-    first = edges.groupBy("_s").agg(F.min_by("_key", "_key").alias("_pivot"), F.min_by("_n", "_key").alias("_m"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    more = edges.join(first, "_s").where("_key <> _pivot").select("_s", "_key", "_n", "_pivot", "_m")
+    ordered = heads.repartitionByRange("_s", "_x", "_key").sortWithinPartitions("_s", "_x", "_key")
+    found = common.stored(ordered.mapInArrow(stream, ddl), "lists")
+    edges = found.where("_key is null").select("_s", F.col("_pivot").alias("_key"), F.col("_y").alias("_x")).distinct()
+    first = edges.groupBy("_s").agg(F.min_by("_key", "_key").alias("_pivot"), F.min_by("_x", "_key").alias("_y"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    more = edges.join(first, "_s").where("_key <> _pivot").select(*names)
     return found.where("_key is not null").unionByName(more)
 
 
@@ -277,13 +289,9 @@ def _overlaps(docs: DataFrame, text_col: str, members: DataFrame, pairs: DataFra
     return counted.groupBy("_a", "_b", "_n", "_m").agg(F.sum("_some").alias("_both"))
 
 
-def _distance() -> Column:
-    """Jaccard distance of a pair (_n, _m, _both)."""
-    return 1 - F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))
-
-
-#: The distance of similar sets, and what rounding may add.
-_LIMIT = 1 - PERCENT / 100 + 1e-9
+def _room(left: Column, n: Column, m: Column) -> Column:
+    """What one set has left is enough for the overlap of similar sets of these sizes."""
+    return left * (100 + PERCENT) >= (n + m) * PERCENT
 
 
 def _close(n: Column, m: Column) -> Column:
@@ -303,19 +311,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _labelled(docs, id_col, text_col, False)
 
 
-def _with_component(rows: DataFrame, column: str, name: str, *merges: DataFrame) -> DataFrame:
-    """``rows`` with the component of the node in ``column`` as ``name``, after each of ``merges`` (_node, _comp)."""
-    rows = rows.withColumn(name, F.col(column))
-    for merge in merges:
-        step = merge.select(F.col("_node").alias("_from"), F.col("_comp").alias("_to"))
-        rows = rows.join(step, F.col(name) == F.col("_from"), "left").withColumn(name, F.coalesce("_to", name)).drop("_from", "_to")
-    return rows
-
-
 def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
     """The links (_a, _b) as links of components."""
-    found = _with_component(_with_component(links, "_a", "_ca", labels), "_b", "_cb", labels)
-    return found.select(F.col("_ca").alias("_a"), F.col("_cb").alias("_b"))
+    found = links.join(labels, F.col("_a") == F.col("_node"), "left").select(F.coalesce("_comp", "_a").alias("_a"), "_b")
+    return found.join(labels, F.col("_b") == F.col("_node"), "left").select("_a", F.coalesce("_comp", "_b").alias("_b"))
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, hashed: bool) -> DataFrame:
@@ -327,45 +326,28 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, hashed: bool) -> Data
 
     # first round: nodes and pivots that share a fair part of their heads
     n, m, both = F.col("_n"), F.col("_m"), F.col("_both")
-    star = lists.where(_close(n, m)).groupBy(F.col("_pivot").alias("_a"), F.col("_key").alias("_b"), "_n", "_m").agg(F.count(F.lit(1)).alias("_c"))
-    star = common.stored(star.where(F.col("_c") * 8 >= F.least(head_size(n), head_size(m))).drop("_c"), "star")
-    links = common.stored(_overlaps(docs, text_col, members, star).where(_similar(both, n, m)), "star_links")
+    star = lists.select(F.col("_pivot").alias("_a"), F.col("_key").alias("_b"), _size_of("_x").alias("_n"), _size_of("_y").alias("_m"), _left_of("_x").alias("_l"), _left_of("_y").alias("_k"))
+    room = _room(F.least("_l", "_k"), n, m)
+    star = star.where(_close(n, m)).groupBy("_a", "_b", "_n", "_m").agg(F.count(F.lit(1)).alias("_c"), F.max(room).alias("_room"))
+    star = common.stored(star.where(F.col("_room") & (F.col("_c") * 8 >= F.least(head_size(n), head_size(m)))).drop("_c", "_room"), "star")
+    links = common.stored(_overlaps(docs, text_col, members, star).where(_similar(both, n, m)).select("_a", "_b"), "star_links")
     labels = components(links)
-    # few large stars: a node goes with the pivot that has most links
-    sizes = links.groupBy("_a").agg(F.count(F.lit(1)).alias("_size"))
-    best = F.max_by(F.struct(F.col("_a").alias("center"), F.col("_m").alias("size"), _distance().alias("radius")), F.struct("_size", "_a"))
-    centers = links.join(sizes, "_a").groupBy(F.col("_b").alias("_node")).agg(best.alias("_best")).select("_node", "_best.*")
 
     # second round: nodes of different components that share a list
-    nodes = lists.select("_s", "_key", "_n").union(lists.select("_s", "_pivot", "_m")).distinct()
-    nodes = common.stored(nodes.join(labels, nodes["_key"] == labels["_node"], "left").select("_s", "_key", "_n", F.coalesce("_comp", "_key").alias("_comp")), "listed")
-    mixed = nodes.groupBy("_s").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo <> _hi").select("_s")
-    nodes = nodes.join(mixed, "_s", "left_semi").join(centers, F.col("_key") == F.col("_node"), "left")
-    nodes = common.stored(nodes.select("_s", "_key", "_n", "_comp", F.coalesce("center", "_key").alias("_center"), F.coalesce("size", "_n").alias("_cn"), F.coalesce("radius", F.lit(0.0)).alias("_r")), "mixed")
-    groups = nodes.groupBy("_s", "_comp", "_center", "_cn").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.max("_r").alias("_r"))
-    a, b = (groups.select("_s", *(F.col(c).alias(f"{c}_{x}") for c in ("_comp", "_center", "_cn", "_lo", "_hi", "_r"))) for x in "ab")
-    fits = (F.col("_center_a") < F.col("_center_b")) & (F.col("_comp_a") != F.col("_comp_b")) & (F.col("_lo_a") * PERCENT <= F.col("_hi_b") * 100) & (F.col("_lo_b") * PERCENT <= F.col("_hi_a") * 100)
-    reach = F.col("_r_a") + F.col("_r_b")
-    # the size of centres alone bounds their distance
-    fits &= 1 - F.least("_cn_a", "_cn_b") / F.greatest("_cn_a", "_cn_b") <= reach + _LIMIT
-    met = common.stored(a.join(b, "_s").where(fits).select("_s", F.col("_center_a").alias("_a"), F.col("_center_b").alias("_b"), F.col("_cn_a").alias("_n"), F.col("_cn_b").alias("_m"), reach.alias("_reach")), "met")
-    pairs = met.groupBy("_a", "_b", "_n", "_m").agg(F.max("_reach").alias("_reach"), F.count(F.lit(1)).alias("_c"))
-    # beyond the heads at most the larger rest is shared; together that must reach the overlap that similar sets have
-    rest = F.greatest(n - head_size(n), m - head_size(m))
-    enough = (F.col("_c") + rest) * (100 + PERCENT) >= (n + m) * PERCENT
-    pairs = common.stored(pairs.where((F.col("_reach") > 0) | enough).drop("_c"), "centers")
-    apart = common.stored(_overlaps(docs, text_col, members, pairs.drop("_reach")), "apart")
-    direct = apart.where(_similar(both, n, m)).select("_a", "_b")
-    near = apart.where(~_similar(both, n, m)).select("_a", "_b", _distance().alias("_d")).join(pairs, ["_a", "_b"]).where(F.col("_d") <= F.col("_reach") + _LIMIT).select("_a", "_b", "_d")
-    joined = components(_between(direct, labels))
-    near = _with_component(_with_component(near, "_a", "_ca", labels, joined), "_b", "_cb", labels, joined).where("_ca <> _cb").drop("_ca", "_cb")
-    one = nodes.select("_s", F.col("_center").alias("_a"), F.col("_key").alias("_x"), "_n", F.col("_r").alias("_rx"))
-    two = nodes.select("_s", F.col("_center").alias("_b"), F.col("_key").alias("_y"), F.col("_n").alias("_m"), F.col("_r").alias("_ry"))
-    expanded = met.where("_reach > 0").select("_s", "_a", "_b").join(near, ["_a", "_b"]).join(one, ["_s", "_a"]).join(two, ["_s", "_b"])
-    expanded = expanded.where(_close(n, m) & (F.col("_rx") + F.col("_ry") > 0) & (F.col("_rx") + F.col("_ry") + _LIMIT >= F.col("_d")))
-    cross = expanded.groupBy(F.col("_x").alias("_a"), F.col("_y").alias("_b"), "_n", "_m").agg(F.count(F.lit(1)).alias("_c")).where(enough).drop("_c")
+    nodes = lists.select("_s", "_key", "_x").union(lists.select("_s", "_pivot", "_y")).distinct()
+    nodes = nodes.join(labels, nodes["_key"] == labels["_node"], "left")
+    nodes = common.stored(nodes.select("_s", "_key", _size_of("_x").alias("_n"), _left_of("_x").alias("_l"), F.coalesce("_comp", "_key").alias("_comp")), "listed")
+    groups = nodes.groupBy("_s", "_comp").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.max("_l").alias("_l"))
+    a, b = (groups.select("_s", *(F.col(c).alias(f"{c}_{x}") for c in ("_comp", "_lo", "_hi", "_l"))) for x in "ab")
+    sizes = (F.col("_lo_a") * PERCENT <= F.col("_hi_b") * 100) & (F.col("_lo_b") * PERCENT <= F.col("_hi_a") * 100)
+    fits = (F.col("_comp_a") < F.col("_comp_b")) & sizes & _room(F.least("_l_a", "_l_b"), F.col("_lo_a"), F.col("_lo_b"))
+    met = a.join(b, "_s").where(fits).select("_s", "_comp_a", "_comp_b", "_lo_a", "_lo_b")
+    one = nodes.select("_s", F.col("_comp").alias("_comp_a"), F.col("_key").alias("_a"), "_n", "_l")
+    two = nodes.select("_s", F.col("_comp").alias("_comp_b"), F.col("_key").alias("_b"), F.col("_n").alias("_m"), F.col("_l").alias("_k"))
+    cross = met.join(one, ["_s", "_comp_a"]).where(_room(F.col("_l"), n, F.col("_lo_b")))
+    cross = cross.join(two, ["_s", "_comp_b"]).where(_close(n, m) & _room(F.least("_l", "_k"), n, m)).select("_a", "_b", "_n", "_m").distinct()
     more = _overlaps(docs, text_col, members, common.stored(cross, "cross")).where(_similar(both, n, m)).select("_a", "_b")
-    merged = components(_between(direct.union(more), labels)).withColumnsRenamed({"_node": "_was", "_comp": "_now"})
+    merged = components(_between(more, labels)).withColumnsRenamed({"_node": "_was", "_comp": "_now"})
 
     rows = members.join(labels, members["_key"] == labels["_node"], "left").select(*th, "_id", "_n", F.coalesce("_comp", "_key").alias("_comp"))
     rows = rows.join(merged, F.col("_comp") == F.col("_was"), "left").select(*th, "_id", "_n", F.coalesce("_now", "_comp").alias("_comp"))
