@@ -20,6 +20,9 @@ from .quantize import quantize
 #: DDL of the log; data is a JSON object or null.
 SCHEMA = "seq long, op string, id string, content string, data string, codes binary, norm float"
 
+#: A sequence number has a batch in its upper bits, then a partition, then a row of it.
+_PARTITION_BITS, _ROW_BITS = 17, 26
+
 
 def live(log: DataFrame) -> DataFrame:
     """The live row of each id; its seq is its place in insertion order."""
@@ -48,16 +51,20 @@ class Collection:
             return self.spark.createDataFrame([], SCHEMA)
 
     def _append(self, rows: DataFrame, op: str, order_col: str) -> None:
-        """Append rows; numbers follow ``order_col``, not how rows are dealt over tasks."""
-        last = self.log().agg(F.coalesce(F.max("seq"), F.lit(-1).cast("long"))).first()[0]
-        ordered = rows.repartitionByRange(order_col).sortWithinPartitions(order_col).withColumn("_part", F.spark_partition_id())
-        before = {r[0]: r[1] for r in ordered.groupBy("_part").count().collect()}
-        starts, total = [], last + 1
-        for part in range(max(before, default=-1) + 1):
-            starts.append(total)
-            total += before.get(part, 0)
-        start = F.get(F.array(*(F.lit(s).cast("long") for s in starts)) if starts else F.array().cast("array<long>"), F.col("_part"))
-        numbered = ordered.withColumn("seq", start + F.row_number().over(W.partitionBy("_part").orderBy(order_col)) - 1)
+        """Append rows; numbers follow ``order_col``, not how rows are dealt over tasks.
+
+        A number is (batch, partition, row), packed, given by the one job that writes: however
+        the range shuffle is coalesced, partitions stay in order and rows in theirs.
+        """
+        last = self.log().agg(F.max("seq")).first()[0]
+        batch = 0 if last is None else (last >> _PARTITION_BITS + _ROW_BITS) + 1
+        if batch >= 1 << 63 - _PARTITION_BITS - _ROW_BITS:
+            raise ValueError("too many batches")
+        ordered = rows.repartitionByRange(order_col).sortWithinPartitions(order_col).withColumn("_place", F.monotonically_increasing_id())
+        part, row = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+        packed = F.lit(batch << _PARTITION_BITS + _ROW_BITS).cast("long").bitwiseOR(F.shiftleft(part, _ROW_BITS)).bitwiseOR(row)
+        fits = (part < 1 << _PARTITION_BITS) & (row < 1 << _ROW_BITS)
+        numbered = ordered.withColumn("seq", F.when(fits, packed).otherwise(F.raise_error(F.lit("too many rows in a partition")).cast("long")))
         named = [F.col(c) if c in numbered.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in SCHEMA.split(", ")) if c != "op"]
         numbered.select(*named).withColumn("op", F.lit(op)).select(*(x.split()[0] for x in SCHEMA.split(", "))).write.mode("append").parquet(f"{self.path}/log")
 
