@@ -144,7 +144,9 @@ class _Typed(_Source):
     def ordered(self, compare, number: float) -> Column:
         if self.kind != "number":
             return F.lit(False)
-        found = compare(self.c, F.lit(int(number) if number.is_integer() and not self.float else number))
+        # a whole number that a column's own type can hold is pushed to the scan; a larger one is compared as a double
+        whole = number.is_integer() and not self.float
+        found = compare(self.c.cast("double"), F.lit(number)) if whole and abs(number) >= 1 << 63 else compare(self.c, F.lit(int(number) if whole else number))
         return found & ~F.isnan(self.c) if self.float else found
 
     def holds(self, part: str) -> Column:

@@ -178,23 +178,24 @@ def _probed_batch(rows: DataFrame, centers: np.ndarray, qids: list, q: np.ndarra
         import pyarrow as pa
 
         q, names, of = shared.value
+        best = _search.Running(len(q), k, 0.0, digits)
         for batch in batches:
             ids, parts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
-            out = []
             for p in np.unique(parts):
-                own = np.flatnonzero(parts == p)
                 if not len(of[p]):
                     continue
-                values = levels[code_matrix(batch.column(1).take(pa.array(own)), config.work_dim)]
-                for tile in range(0, len(of[p]), _search._TILE):
-                    asked = of[p][tile : tile + _search._TILE]
-                    scores = values @ q[asked].T
-                    scores = scores if digits is None else np.round(scores, digits)
-                    for j, who in enumerate(asked):
-                        best = _search._best(scores[:, j], ids[own], k)
-                        out.append((np.full(len(best), names[who]), own[best], scores[best, j]))
-            if out:
-                who, places, scores = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(who), batch.column(0).take(pa.array(places)), pa.array(scores)], names=["qid", id_col, "score"])
-
+                own = np.flatnonzero(parts == p)
+                for start in range(0, len(own), _search._PIECE):
+                    some = own[start : start + _search._PIECE]
+                    values = levels[code_matrix(batch.column(1).take(pa.array(some)), config.work_dim)]
+                    for tile in range(0, len(of[p]), _search._TILE):
+                        asked = of[p][tile : tile + _search._TILE]
+                        best.add(values @ q[asked].T, ids[some], [batch.column(0).take(pa.array(some))], asked)
+        if (found := best.rows()) is not None:
+            who, scores, more = found
+            yield pa.RecordBatch.from_arrays([pa.array(names[who]), more[0], pa.array(scores)], names=["qid", id_col, "score"])
+
+    # partitions that no query of this block probes aren't read
+    probed_parts = [p for p in range(len(centers)) if len(of[p])]
+    rows = rows.where(F.col("ivf_part").isin(probed_parts)) if len(probed_parts) < len(centers) else rows
     return rows.select(id_col, "codes", "ivf_part").mapInArrow(run, f"qid long, `{id_col}` {kind}, score double")

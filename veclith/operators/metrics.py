@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Ranges of values that are counted first when a percentile is looked for.
+RANGES = 100_000
+
 
 def _pair(truth: DataFrame, found: DataFrame, k: int, id_col: str) -> DataFrame:
     """Truth's first k rows with the rank and score that ``found`` gives them, if any."""
@@ -57,8 +61,22 @@ def near_misses(truth: DataFrame, k: int = 10, gap: float = 0.01) -> DataFrame:
 
 
 def percentile(df: DataFrame, column: str, p: int) -> DataFrame:
-    """(value): the element at place floor(p * n / 100) of the sorted values, the last at most."""
-    ranked = df.where(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("n")).select(F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1).cast("double").alias("at"), "n")
-    n, at = (r := ranked.first())["n"], r["at"]
-    # the exact place as a fraction of the way from the first to the last value
-    return df.agg(F.percentile(column, F.lit(at / (n - 1) if n and n > 1 else 0.0)).alias("value"))
+    """(value): the element at place floor(p * n / 100) of the sorted values, the last at most; null without values.
+
+    Values are counted, and what is summed up in order is one row a range: equal-width ranges of
+    values first, then the different values of the one range that has the place.
+    """
+    known = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    whole = known.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
+    at = F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
+    # one row with the bounds for every value
+    placed = known.join(F.broadcast(whole), F.lit(True))
+    share = F.when(F.col("high") > F.col("low"), (F.col("v") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    placed = placed.select("v", at.alias("at"), F.least(F.floor(share * RANGES), F.lit(RANGES - 1)).alias("range"))
+    ranges = placed.groupBy("range", "at").agg(F.count(F.lit(1)).alias("count"))
+    # at most RANGES rows
+    before = F.sum("count").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    chosen = ranges.select("range", "at", "count", F.coalesce(before, F.lit(0)).alias("before")).where((F.col("before") <= F.col("at")) & (F.col("at") < F.col("before") + F.col("count")))
+    own = placed.join(F.broadcast(chosen.select("range", "before")), "range").groupBy("v", "at", "before").agg(F.count(F.lit(1)).alias("count"))
+    up_to = F.col("before") + F.sum("count").over(W.orderBy("v"))
+    return own.select("v", "at", up_to.alias("up_to")).where("up_to > at").agg(F.min("v").alias("value"))

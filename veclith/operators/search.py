@@ -1,10 +1,11 @@
 """Top-k search over codes: one vector or a batch, exact or asymmetric.
 
 A query is rotated once on the driver. Codes are scored where they are read, in Arrow
-batches: centroids are gathered and multiplied with all queries at once, and each batch
-passes on its k best rows a query, so what is sorted grows with the number of batches and
-not with the number of rows. ``content`` and metadata never go through scoring; the k rows
-that are left fetch them.
+batches: centroids are gathered and multiplied with all queries at once, and each task keeps
+its k best rows a query and passes them on when it ends, so what is sorted grows with the
+number of tasks and not with the number of rows. ``content`` and metadata never go through
+scoring: a second scan fetches them for the best rows, by a list of ids that reaches the
+Parquet scan where codes are stored.
 """
 
 from __future__ import annotations
@@ -26,43 +27,87 @@ QUERY_BYTES = 64 << 20
 _PIECE, _TILE = 4096, 1024
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Rows of the k highest scores; of equal ones those with the smallest id."""
-    if len(scores) > 4 * k:
-        bar = np.partition(scores, -k)[-k]
-        rows = np.flatnonzero(scores >= bar)
-    else:
-        rows = np.arange(len(scores))
-    return rows[np.lexsort((ids[rows], -scores[rows]))[:k]]
-
+class Running:
+    """The k best rows of each of some queries so far; of equal scores those with the smallest id."""
+
+    def __init__(self, queries: int, k: int | None, minimum: float, digits: int | None):
+        self.k, self.minimum, self.digits = k, minimum, digits
+        self.bar = np.full(queries, minimum if minimum > 0 else -np.inf)
+        self.who = np.zeros(0, np.int64)
+        self.scores, self.ids, self.more = np.zeros(0), None, []
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, more: list, which: np.ndarray | None = None) -> None:
+        """Take in a block of scores (row by query); ``more`` are Arrow arrays that go with the rows."""
+        which = np.arange(scores.shape[1]) if which is None else which
+        bar = self.bar[which]
+        if self.k is not None and len(scores) > 4 * self.k and np.isinf(bar).any():
+            # the first rows of a task: nothing below the k-th best of a block can count
+            bar = np.maximum(bar, np.partition(scores, -self.k, axis=0)[-self.k] - (0 if self.digits is None else 10.0**-self.digits))
+        # rounding can lift a score to the bar
+        rows, columns = np.nonzero(scores >= (bar if self.digits is None else bar - 10.0**-self.digits))
+        found = scores[rows, columns]
+        if self.digits is not None:
+            found = np.round(found, self.digits)
+        stay = found >= self.bar[which[columns]]
+        rows, columns, found = rows[stay], columns[stay], found[stay]
+        if not len(rows):
+            return
+        ids = ids.astype(str) if ids.dtype == object else ids
+        self.who = np.concatenate([self.who, which[columns]])
+        self.scores = np.concatenate([self.scores, found])
+        self.ids = ids[rows] if self.ids is None else np.concatenate([self.ids, ids[rows]])
+        self.more.append([m.take(rows) for m in more])
+        if self.k is not None and len(self.who) > 4 * self.k * len(self.bar):
+            self._cut()
+
+    def _cut(self) -> None:
+        import pyarrow as pa
 
-def _score(df: DataFrame, id_col: str, columns: list[str], block, queries: np.ndarray, qids: list, k: int | None, minimum: float, digits: int | None) -> DataFrame:
-    """(qid, id, score): for each batch and query its k best rows, or all if k is null."""
+        order = np.lexsort((self.ids, -self.scores, self.who))
+        who = self.who[order]
+        first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+        place = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
+        keep = order if self.k is None else order[place < self.k]
+        if self.k is not None:
+            # a query with k rows takes nothing below its last
+            last = order[place == self.k - 1]
+            self.bar[self.who[last]] = self.scores[last]
+        columns = [pa.concat_arrays(c) for c in zip(*self.more, strict=True)]
+        self.who, self.scores, self.ids = self.who[keep], self.scores[keep], self.ids[keep]
+        self.more = [[c.take(pa.array(keep)) for c in columns]]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, list] | None:
+        """(numbers of queries, scores, what went with the rows), or null if there are none."""
+        if not len(self.who):
+            return None
+        self._cut()
+        return self.who, self.scores, self.more[0]
+
+
+def _score(df: DataFrame, id_col: str, columns: list[str], block, queries: np.ndarray, qids: list, k: int | None, minimum: float, digits: int | None, kept: tuple[str, ...] = ()) -> DataFrame:
+    """(qid, id, kept, score): for each task and query its k best rows, or all if k is null."""
     shared = df.sparkSession.sparkContext.broadcast((queries, np.array(qids, np.int64)))
-    kind = dict(df.dtypes)[id_col]
+    kinds = dict(df.dtypes)
 
     def run(batches):
         import pyarrow as pa
 
         q, names = shared.value
+        best = Running(len(q), k, minimum, digits)
         for batch in batches:
             for start in range(0, batch.num_rows, _PIECE):
                 some = batch.slice(start, _PIECE)
                 values, ids = block(some), some.column(0).to_numpy(zero_copy_only=False)
+                more = [some.column(0), *(some.column(c) for c in kept)]
                 for tile in range(0, len(q), _TILE):
-                    all_scores, parts = values @ q[tile : tile + _TILE].T, []
-                    if digits is not None:
-                        all_scores = np.round(all_scores, digits)
-                    for j in range(all_scores.shape[1]):
-                        scores = all_scores[:, j]
-                        rows = np.arange(len(scores)) if minimum <= 0 else np.flatnonzero(scores >= minimum)
-                        if k is not None:
-                            rows = rows[_best(scores[rows], ids[rows], k)]
-                        parts.append((np.full(len(rows), names[tile + j]), rows, scores[rows]))
-                    who, rows, scores = (np.concatenate(p) for p in zip(*parts, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(who), some.column(0).take(pa.array(rows)), pa.array(scores.astype(np.float64))], names=["qid", id_col, "score"])
+                    which = np.arange(tile, min(tile + _TILE, len(q)))
+                    best.add(values @ q[which].T, ids, more, which)
+        if (found := best.rows()) is not None:
+            who, scores, more = found
+            yield pa.RecordBatch.from_arrays([pa.array(names[who]), *more, pa.array(scores.astype(np.float64))], names=["qid", id_col, *kept, "score"])
 
-    return df.select(id_col, *columns).mapInArrow(run, f"qid long, `{id_col}` {kind}, score double")
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *kept))
+    return df.select(id_col, *columns).mapInArrow(run, f"qid long, {fields}, score double")
 
 
 def _blocks(n: int, width: int) -> list[range]:
@@ -156,29 +201,31 @@ def search(
     ``top_k`` of 0 or less is 10. The filter comes before scoring. ``min_score`` counts if
     positive, for the asymmetric score. With ``rescore`` that many candidates (at least
     top_k + offset) are scored again by cosine with what their codes stand for. A query that
-    counts as zero finds nothing.
+    counts as zero finds nothing. Ids may repeat; each row counts. Scoring runs when this is
+    called and sends at most top_k + offset (or ``rescore``) rows to the driver.
     """
     top_k = top_k if top_k > 0 else 10
     q, length = unit(np.asarray(query, np.float64)[None])
     rows = filter.apply(codes, variant) if filter else codes
-    if length[0] < TINY:
-        rows = rows.limit(0)
     most = max(top_k + offset, rescore)
-    rotated = codec.rotation(config).forward(q)
-    found = _score(rows, id_col, ["codes"], _codes_block(config), rotated, [0], most, min_score, digits).drop("qid")
-    found = found.orderBy(F.desc("score"), id_col).limit(most)
-    if rescore > 0:
-
-        def exact(batch):
-            x = decode(code_matrix(batch.column("codes"), config.work_dim), np.ones(batch.num_rows), config)
-            return unit(x)[0]
-
-        few = rows.join(F.broadcast(found.select(id_col)), id_col, "left_semi")  # at most ``most`` ids
-        found = _score(few, id_col, ["codes"], exact, q, [0], None, 0.0, digits).drop("qid")
+    best = []
+    if length[0] >= TINY:
+        rotated = codec.rotation(config).forward(q)
+        found = _score(rows, id_col, ["codes"], _codes_block(config), rotated, [0], most, min_score, digits, ("codes",))
+        # at most ``most`` rows
+        best = [(r[0], bytes(r[1]), r[2]) for r in found.orderBy(F.desc("score"), id_col).limit(most).select(id_col, "codes", "score").collect()]
+    if rescore > 0 and best:
+        width = config.work_dim
+        x = unit(decode(np.frombuffer(b"".join(c for _, c, _ in best), np.uint8).reshape(-1, width), np.ones(len(best)), config))[0]
+        again = (x @ q[0]) if digits is None else np.round(x @ q[0], digits)
+        best = [(i, c, float(s)) for (i, c, _), s in zip(best, again, strict=True)]
+    # ids may repeat: a row is found again by its id and its codes, equal ones have equal scores
+    kind = codes.select(id_col, "codes").schema
+    listed = codes.sparkSession.createDataFrame(sorted(set(best)), f"`{id_col}` {kind[0].dataType.simpleString()}, codes binary, score double")
+    wanted = rows.drop("score", "rank").where(F.col(id_col).isin([i for i, _, _ in best])) if best else rows.drop("score", "rank").limit(0)
+    found = wanted.join(F.broadcast(listed), [id_col, "codes"]).drop("codes")
     ranked = found.orderBy(F.desc("score"), id_col).offset(offset).limit(top_k)
-    ranked = ranked.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), id_col)) + offset)
-    # at most top_k rows fetch the other columns
-    return codes.drop("codes", "score", "rank").join(F.broadcast(ranked), id_col)
+    return ranked.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), id_col)) + offset)
 
 
 def query(codes: DataFrame, filter: Filter | None = None, page_size: int = 100, order_col: str = "vec_id", variant: str | None = None) -> DataFrame:
