@@ -3,7 +3,7 @@
 A graph is built and walked in order, which is work for one task; so rows are dealt into
 shards of bounded size by a hash of the id, each task builds the graph of its shard, and a
 search walks all shards with the same width and merges. More shards cost more work and
-raise recall. The index is a table with a row a node.
+raise recall. The index is a table with a row a node, written a folder a shard.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ import heapq
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import IndexConfig, QuantizerConfig
 from ..functions import codec
+from ..storage import file_system
 from . import search as _search
 from .quantize import code_matrix, unit
 
@@ -100,15 +101,15 @@ class Graph:
         return [p for p in found if gone is None or not gone[p[1]]][:k]
 
 
-def _sharded(codes: DataFrame, id_col: str) -> DataFrame:
+def _sharded(codes: DataFrame, id_col: str, first: int) -> DataFrame:
     count = max(1, -(-codes.count() // SHARD_ROWS))
-    return codes.select(id_col, "codes", F.pmod(F.xxhash64(id_col), F.lit(count)).cast("int").alias("shard"))
+    return codes.select(id_col, "codes", (F.pmod(F.xxhash64(id_col), F.lit(count)) + first).cast("int").alias("shard"))
 
 
-def build(codes: DataFrame, config: QuantizerConfig, index: IndexConfig, id_col: str = "vec_id") -> DataFrame:
-    """A row a node: id, codes, shard, node, links (array of layers of node numbers)."""
+def build(codes: DataFrame, config: QuantizerConfig, index: IndexConfig, id_col: str = "vec_id", first: int = 0) -> DataFrame:
+    """A row a node: id, codes, shard, node, links (array of layers of node numbers); shards are numbered from ``first`` on."""
     levels = codec.codebook(config.work_dim, config.bits, config.exact_pdf)[0]
-    rows = _sharded(codes, id_col)
+    rows = _sharded(codes, id_col, first)
     kind = dict(codes.dtypes)[id_col]
 
     def graph(key, table):
@@ -123,38 +124,86 @@ def build(codes: DataFrame, config: QuantizerConfig, index: IndexConfig, id_col:
     return rows.groupBy("shard").applyInArrow(graph, f"`{id_col}` {kind}, codes binary, shard int, node int, links array<array<int>>")
 
 
-def knn_batch(nodes: DataFrame, queries, config: QuantizerConfig, index: IndexConfig | None = None, k: int = 10, width: int = 0, id_col: str = "vec_id", gone: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+def write(nodes: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write the graphs of :func:`build`, a folder a shard; ``append`` adds shards that aren't there yet."""
+    nodes.repartition("shard").sortWithinPartitions("shard", "node").write.mode(mode).partitionBy("shard").parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The nodes of a written index."""
+    return spark.read.parquet(path)
+
+
+def knn_batch(nodes: DataFrame | str, queries, config: QuantizerConfig, index: IndexConfig | None = None, k: int = 10, width: int = 0, id_col: str = "vec_id", gone: DataFrame | None = None, digits: int | None = None, spark: SparkSession | None = None) -> DataFrame:
     """(qid, id, score, rank) from the graphs of :func:`build`; rows of ``gone`` (ids) are not returned.
 
+    ``nodes`` is a DataFrame, whose shards are brought together by a shuffle, or the path of a
+    written index, of which each task reads the shards it walks and nothing is shuffled.
     ``width`` of 0 is 10 * k, 100 at least.
     """
     index = index or IndexConfig()
+    walk = (lambda qids, q: _walked_files(spark or SparkSession.getActiveSession(), nodes, qids, q, config, index, k, width, id_col, gone, digits)) if isinstance(nodes, str) else (lambda qids, q: _walked(nodes, qids, q, config, index, k, width, id_col, gone, digits))
     out = None
     for qids, q in _search._queries(queries):
-        one = _search._ranked(_walked(nodes, qids, q, config, index, k, width, id_col, gone, digits), id_col, k)
+        one = _search._ranked(walk(qids, q), id_col, k)
         out = one if out is None else out.unionByName(one)
-    return out if out is not None else _search._ranked(_walked(nodes.limit(0), [0], np.zeros((1, config.dim)), config, index, k, width, id_col, gone, digits), id_col, k)
+    return out if out is not None else _search._ranked(walk([0], np.zeros((1, config.dim))).limit(0), id_col, k)
 
 
-def _walked(nodes: DataFrame, qids: list, q: np.ndarray, config: QuantizerConfig, index: IndexConfig, k: int, width: int, id_col: str, gone: DataFrame | None, digits: int | None) -> DataFrame:
-    """(qid, id, score): for each shard and query what the walk finds."""
-    rotated, levels = codec.rotation(config).forward(unit(q)[0]), codec.codebook(config.work_dim, config.bits, config.exact_pdf)[0]
-    width = width or max(100, 10 * k)
-    shared = nodes.sparkSession.sparkContext.broadcast((rotated, qids))
-    kind = dict(nodes.dtypes)[id_col]
-    marked = nodes.withColumn("gone", F.lit(False)) if gone is None else nodes.join(gone.select(id_col, F.lit(True).alias("gone")), id_col, "left").fillna({"gone": False})
+def _walker(qs: np.ndarray, names: list, config: QuantizerConfig, index: IndexConfig, k: int, width: int, id_col: str, digits: int | None):
+    """A function of a shard's table (id, codes, node, links, gone) that returns (qid, id, score) as a table."""
+    levels = codec.codebook(config.work_dim, config.bits, config.exact_pdf)[0]
 
-    def walk(key, table):
+    def walk(table):
         import pyarrow as pa
 
         table = table.sort_by("node")
         values = levels[code_matrix(table.column("codes").combine_chunks(), config.work_dim)]
         graph = Graph(unit(values)[0], index, [[np.array(layer, np.int64) for layer in node] for node in table.column("links").to_pylist()])
-        out = table.column("gone").to_numpy()
-        ids, (qs, names) = table.column(id_col), shared.value
+        out, ids = table.column("gone").to_numpy(), table.column(id_col)
         rows = [(name, j, float(values[j] @ q)) for q, name in zip(qs, names, strict=True) for _, j in graph.search(q, k, width, out)]
         who, place, score = zip(*rows, strict=True) if rows else ((), (), ())
         score = np.array(score, np.float64)
         return pa.table([pa.array(who, pa.int64()), ids.take(pa.array(place, pa.int64())), pa.array(score if digits is None else np.round(score, digits))], names=["qid", id_col, "score"])
 
+    return walk
+
+
+def _walked(nodes: DataFrame, qids: list, q: np.ndarray, config: QuantizerConfig, index: IndexConfig, k: int, width: int, id_col: str, gone: DataFrame | None, digits: int | None) -> DataFrame:
+    """(qid, id, score): for each shard and query what the walk finds."""
+    rotated, width = codec.rotation(config).forward(unit(q)[0]), width or max(100, 10 * k)
+    shared = nodes.sparkSession.sparkContext.broadcast((rotated, qids))
+    kind = dict(nodes.dtypes)[id_col]
+    marked = nodes.withColumn("gone", F.lit(False)) if gone is None else nodes.join(gone.select(id_col, F.lit(True).alias("gone")).distinct(), id_col, "left").fillna({"gone": False})
+
+    def walk(key, table):
+        return _walker(*shared.value, config, index, k, width, id_col, digits)(table)
+
     return marked.groupBy("shard").applyInArrow(walk, f"qid long, `{id_col}` {kind}, score double")
+
+
+def _walked_files(spark: SparkSession, path: str, qids: list, q: np.ndarray, config: QuantizerConfig, index: IndexConfig, k: int, width: int, id_col: str, gone: DataFrame | None, digits: int | None) -> DataFrame:
+    """:func:`_walked` over a written index: a row of work a shard."""
+    from pyarrow import fs
+
+    rotated, width = codec.rotation(config).forward(unit(q)[0]), width or max(100, 10 * k)
+    files, place = file_system(path)
+    shards = sorted(int(i.base_name.partition("=")[2]) for i in files.get_file_info(fs.FileSelector(place)) if i.base_name.startswith("shard="))
+    shared = spark.sparkContext.broadcast((rotated, qids))
+    kind = dict(read(spark, path).dtypes)[id_col]
+
+    def walk(batches):
+        import pyarrow as pa
+        import pyarrow.dataset as ds
+
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                files, place = file_system(f"{path}/shard={shard}")
+                table = ds.dataset(place, filesystem=files, format="parquet").to_table(use_threads=False)
+                table = table.append_column("gone", pa.array(np.zeros(table.num_rows, bool)))
+                yield from _walker(*shared.value, config, index, k if gone is None else width, width, id_col, digits)(table).to_batches()
+
+    work = spark.createDataFrame([(s,) for s in shards], "shard int").repartition(max(1, len(shards)))
+    found = work.mapInArrow(walk, f"qid long, `{id_col}` {kind}, score double")
+    # deleted rows are walked through and go afterwards
+    return found if gone is None else found.join(gone.select(id_col).distinct(), id_col, "left_anti").select("qid", id_col, "score")
