@@ -166,3 +166,112 @@ def test_metrics_by_hand(spark):
     best = sum((4 - k) / np.log2(k + 2) for k in range(4))
     got = 3 / np.log2(2) + 4 / np.log2(3) + 1 / np.log2(5)
     assert abs(metrics.ndcg(truth, found, 4).first()["ndcg"] - got / best) < 1e-12
+
+
+def test_sequence_numbers_under_small_partitions(spark, tmp_path):
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"}
+    was = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        c = Collection(spark, str(tmp_path / "c"), QuantizerConfig(8))
+        rows = spark.range(200_000).select(F.format_string("%09d", "id").alias("id"), F.repeat(F.lit("x"), 50).alias("content"), F.lit(b"12345678").alias("codes"), F.lit(1.0).cast("float").alias("norm"))
+        c.add_raw(rows.repartition(7), "id")
+        c.delete(rows.where("id < '000001000'").select("id"))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    log = c.log()
+    assert log.where("seq is null").count() == 0 and log.select("seq").distinct().count() == 201_000
+    ids = [r[0] for r in log.where("op = 'add'").orderBy("seq").select("id").collect()]
+    assert ids == sorted(ids) and c.count() == 199_000
+
+
+def test_repeated_ids_count_row_by_row(spark):
+    x = RNG.standard_normal((50, 16))
+    config = QuantizerConfig(16, 8)
+    twice = spark.createDataFrame([(i % 50, v.tolist(), i) for i, v in enumerate([*x, *x])], "vec_id long, embedding array<double>, n long")
+    codes = quantize(twice, config).cache()
+    got = search.search(codes, x[3], config, top_k=4).orderBy("rank").collect()
+    assert len(got) == 4 and [r["vec_id"] for r in got[:2]] == [3, 3] and {r["n"] for r in got[:2]} == {3, 53}
+    assert [r["vec_id"] for r in search.search(codes, x[3], config, top_k=1, offset=1).collect()] == [3]
+    assert [r["n"] for r in search.search(codes, x[3], config, top_k=1, filter=f.gt("n", 49)).collect()] == [53]
+    named = quantize(spark.createDataFrame([(f"é{i}", v.tolist()) for i, v in enumerate(x)], "vec_id string, embedding array<double>"), config)
+    assert search.knn_batch(named, [(0, x[7])], config, k=1).first()["vec_id"] == "é7"
+
+
+def test_running_top_k_is_the_sorted_one():
+    import pyarrow as pa
+
+    scores = RNG.integers(0, 40, (3000, 7)).astype(float) / 10
+    ids = RNG.permutation(3000)
+    for k, minimum in ((5, 0.0), (5, 3.85), (3000, 0.0), (None, 3.5)):
+        best = search.Running(7, k, minimum, 1)
+        for a in range(0, 3000, 300):
+            best.add(scores[a : a + 300], ids[a : a + 300], [pa.array(ids[a : a + 300])])
+        who, found, (names,) = best.rows()
+        for q in range(7):
+            rows = [i for i in np.lexsort((ids, -scores[:, q])) if minimum <= 0 or scores[i, q] >= minimum][:k]
+            own = np.flatnonzero(who == q)
+            assert [(names[i].as_py(), found[i]) for i in own] == [(ids[i], scores[i, q]) for i in rows]
+
+
+def test_huge_literals(spark):
+    df = spark.range(5).withColumn("d", F.col("id").cast("decimal(20,2)"))
+    for key in ("id", "d"):
+        assert f.lt(key, 1e300).apply(df).count() == 5 and f.gt(key, 1e300).apply(df).count() == 0 and f.gte(key, -1e300).apply(df).count() == 5 and f.gt(key, float(2**63)).apply(df).count() == 0
+
+
+def test_percentiles(spark):
+    for values in ([3.0], [1.0, 2.0], [5.0] * 7, [float(x) for x in RNG.standard_normal(501)], [1e9, *range(100)]):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        for p in (0, 50, 95, 99, 100):
+            assert metrics.percentile(df, "v", p).first()["value"] == sorted(values)[min(len(values) - 1, len(values) * p // 100)]
+    assert metrics.percentile(df.limit(0), "v", 50).first()["value"] is None
+
+
+def test_stored_indexes(spark, tmp_path, monkeypatch):
+    from veclith.operators import index
+
+    x = RNG.standard_normal((900, 32))
+    config, queries = QuantizerConfig(32, 8), [(i, x[i]) for i in range(0, 900, 45)]
+    codes = quantize(frame(spark, x), config)
+    truth = search.exact_batch(frame(spark, x), queries).cache()
+    mean = lambda found: metrics.recall(truth, found).agg(F.avg("recall")).first()[0]
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 250)
+    graph = index.create(codes.where("vec_id < 600"), str(tmp_path / "h"), config, IndexConfig("hnsw", build_width=60))
+    graph.add(codes.where("vec_id >= 600"))
+    graph = index.open_index(spark, str(tmp_path / "h"))
+    assert graph.kind == "hnsw" and hnsw.read(spark, str(tmp_path / "h/graph")).select("shard").distinct().count() >= 4
+    assert mean(graph.knn_batch(queries)) >= 0.9 and graph.search(x[700], top_k=1).first()["vec_id"] == 700
+    part = index.create(codes, str(tmp_path / "i"), config, IndexConfig("ivf", partitions=12))
+    part = index.tune(part, frame(spark, x), spark.createDataFrame([(i, v.tolist()) for i, v in queries], "qid long, embedding array<double>"))
+    assert mean(part.knn_batch(queries)) >= 0.9 and mean(part.knn_batch(queries, exhaustive=True)) >= 0.95
+    plan = part.rows.where(F.col("ivf_part").isin(1, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [ivf_part" in plan
+    assert index.open_index(spark, str(tmp_path / "i")).probe == part.probe
+    assert part.search(x[5], top_k=1, filter=f.lt("vec_id", 10)).first()["vec_id"] == 5
+
+
+def test_command_line(spark, tmp_path):
+    import io
+
+    from veclith import cli
+
+    x = RNG.standard_normal((40, 8))
+    (tmp_path / "d.jsonl").write_text("\n".join(json.dumps({"id": f"d{i}", "vector": v.tolist(), "content": f"text {i}", "metadata": {"even": i % 2 == 0}}) for i, v in enumerate(x)) + '\n{"id": "short", "vector": [1]}')
+    (tmp_path / "q.json").write_text(json.dumps(x[9].tolist()))
+
+    def run(*arguments):
+        out = io.StringIO()
+        assert cli.main([arguments[0], "--path", str(tmp_path / "c"), *arguments[1:]], spark, out) == 0
+        return [json.loads(line) for line in out.getvalue().splitlines()]
+
+    run("init", "--dim", "8")
+    assert run("import", str(tmp_path / "d.jsonl")) == [{"added": 40, "skipped": 1, "index": "none"}]
+    assert run("search", str(tmp_path / "q.json"), "--top-k", "3")[0]["id"] == "d9"
+    assert {json.loads(r["data"])["even"] for r in run("search", str(tmp_path / "q.json"), "--where", "even=true")} == {True}
+    assert run("count") == [{"count": 40}] and run("info")[0]["documents"] == 40
+    run("export", str(tmp_path / "out"), "--limit", "5")
+    assert spark.read.json(str(tmp_path / "out")).count() == 5
+    assert run("bench", "--queries", "2")[0]["batch_qps"] > 0

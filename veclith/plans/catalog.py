@@ -330,12 +330,17 @@ def _coded(config: QuantizerConfig, name: str = "") -> str:
     """CTEs rot (unit vectors rotated), codes and kept (centroids of the codes) by vec_id and j."""
     r = codec.rotation(config)
     c, b = codec.codebook(config.work_dim, config.bits, config.exact_pdf)
+    if r.matrix is None:
+        rotated = f"""any_value(({_list(r.second)})[j + 1]) * sum(x / norm * ({_list(r.first)})[i + 1] * CASE WHEN bit_count(i & j) % 2 = 0 THEN 1 ELSE -1 END) / sqrt({config.work_dim}) AS r
+  FROM e{name} e JOIN n{name} n ON e.vec_id = n.vec_id, range({config.work_dim}) t(j) GROUP BY e.vec_id, j"""
+    else:
+        rotated = f"""sum(x / norm * m) AS r
+  FROM e{name} e JOIN n{name} n ON e.vec_id = n.vec_id JOIN (SELECT j, i, ({_list(r.matrix.ravel())})[j * {DIM} + i + 1] AS m FROM range({DIM}) a(j), range({DIM}) b(i)) g ON g.i = e.i GROUP BY e.vec_id, j"""
     return f"""
 e{name} AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range({DIM}) t(i)),
 n{name} AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM e{name} GROUP BY vec_id),
 rot{name} AS (
-  SELECT e.vec_id, j, any_value(({_list(r.second)})[j + 1]) * sum(x / norm * ({_list(r.first)})[i + 1] * CASE WHEN bit_count(i & j) % 2 = 0 THEN 1 ELSE -1 END) / sqrt({config.work_dim}) AS r
-  FROM e{name} e JOIN n{name} n ON e.vec_id = n.vec_id, range({config.work_dim}) t(j) GROUP BY e.vec_id, j
+  SELECT e.vec_id, j, {rotated}
 ),
 codes{name} AS (SELECT vec_id, j, r, len(list_filter({_list(b)}, lambda y: y < r)) AS c FROM rot{name}),
 kept{name} AS (SELECT vec_id, j, r, c, ({_list(c)})[c + 1] AS v FROM codes{name})"""
