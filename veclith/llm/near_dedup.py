@@ -346,6 +346,12 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, hashed: bool) -> Data
     two = nodes.select("_s", F.col("_comp").alias("_comp_b"), F.col("_key").alias("_b"), F.col("_n").alias("_m"), F.col("_l").alias("_k"))
     cross = met.join(one, ["_s", "_comp_a"]).where(_room(F.col("_l"), n, F.col("_lo_b")))
     cross = cross.join(two, ["_s", "_comp_b"]).where(_close(n, m) & _room(F.least("_l", "_k"), n, m)).select("_a", "_b", "_n", "_m").distinct()
+    # all lists that a pair has in common, and at most the larger rest beyond the heads: that must reach the overlap
+    held = nodes.groupBy("_key").agg(F.collect_list("_s").alias("_lists"))
+    cross = cross.join(held.select(F.col("_key").alias("_a"), F.col("_lists").alias("_of_a")), "_a").join(held.select(F.col("_key").alias("_b"), F.col("_lists").alias("_of_b")), "_b")
+    rest = F.greatest(n - head_size(n), m - head_size(m))
+    enough = (F.size(F.array_intersect("_of_a", "_of_b")) + rest) * (100 + PERCENT) >= (n + m) * PERCENT
+    cross = cross.where(enough).select("_a", "_b", "_n", "_m")
     more = _overlaps(docs, text_col, members, common.stored(cross, "cross")).where(_similar(both, n, m)).select("_a", "_b")
     merged = components(_between(more, labels)).withColumnsRenamed({"_node": "_was", "_comp": "_now"})
 
