@@ -15,9 +15,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share.
+
+    Where none is set a local session gets a temporary one; on a cluster, where other machines
+    couldn't see it, that raises ValueError. What operators write there stays: their results
+    read it, so whoever runs them removes ``veclith-*`` when results are no longer needed.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="veclith-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -82,11 +89,11 @@ def text_of(column: str = "text") -> Column:
 def squeezed(text: Column) -> Column:
     """Each run of white space as one space.
 
-    Equal to ``regexp_replace(text, WHITE, ' ')``; byte-wise replacements do the common
-    cases, the regular expression runs only where two blanks meet.
+    Equal to ``regexp_replace(text, WHITE, ' ')``; characters that a text doesn't have cost one
+    look for a byte, others a split, the regular expression runs only where two blanks meet.
     """
     for char in "\t\n\x0b\f\r":
-        text = F.replace(text, F.lit(char), F.lit(" "))
+        text = F.when(F.contains(text, F.lit(char)), F.array_join(F.split(text, char, -1), " ")).otherwise(text)
     return F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
 
 

@@ -1,7 +1,7 @@
 """Exact deduplication by content hash, in DataFrame operations only.
 
-Rows are grouped by the 128-bit MD5 of the normalised text *and* by that text itself, so
-the bytes are compared inside every hash group by the aggregation: two texts that
+Rows are grouped by 128 bits of the SHA-256 of the normalised text *and* by that text itself,
+so the bytes are compared inside every hash group by the aggregation: two texts that
 collide stay two groups. Partial aggregation folds copies before the shuffle, so a text
 that holds a third of all rows sends one row a task. Rows then find their group by an
 ordinary join on (hash, SHA-256), which AQE splits where one group is very large.
@@ -20,7 +20,8 @@ ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     norm = docs.select(F.col(id_col).alias("_id"), common.squeezed(common.text_of(text_col)).alias("_norm"))
-    return norm.select("_id", "_norm", F.unhex(F.md5(F.col("_norm").cast("binary"))).alias("_hash"))
+    hashed = norm.select("_id", "_norm", F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)).alias("_sha"))
+    return hashed.select("_id", "_norm", F.substring("_sha", 1, 16).alias("_hash"), "_sha")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,8 +30,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Null text is empty. Null ids count in ``group_size`` and are never ``keep_id`` unless
     the group has no other id.
     """
-    one = _keyed(docs, id_col, text_col).groupBy("_hash", "_norm").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return one.select("_hash", F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)).alias("_sha"), "keep_id", "group_size")
+    # equal texts have equal digests, so the whole digest as a third key splits no group
+    one = _keyed(docs, id_col, text_col).groupBy("_hash", "_norm", "_sha").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return one.select("_hash", "_sha", "keep_id", "group_size")
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,7 +43,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     is kept only if its group has no id at all. An empty table gives an empty result;
     other columns of ``docs`` are not read.
     """
-    rows = _keyed(docs, id_col, text_col).select("_id", "_hash", F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)).alias("_sha"))
+    rows = _keyed(docs, id_col, text_col).select("_id", "_hash", "_sha")
     found = rows.join(groups(docs, id_col, text_col), ["_hash", "_sha"])
     return found.select(
         F.col("_id").alias(id_col),
