@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -157,14 +158,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     any the model predicts ``und``.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).where(learn(id_col)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    codes = [r[0] for r in known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(rows).collect()]
-    share = max(1, rows // max(1, len(codes)))
-    chosen = None
-    for code in codes:
-        one = known.where(F.col("_lang") == code).orderBy(F.xxhash64("_id"), "_id").limit(share)
-        chosen = one if chosen is None else chosen.unionByName(one)
-    if chosen is None:
+    counts_of = [(r[0], r[1]) for r in known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(rows).collect()]
+    if not counts_of:
         return Model({}, [], {})
+    share = max(1, rows // len(counts_of))
+    # of each language the rows with the smallest hashes: all that can be are below twice the share expected
+    bounds = [(code, max(-(1 << 63), min((1 << 63) - 1, int(-(1 << 63) + min(1.0, (2 * share + 1000) / n) * (1 << 64))))) for code, n in counts_of]
+    limits = docs.sparkSession.createDataFrame(bounds, "_lang string, _bound long")
+    few = known.withColumn("_hash", F.xxhash64("_id")).join(F.broadcast(limits), "_lang").where("_hash <= _bound")
+    order = W.partitionBy("_lang").orderBy("_hash", "_id")
+    chosen = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= share).select("_id", "_lang")
 
     def measure(batches):
         import pyarrow as pa
