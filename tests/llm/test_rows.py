@@ -77,3 +77,50 @@ def test_windows_are_shared(spark):
         passage, a, b = words(51), words(rng.randint(0, 60)), words(rng.randint(0, 60))
         taken = substring_dedup.Windows([" ".join([*a, *passage, *b]), "", "\n".join(passage)])
         assert set(taken.value[taken.row == 0]) & set(taken.value[taken.row == 2])
+
+
+def test_pii_of_awkward_addresses(spark):
+    from veclith.llm import pii
+
+    texts = ["x@" + "a." * 100_000 + "1", "éü@example.com and éü@example.com", "日本@example.com", "x@" + "ab." * 126 + "com", "Ωμέγα@x.org", "ПОЧТА@x.org"]
+    docs = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "doc_id long, text string, __found string")
+    out = pii.pseudonymise(docs, "key")
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[0]["text"] == texts[0] and got[2]["text"] == texts[2] and got[2]["n_email"] == 0
+    assert all(got[i]["text"] != texts[i] for i in (1, 3, 4, 5)) and got[1]["n_email"] == 2 and len(set(got[1]["text"].split(" and "))) == 1
+    assert {r["__found"] for r in got.values()} == {"kept"}
+    back = {r["doc_id"]: r["text"] for r in pii.pseudonymise(out, "key", reverse=True).collect()}
+    assert back == dict(enumerate(texts))
+
+
+def test_only_letters_have_a_language():
+    from veclith.llm import language_id
+
+    assert all(language_id.counts(t) is None for t in ("½ ² Ⅷ ①", "12 ٣", "_", "", None)) and language_id.counts("½a") is not None
+    assert [language_id._BETWEEN.sub("", c) for c in "aÉ日ǅªʰ"] == list("aÉ日ǅªʰ")
+
+
+def test_squeezed_is_the_pattern(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from veclith.llm import common
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab \t\n\x0b\f\r\x1c\u0085é") for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", common.squeezed(F.col("t")).alias("s")).collect()
+    assert all(r["s"] == re.sub("[\x20\x09-\x0d]+", " ", r["t"]) for r in got)
+
+
+def test_extra_columns_with_clashing_names(spark):
+    from veclith.llm import pieces, pii
+
+    names = ["_id", "_key", "_text", "_chunk", "_unit", "_th", "_s", "_x", "__gone", "__found", "__lost", "_n", "_comp"]
+    docs = spark.createDataFrame([(i, f"Text number {i}. It has two sentences of ten words or so in it. " * 2, *names) for i in range(3)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    import public_tokenizers
+
+    assert pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).count() == 3
+    for out in (pii.pseudonymise(docs, "k"), substring_dedup.remove(docs), near_dedup.deduplicate(docs), exact_dedup.deduplicate(docs)):
+        rows = out.collect()
+        assert rows and all(r[n] == n for r in rows for n in names)
