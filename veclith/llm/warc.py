@@ -135,15 +135,17 @@ def verdicts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, shard_bytes: int = SHARD_BYTES, level: int = LEVEL) -> dict:
     """Write one record a page into ``folder`` in ascending id order; returns the manifest.
 
-    Null html is an empty payload, a null url becomes ``urn:none``. Null ids come first, are
-    responses and are flagged. Rows that repeat an id are each written, in url order; they
+    Null html is an empty payload, a null url becomes ``urn:none``. Null ids come first, in an
+    order by hash, are responses and are flagged. Rows that repeat an id are each written, in url order; they
     are revisits of the first page with their payload only if that has another id. An empty
     table gives a manifest without files. Other columns are not read.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.lit(1).alias("_kind"), F.col(url_col).cast("string").alias("_url"), common.text_of(html_col).cast("binary").alias("_html"), F.lit(None).cast("long").alias("_first"))
     told = verdicts(pages, id_col, html_col, min_bytes).select("_id", F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("_url"), F.lit(None).cast("binary").alias("_html"), "_first").distinct()
-    rows = rows.unionByName(told).repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "_kind", "_url")
+    # the hash spreads pages without an id over tasks; they have no verdict that must stand before them
+    order = [F.col("_id").asc_nulls_first(), F.when(F.col("_id").isNull(), F.xxhash64("_url", "_html"))]
+    rows = rows.unionByName(told).repartitionByRange(*order).sortWithinPartitions(*order, "_kind", "_url")
 
     def records(batches):
         known, first = None, None
