@@ -43,6 +43,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Give memory that a Python worker no longer uses back to the machine; workers outlive tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_schema(ddl: str):
     """pyarrow's schema for a DDL string; needs a session, so it is called on the driver."""
     from pyspark.sql.pandas.types import to_arrow_schema

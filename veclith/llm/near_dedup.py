@@ -40,7 +40,7 @@ SIZE = 5
 PERCENT = 75
 FRAGMENTS = 4
 #: Most frequent shingles in the order's table (12 bytes each), and shingles counted together.
-FREQUENT, COUNTED = 1 << 19, 1 << 22
+FREQUENT, COUNTED = 1 << 19, 1 << 20
 #: Bits of the map of nodes with candidates, at most.
 MAP_BITS = 1 << 26
 
@@ -109,6 +109,8 @@ def _survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
         if held:
             yield passed_on(id_type)
+            held.clear()
+        common.tidy()
 
     rows = _sets(docs, text_col, [F.col(id_col).alias("_id"), F.xxhash64(common.text_of(text_col)).alias("_th")])
     return rows.mapInArrow(measure, f"_id {kind}, _th long, _key long, _n int, _s long, _c long")
@@ -166,6 +168,7 @@ def _heads(docs: DataFrame, text_col: str, frequent) -> DataFrame:
                 yield made()
             if len(seen) > 1 << 20:
                 seen.clear()
+        common.tidy()
 
     return _sets(docs, text_col, []).mapInArrow(head, "_s long, _key long, _x long")
 
@@ -278,6 +281,7 @@ def _overlaps(docs: DataFrame, text_col: str, members: DataFrame, pairs: DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.int32()), pa.array(values, pa.list_(pa.int64()))], names=["_key", "_part", "_values"])
             if len(seen) > 1 << 20:
                 seen.clear()
+        common.tidy()
 
     texts = _sets(docs, text_col, [F.xxhash64(common.text_of(text_col)).alias("_th")])
     pieces = texts.mapInArrow(cut, "_key long, _part int, _values array<long>").dropDuplicates(["_key", "_part"])
@@ -317,6 +321,26 @@ def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
     return found.join(labels, F.col("_b") == F.col("_node"), "left").select("_a", F.coalesce("_comp", "_b").alias("_b"))
 
 
+def _met(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of components that share a list with room for a similar pair: sizes, room, and of each the node with most room."""
+    named = nodes.join(labels, nodes["_key"] == labels["_node"], "left").select("_s", "_key", "_n", "_l", F.coalesce("_comp", "_key").alias("_comp"))
+    best = F.struct("_l", "_key")
+    groups = named.groupBy("_s", "_comp").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.max("_l").alias("_l"), F.max_by("_key", best).alias("_rep"), F.max_by("_n", best).alias("_rn"))
+    a, b = (groups.select("_s", *(F.col(c).alias(f"{c}_{x}") for c in ("_comp", "_lo", "_hi", "_l", "_rep", "_rn"))) for x in "ab")
+    sizes = (F.col("_lo_a") * PERCENT <= F.col("_hi_b") * 100) & (F.col("_lo_b") * PERCENT <= F.col("_hi_a") * 100)
+    fits = (F.col("_comp_a") < F.col("_comp_b")) & sizes & _room(F.least("_l_a", "_l_b"), F.col("_lo_a"), F.col("_lo_b"))
+    return a.join(b, "_s").where(fits)
+
+
+def _enough(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (_a, _b, _n, _m) that share lists enough: with the larger rest beyond the heads they reach the overlap."""
+    n, m = F.col("_n"), F.col("_m")
+    held = nodes.groupBy("_key").agg(F.collect_list("_s").alias("_lists"))
+    both = pairs.join(held.select(F.col("_key").alias("_a"), F.col("_lists").alias("_of_a")), "_a").join(held.select(F.col("_key").alias("_b"), F.col("_lists").alias("_of_b")), "_b")
+    rest = F.greatest(n - head_size(n), m - head_size(m))
+    return both.where((F.size(F.array_intersect("_of_a", "_of_b")) + rest) * (100 + PERCENT) >= (n + m) * PERCENT).select("_a", "_b", "_n", "_m")
+
+
 def _labelled(docs: DataFrame, id_col: str, text_col: str, hashed: bool) -> DataFrame:
     """:func:`near_duplicates`, with _th, the hash of the text, in front if ``hashed``."""
     th = ["_th"] if hashed else []
@@ -335,23 +359,21 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, hashed: bool) -> Data
 
     # second round: nodes of different components that share a list
     nodes = lists.select("_s", "_key", "_x").union(lists.select("_s", "_pivot", "_y")).distinct()
-    nodes = nodes.join(labels, nodes["_key"] == labels["_node"], "left")
-    nodes = common.stored(nodes.select("_s", "_key", _size_of("_x").alias("_n"), _left_of("_x").alias("_l"), F.coalesce("_comp", "_key").alias("_comp")), "listed")
-    groups = nodes.groupBy("_s", "_comp").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.max("_l").alias("_l"))
-    a, b = (groups.select("_s", *(F.col(c).alias(f"{c}_{x}") for c in ("_comp", "_lo", "_hi", "_l"))) for x in "ab")
-    sizes = (F.col("_lo_a") * PERCENT <= F.col("_hi_b") * 100) & (F.col("_lo_b") * PERCENT <= F.col("_hi_a") * 100)
-    fits = (F.col("_comp_a") < F.col("_comp_b")) & sizes & _room(F.least("_l_a", "_l_b"), F.col("_lo_a"), F.col("_lo_b"))
-    met = a.join(b, "_s").where(fits).select("_s", "_comp_a", "_comp_b", "_lo_a", "_lo_b")
-    one = nodes.select("_s", F.col("_comp").alias("_comp_a"), F.col("_key").alias("_a"), "_n", "_l")
-    two = nodes.select("_s", F.col("_comp").alias("_comp_b"), F.col("_key").alias("_b"), F.col("_n").alias("_m"), F.col("_l").alias("_k"))
-    cross = met.join(one, ["_s", "_comp_a"]).where(_room(F.col("_l"), n, F.col("_lo_b")))
+    nodes = common.stored(nodes.select("_s", "_key", _size_of("_x").alias("_n"), _left_of("_x").alias("_l")), "listed")
+    # first one pair of nodes for two components, the one with most room: often that merges them
+    met = _met(nodes, labels)
+    best = F.max_by(F.struct("_rep_a", "_rep_b", "_rn_a", "_rn_b"), F.least("_l_a", "_l_b")).alias("_best")
+    few = met.groupBy("_comp_a", "_comp_b").agg(best).select(F.col("_best._rep_a").alias("_a"), F.col("_best._rep_b").alias("_b"), F.col("_best._rn_a").alias("_n"), F.col("_best._rn_b").alias("_m"))
+    few = common.stored(_enough(few.where(_close(n, m)), nodes), "few")
+    first = _overlaps(docs, text_col, members, few).where(_similar(both, n, m)).select("_a", "_b")
+    labels = components(common.stored(links.union(first), "both_links"))
+    met = common.stored(_met(nodes, labels), "met").select("_s", "_comp_a", "_comp_b", "_lo_a", "_lo_b", "_l_b")
+    named = nodes.join(labels, nodes["_key"] == labels["_node"], "left").select("_s", "_key", "_n", "_l", F.coalesce("_comp", "_key").alias("_comp"))
+    one = named.select("_s", F.col("_comp").alias("_comp_a"), F.col("_key").alias("_a"), "_n", "_l")
+    two = named.select("_s", F.col("_comp").alias("_comp_b"), F.col("_key").alias("_b"), F.col("_n").alias("_m"), F.col("_l").alias("_k"))
+    cross = met.join(one, ["_s", "_comp_a"]).where(_room(F.least("_l", "_l_b"), n, F.col("_lo_b")))
     cross = cross.join(two, ["_s", "_comp_b"]).where(_close(n, m) & _room(F.least("_l", "_k"), n, m)).select("_a", "_b", "_n", "_m").distinct()
-    # all lists that a pair has in common, and at most the larger rest beyond the heads: that must reach the overlap
-    held = nodes.groupBy("_key").agg(F.collect_list("_s").alias("_lists"))
-    cross = cross.join(held.select(F.col("_key").alias("_a"), F.col("_lists").alias("_of_a")), "_a").join(held.select(F.col("_key").alias("_b"), F.col("_lists").alias("_of_b")), "_b")
-    rest = F.greatest(n - head_size(n), m - head_size(m))
-    enough = (F.size(F.array_intersect("_of_a", "_of_b")) + rest) * (100 + PERCENT) >= (n + m) * PERCENT
-    cross = cross.where(enough).select("_a", "_b", "_n", "_m")
+    cross = _enough(cross, nodes)
     more = _overlaps(docs, text_col, members, common.stored(cross, "cross")).where(_similar(both, n, m)).select("_a", "_b")
     merged = components(_between(more, labels)).withColumnsRenamed({"_node": "_was", "_comp": "_now"})
 
