@@ -20,7 +20,7 @@ BLANK = "▁"
 #: Characters of the longest unit that goes through the lattice; longer runs are merged directly.
 UNIT = 255
 #: Characters that are cut at once, about, and those that arithmetic takes at a time to stay in cache.
-WINDOW, BLOCK = 1 << 22, 1 << 15
+WINDOW, BLOCK = 1 << 21, 1 << 15
 #: The rank of what never merges.
 NEVER = 1 << 30
 _MATRIX = 2048

@@ -245,6 +245,8 @@ def _lexicon(rows: DataFrame, vocabulary: Vocabulary) -> tuple[str, int]:
                             yield from made()
                             held, size, seen = [], 0, None
         yield from made()
+        held, seen = [], None
+        common.tidy()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = common.stored(rows.select("_text", "_chunk").mapInArrow(different, "_chunk long, _unit string"), "units")
@@ -295,6 +297,8 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, columns: st
                             ids, ends = _fused(ids, ends, vocabulary.unknown)
                         yield pa.RecordBatch.from_arrays([some.column(0).slice(row, len(counts)), *finish(vocabulary, ids, ends)], names=names)
                         row += len(counts)
+        lexicon = None
+        common.tidy()
 
     return rows.mapInArrow(look_up, f"_id {kind}, {columns}").withColumnRenamed("_id", id_col)
 

@@ -230,6 +230,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 some = batch.slice(start, 1000)
                 scores = np.array([scorer.score(t) for t in some.column(at).to_pylist()], np.float64)
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=[*names, "score", "predicted"])
+        del scorer
+        common.tidy()
 
     return base.mapInArrow(run, schema)
 
