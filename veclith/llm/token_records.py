@@ -44,7 +44,7 @@ MASK = 0xA282EAD8
 END_ID = 1
 SHARD_BYTES = 256 << 20
 #: Pieces that a worker remembers (about 40 bytes each), and rows whose different pieces are looked up together.
-CACHE_WORDS, ROWS = 1_000_000, 2048
+CACHE_WORDS, ROWS = 200_000, 1024
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 _RUN = re.compile("[a-zß-öø-ÿ]+")
 #: Kinds of bytes: those of letters, of marks, and all others; and ASCII letters in lower case.
@@ -177,6 +177,7 @@ class WordEncoder:
         found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))).dictionary_encode()
         if len(self.known) > self.limit:
             self._forget()
+            common.tidy()
         place = pc.index_in(found.dictionary, value_set=self.known)
         new = place.is_null()
         place = place.fill_null(-1).to_numpy(zero_copy_only=False).copy()
@@ -297,6 +298,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_
 
         for name, *counts in _write_shards(records(), encoder.code, folder, task.partitionId(), str(task.taskAttemptId()), shard_bytes):
             yield pa.RecordBatch.from_pydict({"name": [name]} | {k: [v] for k, v in zip(("records", "tokens", "bytes"), counts, strict=True)})
+        common.tidy()
 
     shards = [r.asDict() for r in rows.mapInArrow(encode, "name string, records long, tokens long, bytes long").collect()]
     manifest = {"format": 1, "end_id": end_id, "shards": sorted(shards, key=lambda s: s["name"])}
