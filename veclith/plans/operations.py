@@ -155,8 +155,9 @@ def embedded_documents(spark, sf):
 
 
 def _lines(spark, sf) -> str:
+    """The vectors as JSON lines; as doubles, for the shortest decimals of a float read back as other doubles."""
     path = shared(spark, "lines")
-    rows = c._embeddings(spark, sf).select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), F.concat(F.lit("text "), F.col("label").cast("string")).alias("content"), F.struct("label").alias("metadata"))
+    rows = c._embeddings(spark, sf).select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.concat(F.lit("text "), F.col("label").cast("string")).alias("content"), F.struct("label").alias("metadata"))
     rows.write.json(path)
     return path
 
