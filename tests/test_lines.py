@@ -23,7 +23,7 @@ def folder(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["jsonl_export"])
+@pytest.mark.parametrize("name", ["jsonl_export", "streaming_ingest"])
 def test_codes_after_json_lines_match_sql(spark, folder, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
