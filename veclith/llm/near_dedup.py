@@ -14,6 +14,9 @@ Groups of near copies would make all their pairs. Instead there are two rounds.
 every list links its nodes to one of them, the pivot, which has the fewest shingles of its own; pairs that
 are similar are links, and connected nodes a component. The second takes, of every list, pairs of nodes in
 *different* components; a pair inside one can't change any component. Both rounds verify with exact overlaps.
+The second first tries one pair of nodes for two components that meet; two nodes without links are settled by
+that. What still meets then is expanded list by list, or, where two components have fewer pairs of nodes than
+lists in common, as all those pairs, once.
 
 Heads carry positions. If a list is the first that two sets have in common, their overlap is at most what
 either has from there on. Every similar pair has such a list, so a pair counts only in lists where both
@@ -321,17 +324,32 @@ def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
     return found.join(labels, F.col("_b") == F.col("_node"), "left").select("_a", F.coalesce("_comp", "_b").alias("_b"))
 
 
-def _met(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of components that share a list with room for a similar pair: sizes, room, and of each the node with most room."""
-    named = nodes.join(labels, nodes["_key"] == labels["_node"], "left").select("_s", "_key", "_n", "_l", F.coalesce("_comp", "_key").alias("_comp"))
+def _met(nodes: DataFrame, labels: DataFrame, tried: bool = False) -> DataFrame:
+    """Pairs of components that share a list with room for a similar pair: sizes, room, and of each the node with most room.
+
+    If one pair of nodes was ``tried`` for each, two components of one node each are left out.
+    """
+    named = nodes.join(labels, nodes["_key"] == labels["_node"], "left").select("_s", "_key", "_n", "_l", F.coalesce("_comp", "_key").alias("_comp"), F.col("_comp").isNotNull().alias("_linked"))
     best = F.struct("_l", "_key")
-    groups = named.groupBy("_s", "_comp").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.max("_l").alias("_l"), F.max_by("_key", best).alias("_rep"), F.max_by("_n", best).alias("_rn"))
-    a, b = (groups.select("_s", *(F.col(c).alias(f"{c}_{x}") for c in ("_comp", "_lo", "_hi", "_l", "_rep", "_rn"))) for x in "ab")
+    groups = named.groupBy("_s", "_comp", "_linked").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.max("_l").alias("_l"), F.max_by("_key", best).alias("_rep"), F.max_by("_n", best).alias("_rn"))
+    a, b = (groups.select("_s", *(F.col(c).alias(f"{c}_{x}") for c in ("_comp", "_linked", "_lo", "_hi", "_l", "_rep", "_rn"))) for x in "ab")
     sizes = (F.col("_lo_a") * PERCENT <= F.col("_hi_b") * 100) & (F.col("_lo_b") * PERCENT <= F.col("_hi_a") * 100)
     fits = (F.col("_comp_a") < F.col("_comp_b")) & sizes & _room(F.least("_l_a", "_l_b"), F.col("_lo_a"), F.col("_lo_b"))
+    if tried:
+        fits &= F.col("_linked_a") | F.col("_linked_b")
     return a.join(b, "_s").where(fits)
 
 
+def _few_pairs(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs of components (_comp_a, _comp_b) that have at most as many pairs of nodes as lists in common."""
+    sizes = labels.groupBy("_comp").agg(F.count(F.lit(1)).alias("_size"))
+    pairs = met.groupBy("_comp_a", "_comp_b").agg(F.count(F.lit(1)).alias("_c"))
+    for x in "ab":
+        pairs = pairs.join(sizes.withColumnsRenamed({"_comp": f"_comp_{x}", "_size": f"_size_{x}"}), f"_comp_{x}", "left")
+    one = F.lit(1).cast("long")
+    return pairs.where(F.coalesce("_size_a", one) * F.coalesce("_size_b", one) <= F.col("_c")).select("_comp_a", "_comp_b")
+
+
 def _enough(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (_a, _b, _n, _m) that share lists enough: with the larger rest beyond the heads they reach the overlap."""
     n, m = F.col("_n"), F.col("_m")
@@ -367,12 +385,19 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, hashed: bool) -> Data
     few = common.stored(_enough(few.where(_close(n, m)), nodes), "few")
     first = _overlaps(docs, text_col, members, few).where(_similar(both, n, m)).select("_a", "_b")
     labels = components(common.stored(links.union(first), "both_links"))
-    met = common.stored(_met(nodes, labels), "met").select("_s", "_comp_a", "_comp_b", "_lo_a", "_lo_b", "_l_b")
+    met = common.stored(_met(nodes, labels, tried=True).select("_s", "_comp_a", "_comp_b", "_lo_a", "_lo_b", "_l_b"), "met")
+    few = common.stored(_few_pairs(met, labels), "few_pairs")
+    sets = members.where("_n > 0").select("_key", "_n").distinct()
+    sets = common.stored(sets.join(labels, sets["_key"] == labels["_node"], "left").select("_key", "_n", F.coalesce("_comp", "_key").alias("_comp")), "sets")
+    one = sets.select(F.col("_comp").alias("_comp_a"), F.col("_key").alias("_a"), "_n")
+    two = sets.select(F.col("_comp").alias("_comp_b"), F.col("_key").alias("_b"), F.col("_n").alias("_m"))
+    whole = few.join(one, "_comp_a").join(two, "_comp_b").where(_close(n, m)).select("_a", "_b", "_n", "_m")
+    met = met.join(few, ["_comp_a", "_comp_b"], "left_anti")
     named = nodes.join(labels, nodes["_key"] == labels["_node"], "left").select("_s", "_key", "_n", "_l", F.coalesce("_comp", "_key").alias("_comp"))
     one = named.select("_s", F.col("_comp").alias("_comp_a"), F.col("_key").alias("_a"), "_n", "_l")
     two = named.select("_s", F.col("_comp").alias("_comp_b"), F.col("_key").alias("_b"), F.col("_n").alias("_m"), F.col("_l").alias("_k"))
     cross = met.join(one, ["_s", "_comp_a"]).where(_room(F.least("_l", "_l_b"), n, F.col("_lo_b")))
-    cross = cross.join(two, ["_s", "_comp_b"]).where(_close(n, m) & _room(F.least("_l", "_k"), n, m)).select("_a", "_b", "_n", "_m").distinct()
+    cross = cross.join(two, ["_s", "_comp_b"]).where(_close(n, m) & _room(F.least("_l", "_k"), n, m)).select("_a", "_b", "_n", "_m").distinct().union(whole)
     cross = _enough(cross, nodes)
     more = _overlaps(docs, text_col, members, common.stored(cross, "cross")).where(_similar(both, n, m)).select("_a", "_b")
     merged = components(_between(more, labels)).withColumnsRenamed({"_node": "_was", "_comp": "_now"})
