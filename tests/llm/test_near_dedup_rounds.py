@@ -68,3 +68,22 @@ def test_components_that_meet_often_lose_no_link(spark, monkeypatch):
     got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(components(texts)))
     assert found["met"].count() > 0 and found["few_pairs"].count() > 0
+
+
+def test_shingles_of_two_sets_count_as_frequent(spark):
+    # a group of near copies has two members in few of the windows that are counted, and three in hardly any
+    words = random.Random(6).choices(WORDS, k=60)
+    docs = spark.createDataFrame([(1, " ".join(words[:50])), (2, " ".join(words[10:]))], "doc_id long, text string").coalesce(1)
+    values, ranks = near_dedup._frequent(near_dedup._survey(docs, "doc_id", "text"))
+    assert len(values) == 36 and sorted(ranks) == list(range(1, 37))
+
+
+def test_components_meet_where_their_lists_do_not_go_on_together(spark):
+    lists = {1: range(10, 20), 2: [s for s in range(10, 20) if s != 15], 3: range(10, 20)}
+    rows = [(s, key, 50, 50 - k, list(held)[k - 1] if k else None) for key, held in lists.items() for k, s in enumerate(held)]
+    nodes = spark.createDataFrame(rows, "_s long, _key long, _n int, _l int, _p long")
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "_node long, _comp long")
+    for tried in (False, True):
+        met = near_dedup._met(nodes, labels, tried).select("_s", "_comp_a", "_comp_b").collect()
+        # the first list, and the one where a node comes from another list than the others
+        assert sorted(map(tuple, met)) == [(10, 1, 3), (16, 1, 3)]

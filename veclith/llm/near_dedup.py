@@ -16,7 +16,8 @@ are similar are links, and connected nodes a component. The second takes, of eve
 *different* components; a pair inside one can't change any component. Both rounds verify with exact overlaps.
 The second first tries one pair of nodes for two components that meet; two nodes without links are settled by
 that. What still meets then is expanded list by list, or, where two components have fewer pairs of nodes than
-lists in common, as all those pairs, once.
+lists in common, as all those pairs, once. Copies share runs of the global order; a list that all nodes of two
+components reach from one and the same list is left out, as that one has the same pairs with more room.
 
 Heads carry positions. If a list is the first that two sets have in common, their overlap is at most what
 either has from there on. Every similar pair has such a list, so a pair counts only in lists where both
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -77,8 +79,9 @@ def _survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of each document (_id, _th, _key, _n), and (_s, _c) of shingles that may be frequent, in one pass.
 
     ``_th`` is the hash of the text, ``_key`` that of its set of ``_n`` shingles. Tasks count
-    their shingles ``COUNTED`` at a time and pass on those that three sets have; equal sets count
-    once a task.
+    their shingles ``COUNTED`` at a time and pass on those that two sets have; equal sets count
+    once a task. A group of near copies that grows with the corpus has two in some of those, however
+    it is spread; of three it would take many more members, and what all of them share would count as rare.
     """
     kind = docs.select(id_col).dtypes[0][1]
 
@@ -89,7 +92,7 @@ def _survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         def passed_on(id_type):
             values, times = np.unique(np.concatenate(held), return_counts=True)
-            many = times >= 3
+            many = times >= 2
             n = int(many.sum())
             return pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(values[many].view(np.int64)), pa.array(times[many].astype(np.int64))], names=names)
 
@@ -327,14 +330,17 @@ def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
 def _met(nodes: DataFrame, labels: DataFrame, tried: bool = False) -> DataFrame:
     """Pairs of components that share a list with room for a similar pair: sizes, room, and of each the node with most room.
 
-    If one pair of nodes was ``tried`` for each, two components of one node each are left out.
+    If one pair of nodes was ``tried`` for each, two components of one node each are left out. So are
+    lists where all nodes of both components come from one and the same list (``_p``): there they meet
+    with all these nodes and more room.
     """
-    named = nodes.join(labels, nodes["_key"] == labels["_node"], "left").select("_s", "_key", "_n", "_l", F.coalesce("_comp", "_key").alias("_comp"), F.col("_comp").isNotNull().alias("_linked"))
+    named = nodes.join(labels, nodes["_key"] == labels["_node"], "left").select("_s", "_key", "_n", "_l", "_p", F.coalesce("_comp", "_key").alias("_comp"), F.col("_comp").isNotNull().alias("_linked"))
     best = F.struct("_l", "_key")
-    groups = named.groupBy("_s", "_comp", "_linked").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.max("_l").alias("_l"), F.max_by("_key", best).alias("_rep"), F.max_by("_n", best).alias("_rn"))
-    a, b = (groups.select("_s", *(F.col(c).alias(f"{c}_{x}") for c in ("_comp", "_linked", "_lo", "_hi", "_l", "_rep", "_rn"))) for x in "ab")
+    same = F.when((F.count("_p") == F.count(F.lit(1))) & (F.min("_p") == F.max("_p")), F.min("_p"))
+    groups = named.groupBy("_s", "_comp", "_linked").agg(same.alias("_p"), F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.max("_l").alias("_l"), F.max_by("_key", best).alias("_rep"), F.max_by("_n", best).alias("_rn"))
+    a, b = (groups.select("_s", *(F.col(c).alias(f"{c}_{x}") for c in ("_comp", "_linked", "_p", "_lo", "_hi", "_l", "_rep", "_rn"))) for x in "ab")
     sizes = (F.col("_lo_a") * PERCENT <= F.col("_hi_b") * 100) & (F.col("_lo_b") * PERCENT <= F.col("_hi_a") * 100)
-    fits = (F.col("_comp_a") < F.col("_comp_b")) & sizes & _room(F.least("_l_a", "_l_b"), F.col("_lo_a"), F.col("_lo_b"))
+    fits = (F.col("_comp_a") < F.col("_comp_b")) & sizes & _room(F.least("_l_a", "_l_b"), F.col("_lo_a"), F.col("_lo_b")) & ~F.coalesce(F.col("_p_a") == F.col("_p_b"), F.lit(False))
     if tried:
         fits &= F.col("_linked_a") | F.col("_linked_b")
     return a.join(b, "_s").where(fits)
@@ -377,7 +383,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, hashed: bool) -> Data
 
     # second round: nodes of different components that share a list
     nodes = lists.select("_s", "_key", "_x").union(lists.select("_s", "_pivot", "_y")).distinct()
-    nodes = common.stored(nodes.select("_s", "_key", _size_of("_x").alias("_n"), _left_of("_x").alias("_l")), "listed")
+    # with the list that each node has before, in the global order
+    before = F.lag("_s").over(W.partitionBy("_key").orderBy("_x"))
+    nodes = common.stored(nodes.select("_s", "_key", _size_of("_x").alias("_n"), _left_of("_x").alias("_l"), before.alias("_p")), "listed")
     # first one pair of nodes for two components, the one with most room: often that merges them
     met = _met(nodes, labels)
     best = F.max_by(F.struct("_rep_a", "_rep_b", "_rn_a", "_rn_b"), F.least("_l_a", "_l_b")).alias("_best")
