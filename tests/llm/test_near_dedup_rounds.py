@@ -1,6 +1,8 @@
 """What the second round of near_dedup expands, and that it finds every link all the same."""
 
+import os
 import random
+import re
 
 from veclith.llm import near_dedup
 
@@ -87,3 +89,34 @@ def test_components_meet_where_their_lists_do_not_go_on_together(spark):
         met = near_dedup._met(nodes, labels, tried).select("_s", "_comp_a", "_comp_b").collect()
         # the first list, and the one where a node comes from another list than the others
         assert sorted(map(tuple, met)) == [(10, 1, 3), (16, 1, 3)]
+
+
+def test_fragments_are_dealt_out_once_and_go_when_read(spark, monkeypatch):
+    rng = random.Random(7)
+    base = " ".join(rng.choices(WORDS, k=80))
+    texts = [base, edited(rng, base, 1), " ".join(rng.choices(WORDS, k=80))]
+    plans, paths, stored, scratch = [], [], near_dedup.common.stored, near_dedup.common.scratch
+
+    def note(df, name):
+        if name == "fragments":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    def made(session, name):
+        paths.append((name, scratch(session, name)))
+        return paths[-1][1]
+
+    monkeypatch.setattr(near_dedup.common, "stored", note)
+    monkeypatch.setattr(near_dedup.common, "scratch", made)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {0: 0, 1: 0, 2: 2}
+    # one exchange of the fragments and one of the nodes, both by the node
+    for plan in plans:
+        assert [re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)] == ["_key", "_key"]
+    kept = {name for name, path in paths if os.path.exists(re.sub("^file:/+", "/", path))}
+    assert plans and "star" in kept and not kept & {"lists", "fragments"}

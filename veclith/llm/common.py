@@ -43,6 +43,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Delete the files of ``df``, which :func:`stored` made and nothing reads any more."""
+    spark = df.sparkSession
+    files, jvm = df.inputFiles(), spark.sparkContext._jvm
+    if files:
+        folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0])).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def tidy() -> None:
     """Give memory that a Python worker no longer uses back to the machine; workers outlive tasks."""
     import ctypes

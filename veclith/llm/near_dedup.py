@@ -189,7 +189,7 @@ def _left_of(x: str) -> Column:
 
 
 def _lists(heads: DataFrame) -> DataFrame:
-    """(_s, _key, _x, _pivot, _y): each node of a list that isn't its pivot, with the pivot, and the entries of both.
+    """(_s, _key, _x, _pivot, _y): each node of a list that isn't its pivot, with the pivot, and the entries of both; stored.
 
     A list that goes on from one task to the next has a pivot in each; those come last, in a
     join of two rows a task.
@@ -233,11 +233,13 @@ def _lists(heads: DataFrame) -> DataFrame:
     edges = found.where("_key is null").select("_s", F.col("_pivot").alias("_key"), F.col("_y").alias("_x")).distinct()
     first = edges.groupBy("_s").agg(F.min_by("_key", "_key").alias("_pivot"), F.min_by("_x", "_key").alias("_y"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
     more = edges.join(first, "_s").where("_key <> _pivot").select(*names)
-    return found.where("_key is not null").unionByName(more)
+    whole = common.stored(found.where("_key is not null").unionByName(more), "pairs")
+    common.remove(found)
+    return whole
 
 
-def _overlaps(docs: DataFrame, text_col: str, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(_a, _b, _n, _m, _both): the exact overlap of each of the candidate pairs (_a, _b, _n, _m)."""
+def _verified(docs: DataFrame, text_col: str, members: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """(_a, _b): which of the candidate pairs (_a, _b, _n, _m) are similar, by their exact overlaps; stored."""
     spark = docs.sparkSession
     nodes = pairs.select(F.col("_a").alias("_key")).union(pairs.select("_b")).distinct()
     # of the texts that have a node's set one is enough
@@ -290,13 +292,17 @@ def _overlaps(docs: DataFrame, text_col: str, members: DataFrame, pairs: DataFra
         common.tidy()
 
     texts = _sets(docs, text_col, [F.xxhash64(common.text_of(text_col)).alias("_th")])
-    pieces = texts.mapInArrow(cut, "_key long, _part int, _values array<long>").dropDuplicates(["_key", "_part"])
-    pieces = common.stored(pieces.join(nodes.select("_key"), "_key", "left_semi"), "fragments")
+    pieces = texts.mapInArrow(cut, "_key long, _part int, _values array<long>")
+    # the join first: rows dealt out by the node are dealt for both steps
+    pieces = common.stored(pieces.join(nodes.select("_key"), "_key", "left_semi").dropDuplicates(["_key", "_part"]), "fragments")
     each = pairs.withColumn("_part", F.explode(F.array(*map(F.lit, range(FRAGMENTS)))))
     left = each.join(pieces.select(F.col("_key").alias("_a"), "_part", F.col("_values").alias("_va")), ["_a", "_part"])
     both = left.join(pieces.select(F.col("_key").alias("_b"), "_part", F.col("_values").alias("_vb")), ["_b", "_part"])
     counted = both.select("_a", "_b", "_n", "_m", F.size(F.array_intersect("_va", "_vb")).alias("_some"))
-    return counted.groupBy("_a", "_b", "_n", "_m").agg(F.sum("_some").alias("_both"))
+    counted = counted.groupBy("_a", "_b", "_n", "_m").agg(F.sum("_some").alias("_both"))
+    links = common.stored(counted.where(_similar(F.col("_both"), F.col("_n"), F.col("_m"))).select("_a", "_b"), name)
+    common.remove(pieces)
+    return links
 
 
 def _room(left: Column, n: Column, m: Column) -> Column:
@@ -335,9 +341,9 @@ def _met(nodes: DataFrame, labels: DataFrame, tried: bool = False) -> DataFrame:
     with all these nodes and more room.
     """
     named = nodes.join(labels, nodes["_key"] == labels["_node"], "left").select("_s", "_key", "_n", "_l", "_p", F.coalesce("_comp", "_key").alias("_comp"), F.col("_comp").isNotNull().alias("_linked"))
-    best = F.struct("_l", "_key")
     same = F.when((F.count("_p") == F.count(F.lit(1))) & (F.min("_p") == F.max("_p")), F.min("_p"))
-    groups = named.groupBy("_s", "_comp", "_linked").agg(same.alias("_p"), F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.max("_l").alias("_l"), F.max_by("_key", best).alias("_rep"), F.max_by("_n", best).alias("_rn"))
+    groups = named.groupBy("_s", "_comp", "_linked").agg(same.alias("_p"), F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.max("_l").alias("_l"), F.max(F.struct("_l", "_key", "_n")).alias("_best"))
+    groups = groups.withColumns({"_rep": F.col("_best._key"), "_rn": F.col("_best._n")})
     a, b = (groups.select("_s", *(F.col(c).alias(f"{c}_{x}") for c in ("_comp", "_linked", "_p", "_lo", "_hi", "_l", "_rep", "_rn"))) for x in "ab")
     sizes = (F.col("_lo_a") * PERCENT <= F.col("_hi_b") * 100) & (F.col("_lo_b") * PERCENT <= F.col("_hi_a") * 100)
     fits = (F.col("_comp_a") < F.col("_comp_b")) & sizes & _room(F.least("_l_a", "_l_b"), F.col("_lo_a"), F.col("_lo_b")) & ~F.coalesce(F.col("_p_a") == F.col("_p_b"), F.lit(False))
@@ -359,7 +365,9 @@ def _few_pairs(met: DataFrame, labels: DataFrame) -> DataFrame:
 def _enough(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (_a, _b, _n, _m) that share lists enough: with the larger rest beyond the heads they reach the overlap."""
     n, m = F.col("_n"), F.col("_m")
-    held = nodes.groupBy("_key").agg(F.collect_list("_s").alias("_lists"))
+    pairs = common.stored(pairs, "met_pairs")
+    some = pairs.select(F.col("_a").alias("_key")).union(pairs.select("_b")).distinct()
+    held = nodes.join(some, "_key", "left_semi").groupBy("_key").agg(F.collect_list("_s").alias("_lists"))
     both = pairs.join(held.select(F.col("_key").alias("_a"), F.col("_lists").alias("_of_a")), "_a").join(held.select(F.col("_key").alias("_b"), F.col("_lists").alias("_of_b")), "_b")
     rest = F.greatest(n - head_size(n), m - head_size(m))
     return both.where((F.size(F.array_intersect("_of_a", "_of_b")) + rest) * (100 + PERCENT) >= (n + m) * PERCENT).select("_a", "_b", "_n", "_m")
@@ -370,15 +378,15 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, hashed: bool) -> Data
     th = ["_th"] if hashed else []
     survey = common.stored(_survey(docs, id_col, text_col), "survey")
     members = survey.where("_c is null").drop("_s", "_c")
-    lists = common.stored(_lists(_heads(docs, text_col, _frequent(survey))), "pairs")
+    lists = _lists(_heads(docs, text_col, _frequent(survey)))
 
     # first round: nodes and pivots that share a fair part of their heads
-    n, m, both = F.col("_n"), F.col("_m"), F.col("_both")
+    n, m = F.col("_n"), F.col("_m")
     star = lists.select(F.col("_pivot").alias("_a"), F.col("_key").alias("_b"), _size_of("_x").alias("_n"), _size_of("_y").alias("_m"), _left_of("_x").alias("_l"), _left_of("_y").alias("_k"))
     room = _room(F.least("_l", "_k"), n, m)
     star = star.where(_close(n, m)).groupBy("_a", "_b", "_n", "_m").agg(F.count(F.lit(1)).alias("_c"), F.max(room).alias("_room"))
     star = common.stored(star.where(F.col("_room") & (F.col("_c") * 8 >= F.least(head_size(n), head_size(m)))).drop("_c", "_room"), "star")
-    links = common.stored(_overlaps(docs, text_col, members, star).where(_similar(both, n, m)).select("_a", "_b"), "star_links")
+    links = _verified(docs, text_col, members, star, "star_links")
     labels = components(links)
 
     # second round: nodes of different components that share a list
@@ -391,8 +399,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, hashed: bool) -> Data
     best = F.max_by(F.struct("_rep_a", "_rep_b", "_rn_a", "_rn_b"), F.least("_l_a", "_l_b")).alias("_best")
     few = met.groupBy("_comp_a", "_comp_b").agg(best).select(F.col("_best._rep_a").alias("_a"), F.col("_best._rep_b").alias("_b"), F.col("_best._rn_a").alias("_n"), F.col("_best._rn_b").alias("_m"))
     few = common.stored(_enough(few.where(_close(n, m)), nodes), "few")
-    first = _overlaps(docs, text_col, members, few).where(_similar(both, n, m)).select("_a", "_b")
-    labels = components(common.stored(links.union(first), "both_links"))
+    labels = components(links.union(_verified(docs, text_col, members, few, "few_links")))
     met = common.stored(_met(nodes, labels, tried=True).select("_s", "_comp_a", "_comp_b", "_lo_a", "_lo_b", "_l_b"), "met")
     few = common.stored(_few_pairs(met, labels), "few_pairs")
     sets = members.where("_n > 0").select("_key", "_n").distinct()
@@ -401,13 +408,15 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, hashed: bool) -> Data
     two = sets.select(F.col("_comp").alias("_comp_b"), F.col("_key").alias("_b"), F.col("_n").alias("_m"))
     whole = few.join(one, "_comp_a").join(two, "_comp_b").where(_close(n, m)).select("_a", "_b", "_n", "_m")
     met = met.join(few, ["_comp_a", "_comp_b"], "left_anti")
-    named = nodes.join(labels, nodes["_key"] == labels["_node"], "left").select("_s", "_key", "_n", "_l", F.coalesce("_comp", "_key").alias("_comp"))
+    # nodes of the components that still meet
+    meet = met.select(F.col("_comp_a").alias("_comp")).union(met.select("_comp_b")).distinct()
+    named = nodes.join(sets.join(meet, "_comp", "left_semi").select("_key", "_comp"), "_key").select("_s", "_key", "_n", "_l", "_comp")
     one = named.select("_s", F.col("_comp").alias("_comp_a"), F.col("_key").alias("_a"), "_n", "_l")
     two = named.select("_s", F.col("_comp").alias("_comp_b"), F.col("_key").alias("_b"), F.col("_n").alias("_m"), F.col("_l").alias("_k"))
     cross = met.join(one, ["_s", "_comp_a"]).where(_room(F.least("_l", "_l_b"), n, F.col("_lo_b")))
     cross = cross.join(two, ["_s", "_comp_b"]).where(_close(n, m) & _room(F.least("_l", "_k"), n, m)).select("_a", "_b", "_n", "_m").distinct().union(whole)
     cross = _enough(cross, nodes)
-    more = _overlaps(docs, text_col, members, common.stored(cross, "cross")).where(_similar(both, n, m)).select("_a", "_b")
+    more = _verified(docs, text_col, members, common.stored(cross, "cross"), "cross_links")
     merged = components(_between(more, labels)).withColumnsRenamed({"_node": "_was", "_comp": "_now"})
 
     rows = members.join(labels, members["_key"] == labels["_node"], "left").select(*th, "_id", "_n", F.coalesce("_comp", "_key").alias("_comp"))
